@@ -1,4 +1,7 @@
 """All queries and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from quern.plans import corpus, scoring
+
+MODULES = [corpus, scoring]
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+SQL: dict = {k: v for m in MODULES for k, v in m.SQL.items()}
