@@ -12,7 +12,7 @@ def strip(x: str) -> str:
 
 
 def words(x: str) -> str:
-    return f"regexp_extract_all(lower({x}), '[a-z0-9]+')"
+    return f"regexp_extract_all(lower(replace({x}, 'İ', 'i\u0307')), '[a-z0-9]+')"
 
 
 def space_words(x: str) -> str:
