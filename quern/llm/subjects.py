@@ -196,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Model:
         if texts:
             yield _cells(first_model(texts, marks_of(rows, list(rows), names)))
 
-    counts = _dense(known.select("text", "rows").coalesce(1).mapInArrow(first, "cell long, n double").toArrow(), k)
+    counts = _dense(known.select("text", "rows").repartition(1).mapInArrow(first, "cell long, n double").toArrow(), k)
     base, spark = counts, docs.sparkSession
     for _ in range(STEPS):
         model = spark.sparkContext.broadcast(counts.astype(np.float32))
