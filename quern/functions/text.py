@@ -79,7 +79,7 @@ def edit1(a: Column, b: Column) -> Column:
 def title_style(c) -> Column:
     """upper case for a letter behind anything but a letter, lower case for the others."""
     chars = F.split(F.lower(c), "")
-    return F.aggregate(chars, F.lit(""), lambda out, ch: F.concat(out, F.when(out.rlike("[a-z]$"), ch).otherwise(F.upper(ch))))
+    return F.aggregate(chars, F.lit(""), lambda out, ch: F.concat(out, F.when(out.rlike("[A-Za-z]$"), ch).otherwise(F.upper(ch))))
 
 
 def prominence(n: Column) -> Column:
