@@ -113,8 +113,8 @@ with rec as (
   select line_id, json_extract_string(body, '$.prompt'), json_extract_string(body, '$.answer')
   from raw_lines where json_valid(body) and json_type(case when json_valid(body) then body end) = 'OBJECT'
 ), keyed as (
-  select id, regexp_replace(lower(upper(prompt)), '[^\p{L}\p{N}]+', '', 'g') as p,
-         regexp_replace(lower(upper(answer)), '[^\p{L}\p{N}]+', '', 'g') as a from rec
+  select id, regexp_replace(replace(lower(upper(prompt)), 'ß', 'ss'), '[^\p{L}\p{N}]+', '', 'g') as p,
+         regexp_replace(replace(lower(upper(answer)), 'ß', 'ss'), '[^\p{L}\p{N}]+', '', 'g') as a from rec
 ), g as (
   select id, min(id) over (partition by p, a) as first_id, count(*) over (partition by p, a) as copies from keyed
 )

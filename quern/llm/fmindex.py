@@ -21,7 +21,7 @@ def suffix_array(seq: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for k in range(h):
         part = np.zeros(n, np.int64)
-        part[: n - k] = seq[k:]
+        part[: max(0, n - k)] = seq[k:]
         part[left <= k] = 0
         key = key << width | part
     while True:
@@ -36,7 +36,7 @@ def suffix_array(seq: np.ndarray) -> np.ndarray:
         if not (open_ & (left >= h)).any():
             return np.argsort(rank * n + np.arange(n))
         follow = np.zeros(n, np.int64)
-        follow[: n - h] = rank[h:] + 1
+        follow[: max(0, n - h)] = rank[h:] + 1
         follow[left < h] = 0
         key = rank * (n + 1) + follow
         h *= 2

@@ -38,8 +38,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def canonical(col):
-    """Letters and digits only, case folded: upper before lower turns sharp s into ss."""
-    return F.regexp_replace(F.lower(F.upper(col)), r"[^\p{L}\p{N}]+", "")
+    """Letters and digits only, case folded; sharp s, which has no single capital, as ss."""
+    return F.regexp_replace(F.replace(F.lower(F.upper(col)), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}]+", "")
 
 
 INVISIBLE = dict.fromkeys([0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0xFE0E, 0xFE0F, 0xFEFF])
