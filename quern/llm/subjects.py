@@ -7,6 +7,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ POWER, EVIDENCE = 0.6, 8.0
 #: Both for the steps on labelled documents: soft, so that sentences which any document may have
 #: spread over all classes, and at first each sentence has a subject.
 FIRST = ((0.1, -99.0), (0.15, 1.0), (0.2, 2.0), (0.3, 3.0))
+#: Largest factor that evens out subjects in a language.
+EVEN = 8.0
 #: A sentence counts for a class in a step over all documents from this probability on.
 SURE = 0.9
 #: A document needs this share of its sentences for a subject; calibration moves it between LOW and HIGH.
@@ -118,17 +121,44 @@ def shares(p: np.ndarray, b: Batch) -> np.ndarray:
     return out / np.maximum(n, 1)[:, None]
 
 
-def first_model(texts: list[str], marks: np.ndarray) -> np.ndarray:
-    """Counts from labelled documents. marks (documents x classes): how likely the annotators' labels
-    make each class; which sentence is about which of them is told by expectation-maximization."""
+def first_model(texts: list[str], marks: np.ndarray, langs: list[str | None]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Counts from labelled documents, and each language's factors. marks (documents x classes): how
+    likely the annotators' labels make each class; which sentence is about which of them is told by
+    expectation-maximization."""
     b = Batch(texts)
     allowed = np.maximum(marks, 0.02)
     given = marks.copy()
     given[:, 0] = np.where(marks[:, 1:].any(axis=1), 0.0, 1.0)
     p = (given / given.sum(axis=1, keepdims=True))[b.doc]
     for power, evidence in FIRST:
-        p = Complement(_count(b, p)).posteriors(b, power, evidence, allowed, 1)
-    return _count(b, p)
+        p = Complement(_count(b, p * _factors_of(b, langs, factors(b, p, langs)))).posteriors(b, power, evidence, allowed, 1)
+    even = factors(b, p, langs)
+    return _count(b, p * _factors_of(b, langs, even)), even
+
+
+def factors(b: Batch, p: np.ndarray, langs: list[str | None]) -> dict[str, np.ndarray]:
+    """By language: weights that give all subjects the same mass of sentences in it, within bounds.
+
+    Else the words that all subjects share in a language would speak for those that are rarer in others.
+    """
+    out = {}
+    key = np.array([x or "" for x in langs])[b.doc] if len(b.doc) else np.zeros(0, str)
+    for lang in sorted(set(key.tolist())):
+        mass = p[key == lang].sum(axis=0)
+        f = np.ones(len(mass))
+        f[1:] = (mass[1:].mean() / np.maximum(mass[1:], 1e-9)).clip(1 / EVEN, EVEN)
+        out[lang] = f
+    return out
+
+
+def _factors_of(b: Batch, langs: list[str | None], even: dict[str, np.ndarray]) -> np.ndarray:
+    """A row for each sentence; languages without factors have ones."""
+    if not even:
+        return np.ones((len(b.doc), 1))
+    names = sorted(even)
+    at = {x: i for i, x in enumerate(names)}
+    rows = np.stack([*(even[x] for x in names), np.ones(len(even[names[0]]))])
+    return rows[np.array([at.get(x or "", len(names)) for x in langs], np.int64)[b.doc]]
 
 
 def _count(b: Batch, p: np.ndarray) -> np.ndarray:
@@ -175,7 +205,7 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Model:
-    """docs (doc_id, text), labels (doc_id, subject, annotator), subjects (subject).
+    """docs (doc_id, text, lang), labels (doc_id, subject, annotator), subjects (subject).
 
     A bounded sample of labelled documents (whole texts) trains the first model in one task; the
     steps of expectation and maximization count the sentences of all documents. Labels of unknown
@@ -185,18 +215,27 @@ def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Model:
     k = len(names) + 1
     by_doc = labels.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set(F.struct(F.coalesce("subject", F.lit("")).alias("s"), F.coalesce("annotator", F.lit("")).alias("a"))).alias("rows"))
     share = max(1, -(-by_doc.count() // LABELLED))
-    known = docs.select("doc_id", "text").where("text is not null").join(by_doc.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0), "doc_id")
+    docs = docs.select("doc_id", "text", F.lower(F.trim("lang")).alias("lang"))
+    known = docs.where("text is not null").join(by_doc.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0), "doc_id")
 
     def first(batches):
-        texts, rows = [], {}
+        texts, rows, langs = [], {}, []
         for b in batches:
-            for t, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for t, r, lang in zip(*(c.to_pylist() for c in b.columns)):
                 rows[len(texts)] = [(x["s"], x["a"]) for x in r]
                 texts.append(t)
+                langs.append(lang)
         if texts:
-            yield _cells(first_model(texts, marks_of(rows, list(rows), names)))
-
-    counts = _dense(known.select("text", "rows").repartition(1).mapInArrow(first, "cell long, n double").toArrow(), k)
+            total, even = first_model(texts, marks_of(rows, list(rows), names), langs)
+            cells = _cells(total)
+            yield pa.RecordBatch.from_arrays([*cells.columns, pa.nulls(cells.num_rows, pa.string())], names=["cell", "n", "lang"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(range(k)) * len(even), pa.int64()), pa.array([float(x) for f in even.values() for x in f], pa.float64()), pa.array([x for x in even for _ in range(k)], pa.string())], names=["cell", "n", "lang"])
+
+    got = known.select("text", "rows", "lang").repartition(1).mapInArrow(first, "cell long, n double, lang string").toArrow()
+    counts = _dense(got.filter(pc.is_null(got["lang"])), k)
+    even: dict[str, np.ndarray] = {}
+    for r in got.filter(pc.is_valid(got["lang"])).to_pylist():
+        even.setdefault(r["lang"], np.ones(k))[r["cell"]] = r["n"]
     base, spark = counts, docs.sparkSession
     for _ in range(STEPS):
         model = spark.sparkContext.broadcast(counts.astype(np.float32))
@@ -208,10 +247,10 @@ def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Model:
                     part = Batch(b.column(0).slice(x, 2000).to_pylist())
                     if len(part.flat):
                         p = own.posteriors(part)
-                        total += _count(part, np.where(p < SURE, 0, p))
+                        total += _count(part, np.where(p < SURE, 0, p) * _factors_of(part, b.column(1).slice(x, 2000).to_pylist(), even))
             yield _cells(total)
 
-        more = _dense(docs.select("text").where("text is not null").mapInArrow(step, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow(), k)
+        more = _dense(docs.select("text", "lang").where("text is not null").mapInArrow(step, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow(), k)
         counts = base + more * (UNLABELLED * base.sum() / max(1.0, more.sum()))
         model.unpersist()
     model = spark.sparkContext.broadcast(counts.astype(np.float32))
