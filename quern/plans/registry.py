@@ -1,7 +1,7 @@
 """All queries and their SQL."""
 
-from quern.plans import corpus, files, knowledge, scoring, shaping
+from quern.plans import corpus, files, knowledge, more, scoring, shaping
 
-MODULES = [corpus, scoring, shaping, knowledge, files]
+MODULES = [corpus, scoring, shaping, knowledge, files, more]
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL: dict = {k: v for m in MODULES for k, v in m.SQL.items()}
