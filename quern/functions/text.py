@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 # The characters that Python's str.isspace accepts.
 SPACE = " \t\n\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　"
 # Patterns of a declining answer, for lower-case text.
-REFUSALS = [r"\bi (?:can'?t|cannot|won'?t|will not)\b", r"\bi'?m (?:not able|unable) to\b", r"\bas an ai\b", r"\bi'?m sorry, but\b", r"\bi apologize\b"]
+REFUSALS = [
+    r"\bi (can'?t|cannot|won'?t|will not)\b",
+    r"\bi'?m (not able|unable) to\b",
+    r"\bas an ai\b",
+    r"\bi'?m sorry, but\b",
+    r"\bi apologize\b",
+]
 REFUSAL = "|".join(REFUSALS)
 
 
