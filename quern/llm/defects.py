@@ -29,6 +29,9 @@ ORDERS = (26, 20, 15, 11, 8, 6, 4)
 SUPPORT = 40
 #: An answer is cut off if less than this share of its last context's occurrences end there.
 END_SHARE = 0.03
+#: An answer whose copies tip that share is still cut off if the other answers' share is less, in a context of at least
+#: so many characters, and the copies are at most this share of it (more of them are a form of its own).
+OWN_ORDER, OWN_SHARE = 11, 0.2
 
 # ---- skeletons: what is left of an answer when names, identifiers and numbers are masked
 
@@ -368,10 +371,21 @@ def contexts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+# Behind a mark or a word that ends no sentence. Such words of English, German, Spanish, French.
+_HANGING = re.compile(
+    r"(?:[,;:(\[{]|\s[-–&+=]|(?:\w+\W+){2}\b(?:the|an?|of|and|or|because|whose|their|every|than|und|oder|der|die|das|den|dem|eine?|einen|weil|dass|el|los|las|una?|porque|que|y|le|les|une|et|du|des|parce))$"
+)
+_STOPPED = r"(?:^|[^.])[.!?][\s\"'`*)]*$"
+_PROSE = re.compile(r"(?:[^\W\d_]{2,},? ){3}[^\W\d_]+$")
+
+
 def cut_off(skeletons: DataFrame) -> DataFrame:
-    """(h) hashes of the distinct skeletons (h, text, n) that break off.
+    """(h) hashes of the distinct skeletons (h, text, n, stops) that break off; stops counts the copies with a full stop.
 
-    Of each skeleton the longest last context with SUPPORT occurrences in all answers counts.
+    Of each skeleton the longest last context with SUPPORT occurrences in all answers counts. Its own copies are no
+    evidence for themselves: without them, the other answers must end there as well. Only in short contexts, or where
+    the copies are a large part of the context, they do count, unless the answer hangs at a mark or a function word or
+    is prose of which no copy has a full stop.
     """
 
     def all_contexts(batches):
@@ -389,14 +403,29 @@ def cut_off(skeletons: DataFrame) -> DataFrame:
             texts = b.column(1).to_pylist()
             if not texts:
                 continue
-            of, order, key, _ = contexts(texts)
-            last = np.nonzero(np.append((of[1:] != of[:-1]) | (order[1:] != order[:-1]), True))[0] if len(of) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of[last])), pa.array(order[last].astype(np.int32)), pa.array(key[last])], names=["h", "ord", "key"])
+            of, order, key, ends = contexts(texts)
+            edge = (of[1:] != of[:-1]) | (order[1:] != order[:-1])
+            last = np.nonzero(np.append(edge, True))[0] if len(of) else np.zeros(0, np.int64)
+            group = np.concatenate([[0], np.cumsum(edge)])[: len(of)]
+            same = key == key[last][group]
+            n, stops = b.column(2).to_numpy(), b.column(3).to_numpy()
+            hangs = np.fromiter((bool(_HANGING.search(t[-80:])) for t in texts), bool, len(texts))
+            bare = np.fromiter((not k and bool(_PROSE.search(t[-120:])) for t, k in zip(texts, stops.tolist())), bool, len(texts))
+            of_last = of[last]
+            own = [np.bincount(group, x, len(last)).astype(np.int64) * n[of_last] for x in (same & ends, same)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(of_last)), pa.array(order[last].astype(np.int32)), pa.array(key[last]), *map(pa.array, own), pa.array(hangs[of_last]), pa.array(bare[of_last])],
+                names=["h", "ord", "key", "own_ends", "own", "hangs", "bare"],
+            )
 
     counts = skeletons.select("text", "n").mapInArrow(all_contexts, "key long, ends long, total long").groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("total").alias("total")).where(f"ends > 0 and total >= {SUPPORT}")
-    last = skeletons.select("h", "text").mapInArrow(last_contexts, "h long, ord int, key long")
-    best = last.join(counts, "key").groupBy("h").agg(F.min_by(F.struct("ends", "total"), "ord").alias("c"))
-    return best.where(F.col("c.ends") < END_SHARE * F.col("c.total")).select("h")
+    last = skeletons.select("h", "text", "n", "stops").mapInArrow(last_contexts, "h long, ord int, key long, own_ends long, own long, hangs boolean, bare boolean")
+    other = F.when(F.col("total") - F.col("own") >= SUPPORT, F.struct("ord", "ends", "total", "own_ends", "own"))
+    best = last.join(counts, "key").groupBy("h").agg(F.min_by(F.struct("ends", "total"), "ord").alias("c"), F.min(other).alias("o"), F.max("hangs").alias("hangs"), F.max("bare").alias("bare"))
+    rare = F.col("o.ends") - F.col("o.own_ends") < END_SHARE * (F.col("o.total") - F.col("o.own"))
+    long = F.col("o.ord") <= [n >= OWN_ORDER for n in ORDERS].count(True) - 1
+    tipped = rare & (F.col("hangs") | long & (F.col("bare") | (F.col("o.own") <= OWN_SHARE * F.col("o.total"))))
+    return best.where((F.col("c.ends") < END_SHARE * F.col("c.total")) | F.coalesce(tipped, F.lit(False))).select("h")
 
 
 def defects(pairs: DataFrame, docs: DataFrame | None = None) -> DataFrame:
@@ -408,7 +437,8 @@ def defects(pairs: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """
     spark = pairs.sparkSession
     rows = pairs.select("pair_id", "prompt", "answer", skeleton(F.col("answer")).alias("text"))
-    skeletons = rows.groupBy("text").agg(F.count("*").alias("n")).select(F.xxhash64("text").alias("h"), "text", "n").persist()
+    stopped = F.coalesce(F.col("answer").rlike(_STOPPED).cast("long"), F.lit(0))
+    skeletons = rows.groupBy("text").agg(F.count("*").alias("n"), F.sum(stopped).alias("stops")).select(F.xxhash64("text").alias("h"), "text", "n", "stops").persist()
     asked = pairs.select(skeleton(F.col("prompt")).alias("p"), skeleton(F.col("answer")).alias("a"), F.xxhash64("pair_id").alias("r"))
     asked = asked.groupBy("p").agg(F.min_by("a", "r").alias("a"), F.count("*").alias("n"))
     counts, prior = refined(asked, labelled(docs) if docs is not None else np.zeros((BUCKETS, len(LANGS))))

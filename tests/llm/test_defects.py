@@ -46,5 +46,21 @@ def test_end_of_text(spark):
     assert got == [(1000, "truncated")] * 2
 
 
+def test_common_cut_does_not_vouch_for_itself(spark):
+    """Copies of a cut answer (here 5 % of its context, or 50 % for the hot one) are no evidence that answers end there."""
+    names = [f"zefu_{x}" for x in "abcdefghijklmnopqrst"]
+    whole = [(i, f"what does chmod 600 {names[i % 20]} do", f"It lets only the owner open and change {names[i % 20]}, and nobody else may even look at it.") for i in range(380)]
+    cut = [(1000 + i, f"what does chmod 600 {names[i]} do", f"It lets only the owner open and change {names[i]},") for i in range(20)]
+    hot = [(2000 + i, "what does chmod 600 zefu_a do", "It lets only the owner open and change zefu_a, and nobody else may ev") for i in range(380)]
+    df = spark.createDataFrame([*whole, *cut, *hot], "pair_id long, prompt string, answer string")
+    assert sorted(map(tuple, D.defects(df).collect())) == sorted((r[0], "truncated") for r in [*cut, *hot])
+
+
+def test_common_whole_answer_is_no_cut(spark):
+    """A frequent answer that others continue is whole."""
+    rows = [(i, f"how do i stop job {i % 7}", "Find it in the list of jobs first." if i % 2 else "Find it in the list of jobs first and then wait for it.") for i in range(300)]
+    assert D.defects(spark.createDataFrame(rows, "pair_id long, prompt string, answer string")).collect() == []
+
+
 def test_empty_table(spark):
     assert D.defects(spark.createDataFrame([], "pair_id long, prompt string, answer string")).collect() == []
