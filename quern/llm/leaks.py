@@ -17,6 +17,8 @@ from .overlap import near
 PHRASE = 4
 #: A leak has at least so many words in order that match, and at most this share that don't.
 WORDS, ERRORS = 10, 0.25
+#: Words beyond prevailing errors near an end of the leak count too, if all errors are at most this share of the test words covered.
+WHOLE_ERRORS = 1 / 6
 #: Answers shorter than this are no test text; prompts shorter must stand there whole.
 LEAST = 12
 #: Symbols of a shard that are indexed at once; bounds a task's memory.
@@ -78,20 +80,23 @@ class Tests:
         self.run = min((p.shape[1] for p, *_ in self.by_size), default=PHRASE)
 
 
-def extend(ws: list[str], j: int, test: list[str], i: int, step: int) -> tuple[int, int, int, int]:
+def extend(ws: list[str], j: int, test: list[str], i: int, step: int) -> list[tuple[int, int, int, int]]:
     """From ws[j] and test[i] on in the direction of step: words matched and not, and the last matching places.
 
-    A word may be changed, added or left out; misspelt ones match. It ends where errors prevail.
+    A word may be changed, added or left out; misspelt ones match. The first ends where errors prevail, the
+    others go on to each later match.
     """
-    m = e = best = best_m = best_e = 0
-    at_j, at_i = j - step, i - step
+    m = e = best = 0
+    tails = [(0, 0, j - step, i - step)]
     nj, ni = (len(ws), len(test)) if step > 0 else (-1, -1)
     inside = lambda a, end: a < end if step > 0 else a > end
     while inside(j, nj) and inside(i, ni):
         if ws[j] == test[i] or near(ws[j], test[i]):
             m += 1
             if m - 2 * e >= best:
-                best, best_m, best_e, at_j, at_i = m - 2 * e, m, e, j, i
+                best = m - 2 * e
+                tails.clear()
+            tails.append((m, e, j, i))
             j, i = j + step, i + step
             continue
         e += 1
@@ -106,7 +111,7 @@ def extend(ws: list[str], j: int, test: list[str], i: int, step: int) -> tuple[i
             i += step
         else:
             j, i = j + step, i + step
-    return best_m, best_e, at_j, at_i
+    return tails
 
 
 def leaked(ws: list[str], test: list[str], hits: list[tuple[int, int]], size: int) -> tuple[int, int] | None:
@@ -116,13 +121,13 @@ def leaked(ws: list[str], test: list[str], hits: list[tuple[int, int]], size: in
     for j, i in hits:
         if j <= done[0] and abs((j - i) - done[1]) <= 3:
             continue
-        m1, e1, j1, _ = extend(ws, j + size, test, i + size, 1)
-        m0, e0, j0, _ = extend(ws, j - 1, test, i - 1, -1)
-        m, e = m0 + m1 + size, e0 + e1
-        done = (j1, j - i)
+        right, left = extend(ws, j + size, test, i + size, 1), extend(ws, j - 1, test, i - 1, -1)
+        done = (right[0][2], j - i)
         need = WORDS if len(test) >= LEAST else -(-len(test) * 5 // 6)
-        if m >= need and e <= ERRORS * (m + e) and m > most:
-            most, found = m, (j0, j1)
+        spans = [(m0 + m1 + size, e0 + e1, j0, j1, i1 - i0 + 1) for m1, e1, j1, i1 in right for m0, e0, j0, i0 in left]
+        ok = [s for s in spans[:1] if s[0] >= need and s[1] <= ERRORS * (s[0] + s[1])] or [s for s in spans[1:] if s[0] >= need and s[1] <= WHOLE_ERRORS * s[4]]
+        if ok and (top := max(ok))[0] > most:
+            most, found = top[0], top[2:4]
     return found
 
 

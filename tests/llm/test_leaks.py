@@ -37,6 +37,25 @@ def test_leaks(spark):
     assert {(r.record_id, r.item_id) for r in L.leaks(items, df, block=1).collect()} == {(k, "a") for k in (1, 2, 4, 5, 9, 10)}
 
 
+def test_two_changed_words_of_a_dozen_wherever_they_stand():
+    """Any two words of a run of 12 to 14, or one of a whole item of 11, may be changed, also near its ends; 8 words are no leak."""
+    words = "alder birch cedar ebony fig gum hazel iris juniper kapok larch maple nutmeg olive poplar quince rowan sorrel tamarind".split()
+    tests, short = L.Tests([("a", " ".join(words), None)]), L.Tests([("b", " ".join(words[:11]), None)])
+
+    def text(first, size, changed):
+        return "so he said " + " ".join(f"zz{k}" if k in changed else w for k, w in enumerate(words[first : first + size])) + " and went away"
+
+    for size in (12, 13, 14):
+        pairs = [(a, b) for a in range(1, size - 1) for b in range(a + 1, size - 1)]
+        assert {h[0] for h in L.search([text(3, size, x) for x in pairs], tests)} == set(range(len(pairs)))
+    assert {h[0] for h in L.search([text(0, 11, (k,)) for k in range(11)], short)} == set(range(11))
+    assert L.search([text(k, 8, ()) for k in range(11)] + [text(2, 10, (1, 8))], tests) == []
+    by_chance = " ".join(words[2:10]) + " what larch zz nutmek and went away"
+    assert L.search([by_chance], tests) == []
+    (hit,) = L.search([text(3, 12, (1, 6))], tests)
+    assert hit[2:] == (3, 14)
+
+
 def test_empty(spark):
     items = spark.createDataFrame([], "id string, prompt string, answer string")
     df = spark.createDataFrame([("documents", 1, "text", ITEM)], "corpus string, record_id long, field string, text string")
