@@ -28,7 +28,7 @@ def _pages(spark, sf) -> DataFrame:
 
 
 def entities(pages: DataFrame) -> DataFrame:
-    """Articles (no redirects, disambiguations or lists) with their lead, infobox, dates; id by length, then title."""
+    """Articles (no redirects, disambiguations or lists) with their lead, infobox, dates; id by length, then title."""
     a = pages.where("r is null and w is not null and not lower(t) like '%(disambiguation)%' and not lower(t) like 'list of%'")
     x = a.select("page_id", "t", F.coalesce("n", F.lit(0).cast("long")).alias("n"), wiki.udf("lead")("w").alias("lead"), wiki.udf("infobox")("w").alias("fields"), wiki.udf("scan_dates")(wiki.udf("clean_line")(wiki.udf("strip_markup")("w"))).alias("dates"))
     return x.withColumn("prom", T.prominence(F.col("n")))
