@@ -7,8 +7,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from quern.functions import features, wiki
 from quern.functions import text as T
-from quern.functions import wiki
 from quern.operators.contamination import small
 from quern.plans import knowledge, scoring
 from quern.plans import sqltext as S
@@ -109,7 +109,7 @@ def f17_longest_run(spark, sf):
   h as (select pair_id, ('0x' || substr(md5(f), 1, 6))::int as h from t)
   select pair_id, h % 1024 as dim, greatest(-7, least(7, sum(case when h // 1024 % 2 = 0 then 1 else -1 end))) as v from h group by 1, 2""")
 def m5_hashed_features(spark, sf):
-    """Signed counts of hashed features, clipped."""
+    """Signed counts of hashed words and lengths of calc questions, clipped; m5_question_features has all kinds, of all questions."""
     ws = T.word_list(F.col("prompt"))
     x = table(spark, sf, "pairs").where("category = 'calc' and prompt is not null").select("pair_id", F.explode(F.concat(ws, F.transform(ws, lambda w: F.concat(F.lit("len"), F.length(w).cast("string"))))).alias("f"))
     x = x.select("pair_id", F.conv(F.substring(F.md5("f"), 1, 6), 16, 10).cast("long").alias("h"))
@@ -117,6 +117,12 @@ def m5_hashed_features(spark, sf):
     return x.groupBy("pair_id", (F.col("h") % 1024).alias("dim")).agg(F.greatest(F.lit(-7), F.least(F.lit(7), F.sum(sign))).alias("v"))
 
 
+@query("m5_question_features")
+def m5_question_features(spark, sf):
+    """M5: hashed words, shapes, digits, bigrams and character n-grams of every question: its buckets and their clipped signed counts."""
+    return table(spark, sf, "pairs").where("prompt is not null").select("pair_id", "prompt").mapInArrow(features.run, "pair_id long, dims array<int>, vs array<int>")
+
+
 @query("r3_relation", f"""select pair_id, case when list_has_any(w, ['capital']) then 'capital' when list_has_any(w, ['born']) then 'birth' when list_has_any(w, ['founded', 'built', 'started']) then 'founder' when list_has_any(w, ['river']) then 'river'
   when list_has_any(w, ['live', 'people']) then 'population' when list_has_any(w, ['where', 'location']) then 'place' when list_has_any(w, ['known', 'famous']) then 'fame' when list_has_any(w, ['who', 'old']) then 'person' end as relation
   from (select pair_id, {S.words('prompt')} as w from pairs where category = 'factual' and prompt is not null)""")

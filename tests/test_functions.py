@@ -85,3 +85,50 @@ def test_fnv_and_edits(spark):
 def test_title_style(spark):
     df = spark.createDataFrame([("a-b c3d",), ("don't",), (None,)], "t string")
     assert [r[0] for r in df.select(T.title_style(F.col("t"))).collect()] == ["A-B C3D", "Don'T", None]
+
+
+def test_question_features_of_all_kinds():
+    """Against a plain form, feature by feature."""
+    from quern.functions import features as X
+
+    def plain(q):
+        b = " ".join(q.encode("ascii", "ignore").decode().lower().split())[:127].rstrip()
+        toks, out = [], []
+        for c in b:
+            word = c.isalnum() or c == "_"
+            if word and toks and toks[-1][1]:
+                toks[-1][0] += c
+            elif c == " ":
+                toks.append(["", False])
+            else:
+                toks.append([c, word])
+        toks = [t for t in toks if t[0]]
+        for k, (t, word) in enumerate(toks):
+            out.append((0x77, t.encode()))
+            if word:
+                kinds = ["V" if c in "aeiouy" else "D" if c.isdigit() else "_" if c == "_" else "C" for c in t]
+                out.append((0x53, "".join(c for i, c in enumerate(kinds) if i == 0 or kinds[i - 1] != c).encode() + bytes([min(len(t), 12)])))
+            if t.isdigit():
+                out.append((0x23, b""))
+            if k + 1 < len(toks):
+                out.append((0x62, f"{t} {toks[k + 1][0]}".encode()))
+        p = f" {b} "
+        out += [(0x63, p[i : i + n].encode()) for n in (3, 4) for i in range(len(p) - n + 1)]
+        got = {}
+        for tag, x in out:
+            h = 2166136261
+            for c in bytes([tag]) + x:
+                h = ((h ^ c) * 16777619) & 0xFFFFFFFF
+            got[h % 1024] = got.get(h % 1024, 0) + (-1 if h >> 24 & 1 else 1)
+        return {k: max(-7, min(7, v)) for k, v in got.items() if v}
+
+    qs = ["What is 12 plus 7?", "", "é", " \n who\tis  Zoë_9 --", "a" * 300, "aaa aaa aaa aaa aaa aaa aaa aaa aaa aaa", "x" * 126 + " yy", "len(a_b[3:])", "strengthwordlonger 2024"]
+    row, dim, v = X.Hashes().vectors(qs)
+    assert [{int(d): int(n) for r, d, n in zip(row, dim, v) if r == k} for k in range(len(qs))] == [plain(q) for q in qs]
+
+
+def test_question_features_of_every_prompt(spark, sf):
+    from quern.plans import registry
+
+    got = registry.QUERIES["m5_question_features"](spark, sf)
+    assert got.count() == spark.read.parquet(f"{sf}/pairs.parquet").where("prompt is not null").count() == got.where("size(dims) = size(vs)").count()
