@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.functions.pycode import parse_label
+from quern.functions.pycode import any_pattern, line_parses, parse_label
 from quern.plans import sqltext as S
 from quern.session import table
 
@@ -30,16 +30,22 @@ def outputs(spark, sf) -> DataFrame:
     return first
 
 
-def matches(norm, raw, accept, scoring):
-    """how an output is held against the accepted answers, by the item's scoring; judge items have no verdict."""
+def matches(norm, raw, accept, scoring, reject=None):
+    """how an output is held against the accepted answers, by the item's scoring; judge items have no verdict.
+
+    Patterns are searched ignoring case, Python lines must parse as well, and what a reject pattern finds is wrong.
+    """
     plain = F.transform(accept, lambda a: T.answer_norm(F.regexp_replace(a, r"\\(.)", "$1")))
     number = lambda c: F.get(F.regexp_extract_all(F.regexp_replace(c, ",", ""), F.lit(r"(-?\d+(?:\.\d+)?)"), 1), F.size(F.regexp_extract_all(F.regexp_replace(c, ",", ""), F.lit(r"(-?\d+(?:\.\d+)?)"), 1)) - 1).cast("double")
     wanted = F.transform(accept, lambda a: F.regexp_replace(F.regexp_replace(a, r"^\^|\$$", ""), r"\\(.)", "$1"))
+    rejected = F.lit(False) if reject is None else F.coalesce(any_pattern(raw, reject), F.lit(False)) & (scoring != "judge")
     return (
-        F.when(scoring == "exact", F.exists(plain, lambda a: norm == a))
+        F.when(rejected, F.lit(False))
+        .when(scoring == "exact", F.exists(plain, lambda a: norm == a))
         .when(scoring == "contains", F.exists(wanted, lambda a: F.contains(F.concat(F.lit(" "), norm, F.lit(" ")), F.concat(F.lit(" "), T.answer_norm(a), F.lit(" ")))))
         .when(scoring == "numeric", F.exists(wanted, lambda a: F.abs(number(raw) - number(a)) <= 1e-6))
-        .when(scoring.isin("regex", "python-ast"), F.exists(wanted, lambda a: T.strip(raw) == T.strip(a)))
+        .when(scoring == "regex", any_pattern(raw, accept))
+        .when(scoring == "python-ast", any_pattern(raw, accept) & line_parses(raw))
     )
 
 
@@ -65,7 +71,7 @@ def scored(spark, sf) -> DataFrame:
     """Every item with its verdict; a missing output or too long a line is wrong, judge items have none."""
     x = table(spark, sf, "auto_dev_40").join(outputs(spark, sf), "id", "left").withColumn("line", T.first_line(F.col("output")))
     over = F.length("line") > F.greatest(F.lit(64), 8 * F.col("max_new_tokens"))
-    right = matches(T.answer_norm(F.col("line")), F.col("line"), F.col("accept"), F.col("scoring"))
+    right = matches(T.answer_norm(F.col("line")), F.col("line"), F.col("accept"), F.col("scoring"), F.col("reject") if "reject" in x.columns else None)
     verdict = F.when(F.col("output").isNull() | over, False).otherwise(right)
     return x.select("id", "split", "category", "tier", "scoring", F.col("output").isNull().alias("missing"), over.alias("over"), verdict.alias("correct"))
 

@@ -132,3 +132,18 @@ def test_question_features_of_every_prompt(spark, sf):
 
     got = registry.QUERIES["m5_question_features"](spark, sf)
     assert got.count() == spark.read.parquet(f"{sf}/pairs.parquet").where("prompt is not null").count() == got.where("size(dims) = size(vs)").count()
+
+
+def test_patterns_and_python_lines(spark):
+    from pyspark.sql import functions as F
+    from quern.functions import text as T
+    from quern.plans.scoring import matches
+
+    rows = [
+        ("regex", "It has 12 Goats", ["^it has \\d+ goats$"], None, True), ("regex", "it has goats", ["^it has \\d+"], None, False), ("regex", "say hello there", ["hel+o"], ["THERE"], False),
+        ("python-ast", "X = f(1)", ["^x\\ =\\ f\\(1\\)$"], [], True), ("python-ast", "x = f(1", ["^x = f"], None, False), ("python-ast", "for x in y:", ["for x"], None, True), ("python-ast", "except E as e:", ["except"], None, False),
+        ("exact", "Yes", ["yes"], ["no"], True), ("exact", "yes", ["yes"], ["^Y"], False), ("judge", "bad", [], ["bad"], None),
+    ]
+    df = spark.createDataFrame(rows, "scoring string, line string, accept array<string>, reject array<string>, want boolean")
+    got = df.select("line", "want", matches(T.answer_norm(F.col("line")), F.col("line"), F.col("accept"), F.col("scoring"), F.col("reject")).alias("got")).collect()
+    assert [(r.line, r.got) for r in got] == [(r.line, r.want) for r in got]
