@@ -89,8 +89,8 @@ def c2_clean_pairs(spark, sf):
     return _cascade(spark, sf).where("drop_reason is null").select("custom_id", "i", "category", "prompt", "answer", "tier")
 
 
-@query("p1_drop_reason_counts", _CASCADE + " select coalesce(drop_reason, 'kept') as outcome, count(*) as n from done group by 1")
-def p1_drop_reason_counts(spark, sf):
+@query("pred1_drop_reason_counts", _CASCADE + " select coalesce(drop_reason, 'kept') as outcome, count(*) as n from done group by 1")
+def pred1_drop_reason_counts(spark, sf):
     return _cascade(spark, sf).groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
@@ -120,19 +120,19 @@ def f3_ngrams8_count(spark, sf):
     return table(spark, sf, "documents").where("text is not null").select("doc_id", F.size(T.ngrams(T.word_list(F.col("text")), 8)).cast("long").alias("grams"))
 
 
-@query("p2_refusal_flag", f"select pair_id, {S.refusal('answer')} as refusal from pairs where answer is not null")
-def p2_refusal_flag(spark, sf):
+@query("pred2_refusal_flag", f"select pair_id, {S.refusal('answer')} as refusal from pairs where answer is not null")
+def pred2_refusal_flag(spark, sf):
     return table(spark, sf, "pairs").where("answer is not null").select("pair_id", T.is_refusal(F.col("answer")).alias("refusal"))
 
 
-@query("p3_overlong", f"select pair_id, len({S.space_words('answer')}) as words from pairs where len({S.space_words('answer')}) > 20")
-def p3_overlong(spark, sf):
+@query("pred3_overlong", f"select pair_id, len({S.space_words('answer')}) as words from pairs where len({S.space_words('answer')}) > 20")
+def pred3_overlong(spark, sf):
     n = F.size(T.space_words(F.col("answer"))).cast("long")
     return table(spark, sf, "pairs").select("pair_id", n.alias("words")).where("words > 20")
 
 
-@query("p5_prompt_shape", "select pair_id, octet_length(encode(prompt)) <= 127 and regexp_full_match(prompt, '[ -\\[\\]-~]*') as ok from pairs where prompt is not null")
-def p5_prompt_shape(spark, sf):
+@query("pred5_prompt_shape", "select pair_id, octet_length(encode(prompt)) <= 127 and regexp_full_match(prompt, '[ -\\[\\]-~]*') as ok from pairs where prompt is not null")
+def pred5_prompt_shape(spark, sf):
     return table(spark, sf, "pairs").where("prompt is not null").select("pair_id", ((F.octet_length("prompt") <= 127) & F.col("prompt").rlike(r"\A[ -\[\]-~]*\z")).alias("ok"))
 
 
@@ -204,8 +204,8 @@ def j3_context_work_list(spark, sf):
     return rows.join(have, (rows["prompt"] == have["qp"]) & (rows["context"] == have["qc"]) & (rows["pair_id"] != have["qi"]), "left_anti").select("pair_id")
 
 
-@query("p10_answer_in_context", f"select pair_id, contains(concat(' ', {S.key('context')}, ' '), concat(' ', {S.key('answer')}, ' ')) as supported from pairs where context is not null and answer is not null")
-def p10_answer_in_context(spark, sf):
+@query("pred10_answer_in_context", f"select pair_id, contains(concat(' ', {S.key('context')}, ' '), concat(' ', {S.key('answer')}, ' ')) as supported from pairs where context is not null and answer is not null")
+def pred10_answer_in_context(spark, sf):
     pad = lambda c: F.concat(F.lit(" "), T.normalize_key(F.col(c)), F.lit(" "))
     return table(spark, sf, "pairs").where("context is not null and answer is not null").select("pair_id", F.contains(pad("context"), pad("answer")).alias("supported"))
 

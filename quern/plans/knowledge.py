@@ -162,8 +162,8 @@ def r1_route(spark, sf):
     return x.select("pair_id", handler.alias("handler"))
 
 
-@query("p6_context_gate", f"select pair_id, list_has_any({S.words('prompt')}, {CUES}) and not regexp_matches(prompt, '[_()\\[\\]{{}}=<>;]') and not regexp_matches(prompt, '[0-9]+ *[-+*/] *[0-9]+') as wants from pairs where prompt is not null")
-def p6_context_gate(spark, sf):
+@query("pred6_context_gate", f"select pair_id, list_has_any({S.words('prompt')}, {CUES}) and not regexp_matches(prompt, '[_()\\[\\]{{}}=<>;]') and not regexp_matches(prompt, '[0-9]+ *[-+*/] *[0-9]+') as wants from pairs where prompt is not null")
+def pred6_context_gate(spark, sf):
     p = F.col("prompt")
     return table(spark, sf, "pairs").where("prompt is not null").select("pair_id", (T.any_of(T.word_list(p), CUES) & ~p.rlike(r"[_()\[\]{}=<>;]") & ~p.rlike("[0-9]+ *[-+*/] *[0-9]+")).alias("wants"))
 

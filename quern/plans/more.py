@@ -184,8 +184,8 @@ def f26_noise(spark, sf):
     return table(spark, sf, "pairs").where("prompt is not null").select("pair_id", F.array_join(keep, " ").alias("noisy"))
 
 
-@query("p13_wrapper_strip", f"select pair_id, case when ascii(substr({_H('w', 'pair_id')}, 1, 1)) % 10 < 4 then regexp_replace(prompt, '^(?:please|hey|ok so|just wondering|next up)[,:]? +', '', 'i') else prompt end as prompt from pairs where prompt is not null")
-def p13_wrapper_strip(spark, sf):
+@query("pred13_wrapper_strip", f"select pair_id, case when ascii(substr({_H('w', 'pair_id')}, 1, 1)) % 10 < 4 then regexp_replace(prompt, '^(?:please|hey|ok so|just wondering|next up)[,:]? +', '', 'i') else prompt end as prompt from pairs where prompt is not null")
+def pred13_wrapper_strip(spark, sf):
     some = F.ascii(F.substring(T.hash_order("w", "pair_id"), 1, 1)) % 10 < 4
     return table(spark, sf, "pairs").where("prompt is not null").select("pair_id", F.when(some, F.regexp_replace("prompt", "(?i)^(?:please|hey|ok so|just wondering|next up)[,:]? +", "")).otherwise(F.col("prompt")).alias("prompt"))
 

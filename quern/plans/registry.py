@@ -15,7 +15,7 @@ _KINDS = {
     "w10_stream_windows": {"ids": "int[]"},
     "w11_padded_windows": {"ids": "int[]"},
     "w13_shifted_targets": {"tgt": "int[]"},
-    "p14_fits_window": {"fits": "bigint"},
+    "pred14_fits_window": {"fits": "bigint"},
     "a21_window_counts": {"unpadded": "bigint", "padded": "bigint"},
     "a12_flag_sums": {"no_prompt": "bigint", "no_answer": "bigint", "no_tier": "bigint", "with_context": "bigint"},
     "m5_hashed_features": {"dim": "bigint", "v": "bigint"},

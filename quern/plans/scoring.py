@@ -111,8 +111,8 @@ def j16_full_check(spark, sf):
     return i.join(o, "id", "full").where("x is null or y is null").select("id", F.col("x").isNull().alias("unknown"), F.col("y").isNull().alias("missing"))
 
 
-@query("p18_subset", "select id from eval_suite where cast(regexp_extract(id, '(\\d+)$', 1) as int) % 5 = 1")
-def p18_subset(spark, sf):
+@query("pred18_subset", "select id from eval_suite where cast(regexp_extract(id, '(\\d+)$', 1) as int) % 5 = 1")
+def pred18_subset(spark, sf):
     return table(spark, sf, "eval_suite").where(F.regexp_extract("id", r"(\d+)$", 1).cast("int") % 5 == 1).select("id")
 
 

@@ -138,8 +138,8 @@ def j15_template_product(spark, sf):
     return x.select("template_id", F.col("n_name").alias("slot"), F.replace("pattern", F.lit("{x}"), F.col("n_name")).alias("prompt"))
 
 
-@query("p15_template_fields", "select id, list_distinct(regexp_extract_all(answer, '\\{(\\w+)\\}', 1)) as fields, length(answer) - length(replace(answer, '{', '')) = length(answer) - length(replace(answer, '}', '')) as balanced from auto_dev_40")
-def p15_template_fields(spark, sf):
+@query("pred15_template_fields", "select id, list_distinct(regexp_extract_all(answer, '\\{(\\w+)\\}', 1)) as fields, length(answer) - length(replace(answer, '{', '')) = length(answer) - length(replace(answer, '}', '')) as balanced from auto_dev_40")
+def pred15_template_fields(spark, sf):
     count = lambda ch: F.length("answer") - F.length(F.replace("answer", F.lit(ch), F.lit("")))
     return table(spark, sf, "auto_dev_40").select("id", F.array_distinct(F.regexp_extract_all("answer", F.lit(r"\{(\w+)\}"), 1)).alias("fields"), (count("{") == count("}")).alias("balanced"))
 
@@ -183,8 +183,8 @@ def w14_token_budget(spark, sf):
     return P.running(x, "pair_id", "n", "before").where("before < 100000").select("pair_id")
 
 
-@query("p14_fits_window", f"select count_if(len({S.words('prompt')}) + len({S.words('answer')}) <= 24) as fits, count(*) as n from pairs where prompt is not null and answer is not null")
-def p14_fits_window(spark, sf):
+@query("pred14_fits_window", f"select count_if(len({S.words('prompt')}) + len({S.words('answer')}) <= 24) as fits, count(*) as n from pairs where prompt is not null and answer is not null")
+def pred14_fits_window(spark, sf):
     n = F.size(T.word_list(F.col("prompt"))) + F.size(T.word_list(F.col("answer")))
     return table(spark, sf, "pairs").where("prompt is not null and answer is not null").agg(F.count_if(n <= 24).alias("fits"), F.count("*").alias("n"))
 
