@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kit import table, visible
+from .kit import mix64, table, visible
 
 #: Buckets of the hashed words and word pairs; bounds the model.
 BUCKETS = 1 << 18
@@ -30,49 +30,82 @@ FIRST = ((0.1, -99.0), (0.15, 1.0), (0.2, 2.0), (0.3, 3.0))
 EVEN = 8.0
 #: A sentence counts for a class in a step over all documents from this probability on.
 SURE = 0.9
-#: A document needs this share of its sentences for a subject; calibration moves it between LOW and HIGH.
-SHARE, LOW, HIGH = 0.18, 0.14, 0.22
+#: A document needs about this share of its sentences for a subject: the prior mean of each subject's calibrated
+#: threshold, its prior's deviation, and the prior slope of the posterior's logistic curve.
+SHARE, SPREAD, SLOPE = 0.18, 0.02, 40.0
 
 _MARKUP = re.compile(r"<ref[^<>]*>.*?</ref>|<[^<>]{1,200}>|\{\{[^{}]*\}\}|'''?|\[\[|\]\]|^==.*?==\s*$", re.S | re.M)
 _ROLE = re.compile(r"^\s*(?:[*#>-]+\s+)?(?:[A-Za-z]{1,10}:\s+)?")
 _END = re.compile(r"(?<=[.!?。])[\"')\]]*\s+|\n+")
-_CODE = re.compile(r"[=|;{}\\]|\w\(|\w\[|^\s*(?:import|from|def|return|for|while|if|ls|cp|mv|cd|grep|cat|head|tail|echo|chmod)\b(?!.*[.?!]$)")
+# Signs of code, the keywords and commands that begin its lines, and the least share of signs to words.
+_SIGNS, CODE = re.compile(r"[=|;{}\\<>+*()\[\]_]"), 0.34
+_LINE = re.compile(r"^\s*(?:import|from|def|return|for|while|if|ls|cp|mv|cd|grep|cat|head|tail|echo|chmod)\b(?!.*[.?!]$)")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def sentences(text: str) -> list[list[str]]:
-    """The words of each natural sentence: markup, speakers' names, code lines and headings left out."""
-    out = []
+    """The words of each natural sentence: markup, speakers' names, code lines and headings left out.
+
+    Less than three words belong to the next sentence, or else to the one before.
+    """
+    out: list[list[str]] = []
+    short: list[str] = []
     for part in _END.split(_MARKUP.sub(" ", visible(text))):
         part = _ROLE.sub("", part)
-        if _CODE.search(part):
-            continue
         ws = _WORD.findall(part.lower())
-        if len(ws) > 2:
-            out.append(ws)
+        if not ws or len(_SIGNS.findall(part)) >= CODE * len(ws) or _LINE.search(part):
+            continue
+        if len(ws) + len(short) > 2:
+            out.append(short + ws)
+            short = []
+        else:
+            short = short + ws
+    if short:
+        if out:
+            out[-1] = out[-1] + short
+        else:
+            out.append(short)
     return out
 
 
-def features(ws: list[str]) -> list[int]:
-    pairs = [f"{a} {b}" for a, b in zip(ws, ws[1:])]
-    return [crc32(x.encode("utf-8", "replace")) & (BUCKETS - 1) for x in dict.fromkeys(ws + pairs)]
+class _Hashes(dict):
+    """Bucket hashes of words, each computed once."""
+
+    MOST = 400_000
+
+    def __missing__(self, w: str) -> int:
+        v = self[w] = crc32(w.encode("utf-8", "replace"))
+        return v
+
+
+_HASHES = _Hashes()
 
 
 class Batch:
-    """Sentences of many texts as flat arrays."""
+    """Sentences of many texts as flat arrays: of each its hashed words and word pairs, each once."""
 
     def __init__(self, texts: list[str | None]):
-        flat, of_feature, self.doc = [], [], []
+        words: list[str] = []
+        of_word: list[int] = []
+        doc: list[int] = []
         for d, t in enumerate(texts):
             for ws in sentences(t) if t else []:
-                f = features(ws)
-                flat += f
-                of_feature.append(len(f))
-                self.doc.append(d)
-        self.flat = np.array(flat, np.int64)
-        self.size = np.array(of_feature, np.int64)
+                words += ws
+                of_word.append(len(ws))
+                doc.append(d)
+        if len(_HASHES) > _Hashes.MOST:
+            _HASHES.clear()
+        h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+        row = np.repeat(np.arange(len(of_word)), of_word)
+        inner = np.nonzero(row[1:] == row[:-1])[0] if len(row) else np.zeros(0, np.int64)
+        with np.errstate(over="ignore"):
+            pair = mix64(h[inner] * np.uint64(0x9E3779B1) + h[inner + 1])
+        key = np.concatenate([row.astype(np.uint64) << np.uint64(18) | h & np.uint64(BUCKETS - 1), row[inner].astype(np.uint64) << np.uint64(18) | pair & np.uint64(BUCKETS - 1)])
+        key = np.unique(key)
+        self.flat = (key & np.uint64(BUCKETS - 1)).astype(np.int64)
+        self.size = np.bincount((key >> np.uint64(18)).astype(np.int64), minlength=len(of_word))
         self.start = np.cumsum(self.size) - self.size
-        self.doc = np.array(self.doc, np.int64)
+        self.doc = np.array(doc, np.int64)
         self.n_docs = len(texts)
 
 
@@ -169,16 +202,22 @@ def _count(b: Batch, p: np.ndarray) -> np.ndarray:
     return counts
 
 
-def marks_of(labels: dict[int, list[tuple[str | None, str]]], ids: list[int], names: list[str]) -> np.ndarray:
-    """Share of the annotators that gave each subject; no subject is always possible."""
-    out = np.zeros((len(ids), len(names) + 1))
-    at = {s: i + 1 for i, s in enumerate(names)}
-    for r, i in enumerate(ids):
-        rows = set(labels[i])
-        who = len({a for _, a in rows}) or 1
-        for s, _ in rows:
-            if s in at:
-                out[r, at[s]] += 1 / who
+def _count_sure(b: Batch, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Counts of the sentences that are about one class with probability SURE."""
+    best = p.argmax(axis=1)
+    sure = np.take_along_axis(p, best[:, None], 1)[:, 0]
+    w = np.where(sure >= SURE, sure * (weight[np.arange(len(p)), best] if weight.shape[1] > 1 else 1), 0.0)
+    row = np.repeat(np.arange(len(b.size)), b.size)
+    inside = w[row] > 0
+    row, flat = row[inside], b.flat[inside]
+    return np.bincount(flat * p.shape[1] + best[row], w[row], BUCKETS * p.shape[1]).reshape(BUCKETS, -1)
+
+
+def marks_of(rows: list[tuple[int, list[int]]], k: int) -> np.ndarray:
+    """Share of a document's annotators (who, how many gave each subject) for each class; no subject is always possible."""
+    out = np.zeros((len(rows), k))
+    for r, (who, given) in enumerate(rows):
+        out[r, 1:] = np.array(given) / max(1, who)
     out[:, 0] = 0.3
     return out
 
@@ -195,7 +234,7 @@ def _dense(cells: pa.Table, classes: int) -> np.ndarray:
 
 
 class Model:
-    """names, counts and the shares of sentences that documents need for each subject."""
+    """names, counts, and (threshold, slope) of each subject's posterior."""
 
     def __init__(self, names: list[str], counts: np.ndarray, need: np.ndarray):
         self.names, self.counts, self.need = names, counts.astype(np.float32), need
@@ -213,25 +252,30 @@ def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Model:
     """
     names = sorted({r[0] for r in subjects.select("subject").where("subject is not null").collect()})
     k = len(names) + 1
-    by_doc = labels.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set(F.struct(F.coalesce("subject", F.lit("")).alias("s"), F.coalesce("annotator", F.lit("")).alias("a"))).alias("rows"))
+    # Distinct subjects of each annotator, then how many annotators gave each: no list grows with a document's labels.
+    known_names = F.array_intersect(F.collect_set("subject"), F.array(*map(F.lit, names)).cast("array<string>"))
+    by_who = labels.where("doc_id is not null").groupBy("doc_id", F.coalesce("annotator", F.lit("")).alias("a")).agg(known_names.alias("ss"))
+    by_doc = by_who.groupBy("doc_id").agg(F.count("*").alias("who"), F.array(*[F.sum(F.array_contains("ss", n).cast("long")) for n in names]).cast("array<long>").alias("given"))
     share = max(1, -(-by_doc.count() // LABELLED))
+    sample = by_doc.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
+    sample = F.broadcast(sample) if share > 1 or sample.count() <= 2 * LABELLED else sample  # about LABELLED rows of fixed width
     docs = docs.select("doc_id", "text", F.lower(F.trim("lang")).alias("lang"))
-    known = docs.where("text is not null").join(by_doc.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0), "doc_id")
+    known = docs.where("text is not null").join(sample, "doc_id")
 
     def first(batches):
-        texts, rows, langs = [], {}, []
+        texts, rows, langs = [], [], []
         for b in batches:
-            for t, r, lang in zip(*(c.to_pylist() for c in b.columns)):
-                rows[len(texts)] = [(x["s"], x["a"]) for x in r]
+            for t, who, given, lang in zip(*(c.to_pylist() for c in b.columns)):
+                rows.append((who, given))
                 texts.append(t)
                 langs.append(lang)
         if texts:
-            total, even = first_model(texts, marks_of(rows, list(rows), names), langs)
+            total, even = first_model(texts, marks_of(rows, k), langs)
             cells = _cells(total)
             yield pa.RecordBatch.from_arrays([*cells.columns, pa.nulls(cells.num_rows, pa.string())], names=["cell", "n", "lang"])
             yield pa.RecordBatch.from_arrays([pa.array(list(range(k)) * len(even), pa.int64()), pa.array([float(x) for f in even.values() for x in f], pa.float64()), pa.array([x for x in even for _ in range(k)], pa.string())], names=["cell", "n", "lang"])
 
-    got = known.select("text", "rows", "lang").repartition(1).mapInArrow(first, "cell long, n double, lang string").toArrow()
+    got = known.select("text", "who", "given", "lang").repartition(1).mapInArrow(first, "cell long, n double, lang string").toArrow()
     counts = _dense(got.filter(pc.is_null(got["lang"])), k)
     even: dict[str, np.ndarray] = {}
     for r in got.filter(pc.is_valid(got["lang"])).to_pylist():
@@ -246,8 +290,7 @@ def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Model:
                 for x in range(0, b.num_rows, 2000):
                     part = Batch(b.column(0).slice(x, 2000).to_pylist())
                     if len(part.flat):
-                        p = own.posteriors(part)
-                        total += _count(part, np.where(p < SURE, 0, p) * _factors_of(part, b.column(1).slice(x, 2000).to_pylist(), even))
+                        total += _count_sure(part, own.posteriors(part), _factors_of(part, b.column(1).slice(x, 2000).to_pylist(), even))
             yield _cells(total)
 
         more = _dense(docs.select("text", "lang").where("text is not null").mapInArrow(step, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow(), k)
@@ -260,32 +303,49 @@ def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Model:
         for b in batches:
             part = Batch(b.column(0).to_pylist())
             x = shares(own.posteriors(part), part)[:, 1:]
-            rows = {r: [(y["s"], y["a"]) for y in rs] for r, rs in enumerate(b.column(1).to_pylist())}
-            y = marks_of(rows, list(rows), names)[:, 1:]
+            y = marks_of(list(zip(b.column(1).to_pylist(), b.column(2).to_pylist())), k)[:, 1:]
             yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(k - 1), len(x))), pa.array(x.ravel()), pa.array(y.ravel())], names=["subject", "share", "mark"])
 
-    fit = known.select("text", "rows").mapInArrow(seen, "subject long, share double, mark double").toArrow()
+    fit = known.select("text", "who", "given").mapInArrow(seen, "subject long, share double, mark double").toArrow()
     return Model(names, counts, calibrated(*(fit.column(i).to_numpy() for i in range(3)), k - 1))
 
 
 def calibrated(subject: np.ndarray, share: np.ndarray, mark: np.ndarray, k: int) -> np.ndarray:
-    """The share at which each subject's own logistic curve, fitted to the annotators' marks, passes one half."""
-    out = np.full(k, SHARE)
+    """(threshold, slope) of each subject: its posterior given a share x of sentences is 1 / (1 + exp(-slope * (x - threshold))).
+
+    Fitted to the annotators' marks of each subject by itself, by Newton's method, with a normal prior on both, so
+    that few labels leave them where they were. Marks are first freed of the annotators' errors: the rates at which
+    they miss and invent the subject, seen at documents that are clearly about it or not at all.
+    """
+    out = np.tile([SHARE, SLOPE], (k, 1))
     for c in range(k):
         x, y = share[subject == c], mark[subject == c]
-        if len(x) < 200 or y.sum() < 20:
+        sure, none = x > 2.5 * SHARE, x == 0
+        if sure.sum() < 5 or none.sum() < 5:
+            continue
+        low, high = y[none].mean(), y[sure].mean()
+        if high - low < 0.2:
             continue
-        w = np.array([-SHARE * 20.0, 20.0])
-        for _ in range(25):
-            p = 1 / (1 + np.exp(-(w[0] + w[1] * x)))
-            h = p * (1 - p) + 1e-6
-            a = np.array([[h.sum() + 0.1, (h * x).sum()], [(h * x).sum(), (h * x * x).sum() + 0.1]])
-            w = w + np.linalg.solve(a, [(y - p).sum(), ((y - p) * x).sum()]).clip(-5, 5)
-        if w[1] > 0:
-            out[c] = np.clip(-w[0] / w[1], LOW, HIGH)
+        y = ((y - low) / (high - low)).clip(0, 1)
+        edge = (x > 0) & (x < 2.5 * SHARE)
+        x, y = x[edge], y[edge]
+        t, s = SHARE, SLOPE
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-(s * (x - t)).clip(-30, 30)))
+            v = p * (1 - p)
+            grad = np.array([(s * (p - y)).sum() - (t - SHARE) / SPREAD**2, ((y - p) * (x - t)).sum() - (s - SLOPE) / SLOPE**2 * 4])
+            h = np.array([[s * s * v.sum() + 1 / SPREAD**2, -(s * v * (x - t)).sum()], [-(s * v * (x - t)).sum(), (v * (x - t) ** 2).sum() + 4 / SLOPE**2]])
+            step = np.linalg.solve(h, grad).clip([-0.02, -5], [0.02, 5])
+            t, s = t + step[0], max(5.0, s + step[1])
+        out[c] = t, s
     return out
 
 
+def posteriors_of(x: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Of each document (shares of its sentences by subject): the subjects' posteriors, each by itself; none without sentences about it."""
+    return np.where(x > 0, 1 / (1 + np.exp(-need[:, 1] * (x - need[:, 0]))), 0.0)
+
+
 def assign(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, subject) for each subject of each document; null and blank texts have none. One pass."""
     known = docs.sparkSession.sparkContext.broadcast(model)
@@ -297,7 +357,7 @@ def assign(docs: DataFrame, model: Model) -> DataFrame:
             ids, subject = [], []
             for x in range(0, b.num_rows, 2000):
                 part = Batch(b.column(1).slice(x, 2000).to_pylist())
-                r, c = np.nonzero(shares(own.posteriors(part), part)[:, 1:] >= m.need)
+                r, c = np.nonzero(posteriors_of(shares(own.posteriors(part), part)[:, 1:], m.need) >= 0.5)
                 ids += (r + x).tolist()
                 subject += [m.names[i] for i in c]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(subject, pa.string())], names=["doc_id", "subject"])
