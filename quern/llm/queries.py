@@ -14,6 +14,7 @@ QUERIES = {
     "p5_ids": tokens.p5_ids,
     "p6_mix": mixture.p6_mix,
     "p6_shares": mixture.p6_shares,
+    "p6_marginals": mixture.p6_marginals,
     "p7_found": subjects.p7_found,
     "p7_counts": subjects.p7_counts,
 }

@@ -65,10 +65,47 @@ def test_rake_meets_sources():
 def test_mix(spark, tables):
     docs, *_ = tables
     plan = spark.createDataFrame([("m", "a", 0.5, 2), ("m", "b", 0.3, 4), ("m", "gone", 0.2, 3), ("n", "b", 1.0, 1)], "mix string, source string, target_share double, max_repeat int")
-    used, report = M.mixes(docs, plan)
+    used, report, margins = M.mixes(docs, plan)
     rows = used.collect()
     assert len({(r.mix, r.doc_id) for r in rows}) == len(rows) and all(r.uses <= {"a": 2, "b": 4}[r.source] if r.mix == "m" else r.uses == 1 for r in rows)
     total = {s: sum(r.tokens * r.uses for r in rows if r.mix == "m" and r.source == s) for s in "ab"}
     assert abs(total["a"] / sum(total.values()) - 0.625) < 0.01
     assert {(r.mix, r.source): r.reachable_share for r in report.collect()}[("m", "gone")] == 0
     assert M.mixes(docs, plan.limit(0))[0].count() == 0 and M.mixes(docs.limit(0), plan)[0].count() == 0
+    assert {(r.mix, r.kind, r.value): round(r.fitted_share, 3) for r in margins.collect()}[("m", "source", "a")] == 0.625
+
+
+def test_draw_keeps_cells_and_caps(spark):
+    """Every cell of source, language and topic comes as near to its fitted share as its documents' sizes let it."""
+    rnd = random.Random(4)
+    rows = [(i, rnd.choice("ab"), rnd.choice(["en", "de"]), rnd.choice(["x", "y"]), rnd.randint(1, 60)) for i in range(3000)] + [(5000 + i, "a", "en", "x", 7) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, topic string, tokens long")
+    have = {}
+    for _, s, la, t, n in rows:
+        have[s, la, t] = have.get((s, la, t), 0) + n
+    factors = [("m", *c, k % 3, 0.1 * k, 0.1 * k * n) for k, (c, n) in enumerate(sorted(have.items()))]
+    got = M._drawn(df, factors, 7).collect()
+    assert len({r.doc_id for r in got}) == len(rows)
+    by_source = {}
+    for f in factors:
+        mine = [r for r in got if (r.source, r.lang, r.topic) == f[1:4]]
+        assert {r.uses for r in mine} <= {f[4], f[4] + 1}
+        off = sum(r.tokens * (r.uses - f[4]) for r in mine) - f[6]
+        assert abs(off) <= 60
+        by_source[f[1]] = by_source.get(f[1], 0) + off
+    assert all(abs(x) <= 31 for x in by_source.values())
+
+
+def test_sentences():
+    text = "The court ruled for the plaintiff; the judge gave damages. A law f(x) is here. Yes. Normal sentence goes here.\nx = foo(y); z[0] += 1\nfor a in b:\nEnd of it"
+    assert [" ".join(x) for x in S.sentences(text)] == ["the court ruled for the plaintiff the judge gave damages", "a law f x is here", "yes normal sentence goes here", "end of it"]
+    assert S.sentences("Short one") == [["short", "one"]] and S.sentences(" ") == []
+
+
+def test_calibration_of_each_subject():
+    rnd = np.random.default_rng(3)
+    x = np.concatenate([np.zeros(3000), rnd.uniform(0, 1, 3000)])
+    y = np.where(rnd.random(6000) < 1 / (1 + np.exp(-40 * (x - 0.23))), 0.85, 0.04)
+    got = S.calibrated(np.repeat([0, 1], 6000), np.tile(x, 2), np.concatenate([y, np.zeros(6000)]), 2)
+    assert abs(got[0, 0] - 0.23) < 0.015 and got[1].tolist() == [S.SHARE, S.SLOPE]
+    assert S.posteriors_of(np.array([[0.0, 0.18]]), np.array([[0.1, 40], [0.18, 40]])).tolist() == [[0.0, 0.5]]
