@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kit import mix64, table, visible
-from .seeds import SEEDS
+from .kit import cut, mix64, table, visible
+from .seeds import REFUSALS, SEEDS
 
 LANGS = list(SEEDS)
 #: Buckets of the hashed character n-grams of the language model; bounds its size.
@@ -24,14 +24,24 @@ MASS, CORPUS_TIMES = 200_000, 20
 LABELLED = 6_000
 #: Prompt and answer have different languages if the probability of the same one is less.
 SAME_LANGUAGE = 0.003
-#: Lengths of the contexts of the end-of-text model, and the least support of a context.
+#: Lengths of the contexts of the end-of-text model, longest first.
 ORDERS = (26, 20, 15, 11, 8, 6, 4)
-SUPPORT = 40
+#: The share of a context's occurrences that end there is estimated with so many occurrences of the next shorter
+#: context as prior; the shortest has START as prior, so that what was hardly ever seen isn't cut off.
+PRIOR, START = 20, 0.5
 #: An answer is cut off if less than this share of its last context's occurrences end there.
 END_SHARE = 0.03
-#: An answer whose copies tip that share is still cut off if the other answers' share is less, in a context of at least
-#: so many characters, and the copies are at most this share of it (more of them are a form of its own).
+#: An answer whose copies tip that share is still cut off if the other answers' share is less, where a context of at least
+#: so many characters has as many others as the prior, and the copies are at most this share of it (more of them are a form of its own).
 OWN_ORDER, OWN_SHARE = 11, 0.2
+#: Characters that a skeleton has at least for its end to tell something.
+NAME_LIKE = 6
+#: A word is known in lower case if it stands so in more than this share of all answers.
+LOWER_SHARE = 1e-5
+#: Letters of an answer that halve the weight of its language evidence: short ones tell little.
+FEW_LETTERS = 12.0
+#: Buckets and smoothing of the refusal model's word n-grams; the posterior and log-odds of one gram that count at most.
+REFUSAL_BUCKETS, REFUSAL_SMOOTH, REFUSES, GRAM_MOST = 1 << 17, 0.5, 0.999, 3.0
 
 # ---- skeletons: what is left of an answer when names, identifiers and numbers are masked
 
@@ -40,10 +50,39 @@ def skeleton(col):
     """Null-safe; blanks collapsed, final punctuation and quotes stripped."""
     c = F.translate(F.coalesce(col, F.lit("")), "’‘“”«»–—…  ​﻿", "''\"\"\"\"--.  ")
     c = F.regexp_replace(c, r"\s+", " ")
-    c = F.regexp_replace(c, r"\b\w*_\w*\b", "I")
+    c = F.regexp_replace(c, r"\b\w*_\w*\b|\b[a-z]+(?:[A-Z][a-z0-9]+)+\b", "I")
     c = F.regexp_replace(c, r"\b[A-Z][a-z]+\b", "N")
     c = F.regexp_replace(c, r"\d+", "0")
-    return F.regexp_replace(c, r"^[\s\"'`*]+|[\s.!?\"'`*]+$", "")
+    return F.regexp_replace(c, r"^[\s\"'`*]+|(?:[\s.!?\"'`*]|\s[,;:-])+$", "")
+
+
+def case_lost(col):
+    """No word begins with a small letter, or several have capitals inside: case tells no names."""
+    c = F.coalesce(col, F.lit(""))
+    return c.rlike(r"\p{L}") & (~c.rlike(r"(?<![\p{L}\p{N}_'])\p{Ll}") | c.rlike(r"(?s)\p{Ll}\p{Lu}.*[\s_].*\p{Ll}\p{Lu}"))
+
+
+_TOKEN = re.compile(r"[^\W_]*_\w*|[^\W\d_]+|\d+|\s+|.", re.S)
+
+
+def cased_skeleton(answer: str, known) -> str:
+    """The skeleton of an answer whose case is lost: words that are known in lower case stay, others count as names."""
+    out, first = [], True
+    for t in _TOKEN.findall(visible(answer)):
+        if "_" in t:
+            out.append("I")
+            first = False
+        elif t.isalpha():
+            low = t.lower()
+            out.append("N" if first or not known(low) else low)
+            first = False
+        elif t.isdigit():
+            out.append("0")
+            first = False
+        else:
+            out.append(" " if t.isspace() else t)
+            first = first or t in ".!?"
+    return re.sub(r"^[\s\"'`*]+|(?:[\s.!?\"'`*]|\s[,;:-])+$", "", re.sub(r" +", " ", "".join(out)))
 
 
 # ---- languages
@@ -67,7 +106,7 @@ def language_words(text: str) -> list[str]:
 
 
 def _grams(w: str) -> list[int]:
-    w = f" {w[:40]} "
+    w = f" {w} "
     n = len(w)
     return [crc32(w[i : i + k].encode("utf-8", "replace")) & (BUCKETS - 1) for k in (1, 2, 3, 4) for i in range(n - k + 1)]
 
@@ -100,13 +139,13 @@ class Languages:
             v = self.kept[w] = self.logp[_grams(w)].sum(axis=0) * POWER
         return v
 
-    def posterior(self, ws: list[str]) -> np.ndarray:
-        key = " ".join(ws)
+    def posterior(self, ws: list[str], weight: float = 1.0) -> np.ndarray:
+        key = " ".join(ws) + (f" {weight:.2f}" if weight < 1 else "")
         s = self.texts.get(key)
         if s is None:
             s = self.prior.copy()
             for w in ws:
-                s += self.word(w)
+                s += self.word(w) * weight
             s = np.exp(s - s.max())
             s /= s.sum()
             if len(self.texts) > 60_000:
@@ -134,12 +173,13 @@ def labelled(docs: DataFrame, size: int = LABELLED) -> np.ndarray:
     return flat.reshape(BUCKETS, -1)
 
 
-def refined(asked: DataFrame, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One step of expectation and maximization over distinct prompts with an answer each (p, a, n).
+def refined(asked: DataFrame, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One step of expectation and maximization over the distinct masked prompts and answers (p, a, n).
 
     Both together tell the language, since most have the same; but each counts for that language only
     if it tells it by itself; for LANGS[0], English, both always do. Returns n-gram counts (BUCKETS x languages, a
-    fixed size) and the languages' log prior.
+    fixed size) and the languages' log prior, and the counts of Refusals (another fixed size), for which the seed
+    phrases tell which answers refuse.
     """
 
     base = base * np.minimum(1, CORPUS_TIMES / 2 * MASS / np.maximum(base.sum(axis=0), 1)) + Languages.seed_counts()
@@ -147,8 +187,15 @@ def refined(asked: DataFrame, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
     def expect(batches):
         model, total, sums = Languages(start.value, np.array([0.0] + [-2.0] * (len(LANGS) - 1))), np.zeros((BUCKETS, len(LANGS))), np.zeros(len(LANGS))
+        refusing, texts = np.zeros((REFUSAL_BUCKETS, 2)), np.zeros(2)
         for b in batches:
             for p, a, n in zip(*(c.to_pylist() for c in b.columns)):
+                t = plain(a or "")
+                ws = t.split()
+                if not _SPEAKER.isdisjoint(ws):
+                    k = int(seed_refusal(t, re.sub(r"[^\w'`]+", " ", visible(a).lower()).strip()) and not _quoted_in(plain(p or ""), t))
+                    refusing[refusal_grams(ws), k] += 1
+                    texts[k] += 1
                 halves = [language_words(x or "") for x in (p, a)]
                 if sum(map(len, halves)) < 4:
                     continue
@@ -160,16 +207,21 @@ def refined(asked: DataFrame, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]
                         np.add.at(total[:, k], [g for w in ws for g in _grams(w)], np.sqrt(n))
                 sums[k] += n
         r, c = np.nonzero(total)
-        cell = np.concatenate([r * len(LANGS) + c, BUCKETS * len(LANGS) + np.arange(len(LANGS))])
-        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.concatenate([total[r, c], sums]))], names=["cell", "n"])
+        y, z = np.nonzero(refusing)
+        at = (BUCKETS + 1) * len(LANGS)
+        cell = np.concatenate([r * len(LANGS) + c, BUCKETS * len(LANGS) + np.arange(len(LANGS)), at + y * 2 + z, at + REFUSAL_BUCKETS * 2 + np.arange(2)])
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.concatenate([total[r, c], sums, refusing[y, z], texts]))], names=["cell", "n"])
 
     cells = asked.select("p", "a", F.col("n").cast("double")).mapInArrow(expect, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    flat = np.zeros((BUCKETS + 1) * len(LANGS))
+    flat = np.zeros((BUCKETS + 1) * len(LANGS) + (REFUSAL_BUCKETS + 1) * 2)
     flat[cells.column(0).to_numpy()] = cells.column(1).to_numpy()
+    flat, more = np.split(flat, [(BUCKETS + 1) * len(LANGS)])
+    refusing, texts = Refusals.seeds()
+    refusing, texts = refusing + more[:-2].reshape(-1, 2), texts + more[-2:]
     counts, seen = flat[: -len(LANGS)].reshape(BUCKETS, -1), flat[-len(LANGS) :]
     size = counts.sum(axis=0)
     counts = counts * np.minimum(1, CORPUS_TIMES * MASS / np.maximum(size, 1)) + base
-    return counts, np.log((seen + 1) / (seen + 1).sum()).clip(-7, 0) * 0.6
+    return counts, np.log((seen + 1) / (seen + 1).sum()).clip(-7, 0) * 0.6, refusing, texts
 
 
 _TRANSLATE = re.compile(
@@ -185,9 +237,10 @@ def other_language(prompt: str, answer: str, model: Languages) -> bool:
         return False
     p = language_words(prompt)
     a = [w for w in a if len(w) > 1 or not w.isascii()]
-    if not a or (len(a) < 3 or sum(map(len, a)) < 9) and all(map(str.isascii, a)):
+    if not a:
         return False
-    return float(model.posterior(p) @ model.posterior(a)) < SAME_LANGUAGE and not _TRANSLATE.search(" ".join(visible(prompt).split()))
+    letters = sum(len(w) if w.isascii() else 3 * len(w) for w in a)
+    return float(model.posterior(p) @ model.posterior(a, round(letters / (letters + FEW_LETTERS), 2))) < SAME_LANGUAGE and not _TRANSLATE.search(" ".join(visible(prompt).split()))
 
 
 # ---- empty, copy, refusal, open brackets
@@ -198,13 +251,15 @@ _MARKUP = re.compile(r"<[^<>]*>|[^\w]|_")
 _ASKS_VALUE = re.compile(r"return|give back|gives back|yield|evaluat|print|output|value of|\w\.\w+\(|append|sort|last word|first word|spell|letter", re.I)
 
 
+# More letters and digits than any placeholder has.
+_LONG = re.compile(r"(?:[^\W_][\W_]*){17}")
+
+
 def is_empty(prompt: str, answer: str | None) -> bool:
     if answer is None:
         return True
-    if len(answer) > 25 and answer[0].isalnum():
+    if "<" not in answer and _LONG.match(answer):
         return False
-    if len(answer) > 40:
-        return not _MARKUP.sub("", visible(answer))
     bare = _MARKUP.sub("", visible(answer)).lower()
     if not bare:
         return not re.search(r"[^\W_]", _strip_tags(answer))
@@ -257,17 +312,9 @@ def is_copy(p: str, a: str) -> bool:
 
 
 def _alike(a: str, b: str) -> bool:
-    """The same words but for one in eight."""
+    """At least eight words, the same ones in whatever order (with other words it may be a repaired text)."""
     x, y = a.split(), b.split()
-    if len(x) < 5 or abs(len(x) - len(y)) > 1:
-        return False
-    left = list(y)
-    n = 0
-    for w in x:
-        if w in left:
-            left.remove(w)
-            n += 1
-    return n >= len(x) - len(x) // 8 and n >= len(x) - 1 and len(x) >= 8 and n == len(x)
+    return len(x) >= 8 and sorted(x) == sorted(y)
 
 
 _ABOUT = r"(?:answer|discuss|respond|reply|comment|talk|help|assist|fulfil|fulfill|process|comply|go into|do that|do this|say anything|engage|provide|share|continue|give)\b"
@@ -283,15 +330,56 @@ _REFUSAL = re.compile(
 STANDING = "that one is not in my notes"
 
 
-# Every refusal has one of these words.
+# Every refusal that the phrases find has one of these words.
 _SIGNS = frozenset("i me my our unable policy policies rules guidelines ai model assistant chatbot unanswered nope inappropriate permitted comment let would can".split())
+#: Words of the speaker, of not being able, willing or allowed, in the languages of REFUSALS: an answer without any is not asked.
+_SPEAKER = _SIGNS | frozenset(w for x in REFUSALS.values() for w in x["signs"].split())
 
 
-def is_refusal(prompt: str, answer: str, a: str) -> bool:
-    if _SIGNS.isdisjoint(a.split()):
+def is_refusal(prompt: str, answer: str, a: str, refusals: Refusals | None = None) -> bool:
+    """By the phrases, or by the posterior of the n-gram model that was seeded with them; no text that the prompt gives word for word."""
+    ws = a.split()
+    signs = not _SIGNS.isdisjoint(ws)
+    if not signs and (refusals is None or _SPEAKER.isdisjoint(ws)):
         return False
     t = re.sub(r"[^\w'`]+", " ", visible(answer).lower()).strip()
-    return bool(_REFUSAL.search(t)) and not _quoted_in(plain(prompt), t)
+    found = signs and bool(_REFUSAL.search(t)) or refusals is not None and refusals.posterior(ws) > REFUSES and not _SPEAKER.isdisjoint(ws)
+    return found and not _quoted_in(plain(prompt), t)
+
+
+def seed_refusal(a: str, t: str) -> bool:
+    return not _SIGNS.isdisjoint(a.split()) and bool(_REFUSAL.search(t))
+
+
+def refusal_grams(ws: list[str]) -> list[int]:
+    """Hashed words, pairs and triples, each once."""
+    ws = ["^", *ws]
+    return list({crc32(" ".join(ws[i : i + n]).encode("utf-8", "replace")) & (REFUSAL_BUCKETS - 1) for n in (1, 2, 3) for i in range(1 if n == 1 else 0, len(ws) - n + 1)})
+
+
+class Refusals:
+    """Naive Bayes of refusals against other answers over word n-grams (counts: REFUSAL_BUCKETS x 2, texts: 2)."""
+
+    def __init__(self, counts: np.ndarray, texts: np.ndarray):
+        rate = (counts + REFUSAL_SMOOTH) / (texts + 2 * REFUSAL_SMOOTH)
+        self.odds = (np.log(rate[:, 1] / rate[:, 0]) * (counts.sum(axis=1) > 0)).clip(-GRAM_MOST, GRAM_MOST).astype(np.float32)
+        self.prior = float(np.log((texts[1] + 1) / (texts[0] + 1)))
+
+    @staticmethod
+    def seeds() -> tuple[np.ndarray, np.ndarray]:
+        """Counts of the seed sentences, and of the everyday sentences of SEEDS as other answers."""
+        counts, texts = np.zeros((REFUSAL_BUCKETS, 2)), np.zeros(2)
+        for k, sentences in ((0, [x for lang in REFUSALS for x in re.split("[.?!]", SEEDS[lang])]), (1, [x for lang in REFUSALS.values() for x in lang["texts"]])):
+            for x in sentences:
+                if x.strip():
+                    counts[refusal_grams(plain(x).split()), k] += 1
+                    texts[k] += 1
+        return counts, texts
+
+    def posterior(self, ws: list[str]) -> float:
+        g = refusal_grams(ws)
+        s = self.prior + float(self.odds[g].sum()) * 2.0 / (1 + np.log2(1 + len(g)) / 2)
+        return 1 / (1 + np.exp(-max(-50.0, min(50.0, s))))
 
 
 def _quoted_in(p: str, a: str) -> bool:
@@ -310,7 +398,7 @@ def is_open(answer: str) -> bool:
     return any(s.count(x) > s.count(y) for x, y in ("()", "[]", "{}")) or s.count('"') % 2 == 1 or s.count("```") % 2 == 1
 
 
-def defect(prompt: str | None, answer: str | None, model: Languages) -> str | None:
+def defect(prompt: str | None, answer: str | None, model: Languages, refusals: Refusals | None = None) -> str | None:
     """The defect, in a fixed order of precedence; "maybe" leaves it to the end-of-text model.
 
     A null prompt counts as an empty one: its answer can be empty, a refusal or cut off.
@@ -323,21 +411,13 @@ def defect(prompt: str | None, answer: str | None, model: Languages) -> str | No
         return None
     if is_copy(p, a):
         return "copy"
-    if is_refusal(prompt, answer, a):
+    if is_refusal(prompt, answer, a, refusals):
         return "refusal"
     if other_language(prompt, answer, model):
         return "other_language"
     if is_open(answer):
         return "truncated"
-    return None if reformatted(answer) else "maybe"
-
-
-def reformatted(answer: str) -> bool:
-    """Spacing, case or marks are not as written, so that the end-of-text model can't be asked."""
-    return answer != answer.strip() or bool(_ODD.search(answer)) or len(answer) > 12 and (answer.isupper() or answer.istitle())
-
-
-_ODD = re.compile(r"\s\s|[^\S ]|[«»“”​﻿]|^[`*\"(\[].*[`*\"\])]$|[a-z][A-Z]|[a-z]+[A-Z]{2}|\b[A-Z]{2}[a-z]")
+    return "maybe"
 
 
 # ---- end of text
@@ -379,13 +459,15 @@ _STOPPED = r"(?:^|[^.])[.!?][\s\"'`*)]*$"
 _PROSE = re.compile(r"(?:[^\W\d_]{2,},? ){3}[^\W\d_]+$")
 
 
-def cut_off(skeletons: DataFrame) -> DataFrame:
-    """(h) hashes of the distinct skeletons (h, text, n, stops) that break off; stops counts the copies with a full stop.
+def cut_off(skeletons: DataFrame, asked: DataFrame) -> DataFrame:
+    """(h) hashes of those of the distinct skeletons asked (h, text, n, stops) that break off; stops counts the copies with a full stop.
 
-    Of each skeleton the longest last context with SUPPORT occurrences in all answers counts. Its own copies are no
+    skeletons (text, n) give the evidence: of each last context, how many of its occurrences end there, with the next
+    shorter context's share as prior. A skeleton's own copies are no
     evidence for themselves: without them, the other answers must end there as well. Only in short contexts, or where
     the copies are a large part of the context, they do count, unless the answer hangs at a mark or a function word or
-    is prose of which no copy has a full stop.
+    is prose of which no copy has a full stop. Contexts that many skeletons end with are joined as Spark's adaptive
+    execution splits them; counts are combined before the shuffle.
     """
 
     def all_contexts(batches):
@@ -418,14 +500,27 @@ def cut_off(skeletons: DataFrame) -> DataFrame:
                 names=["h", "ord", "key", "own_ends", "own", "hangs", "bare"],
             )
 
-    counts = skeletons.select("text", "n").mapInArrow(all_contexts, "key long, ends long, total long").groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("total").alias("total")).where(f"ends > 0 and total >= {SUPPORT}")
-    last = skeletons.select("h", "text", "n", "stops").mapInArrow(last_contexts, "h long, ord int, key long, own_ends long, own long, hangs boolean, bare boolean")
-    other = F.when(F.col("total") - F.col("own") >= SUPPORT, F.struct("ord", "ends", "total", "own_ends", "own"))
-    best = last.join(counts, "key").groupBy("h").agg(F.min_by(F.struct("ends", "total"), "ord").alias("c"), F.min(other).alias("o"), F.max("hangs").alias("hangs"), F.max("bare").alias("bare"))
-    rare = F.col("o.ends") - F.col("o.own_ends") < END_SHARE * (F.col("o.total") - F.col("o.own"))
-    long = F.col("o.ord") <= [n >= OWN_ORDER for n in ORDERS].count(True) - 1
-    tipped = rare & (F.col("hangs") | long & (F.col("bare") | (F.col("o.own") <= OWN_SHARE * F.col("o.total"))))
-    return best.where((F.col("c.ends") < END_SHARE * F.col("c.total")) | F.coalesce(tipped, F.lit(False))).select("h")
+    counts = skeletons.select("text", "n").mapInArrow(all_contexts, "key long, ends long, total long").groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("total").alias("total"))
+    last = asked.select("h", "text", "n", "stops").mapInArrow(last_contexts, "h long, ord int, key long, own_ends long, own long, hangs boolean, bare boolean")
+    x = last.join(counts.where("ends > 0"), "key")
+    each = F.struct("ord", *[F.col(c).cast("double").alias(c) for c in ("ends", "total", "own_ends", "own")])
+    x = x.groupBy("h").agg(F.sort_array(F.collect_list(each), asc=False).alias("each"), F.max("hangs").alias("hangs"), F.max("bare").alias("bare"))  # one row an order
+    all_ = F.aggregate("each", F.lit(START), lambda m, e: (e["ends"] + PRIOR * m) / (e["total"] + PRIOR))
+    other = F.aggregate("each", F.lit(START), lambda m, e: (e["ends"] - e["own_ends"] + PRIOR * m) / (e["total"] - e["own"] + PRIOR))
+    longest = F.array_min(F.filter("each", lambda e: e["total"] - e["own"] >= PRIOR))  # orders are numbered from the longest on
+    long = longest["ord"] <= [n >= OWN_ORDER for n in ORDERS].count(True) - 1
+    tipped = (other < END_SHARE) & (F.col("hangs") | long & (F.col("bare") | (longest["own"] <= OWN_SHARE * longest["total"])))
+    return x.where((all_ < END_SHARE) | F.coalesce(tipped, F.lit(False))).select("h")
+
+
+def lower_words(skeletons: DataFrame) -> np.ndarray:
+    """Buckets (2 ** 20 bits) of the words that stand in lower case in a good part of the skeletons' texts."""
+    word = skeletons.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<![\w'])(\p{Ll}{2,}|[ai])(?![\w'])"), 1))).alias("w"), "n")
+    seen = word.groupBy((F.crc32("w") % F.lit(1 << 20)).alias("bucket")).agg(F.sum("n").alias("n"))
+    total = skeletons.agg(F.sum("n")).first()[0] or 0
+    bits = np.zeros(1 << 20, bool)
+    bits[seen.where(F.col("n") > max(1.0, LOWER_SHARE * total)).select("bucket").toArrow().column(0).to_numpy()] = True
+    return bits
 
 
 def defects(pairs: DataFrame, docs: DataFrame | None = None) -> DataFrame:
@@ -436,24 +531,39 @@ def defects(pairs: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     no row; extra columns don't matter. docs (doc_id, text, lang) help to tell the languages.
     """
     spark = pairs.sparkSession
-    rows = pairs.select("pair_id", "prompt", "answer", skeleton(F.col("answer")).alias("text"))
+    lost = case_lost(F.col("answer"))
+    rows = pairs.select("pair_id", "prompt", "answer", skeleton(F.col("answer")).alias("text"), lost.alias("lost"))
     stopped = F.coalesce(F.col("answer").rlike(_STOPPED).cast("long"), F.lit(0))
-    skeletons = rows.groupBy("text").agg(F.count("*").alias("n"), F.sum(stopped).alias("stops")).select(F.xxhash64("text").alias("h"), "text", "n", "stops").persist()
-    asked = pairs.select(skeleton(F.col("prompt")).alias("p"), skeleton(F.col("answer")).alias("a"), F.xxhash64("pair_id").alias("r"))
-    asked = asked.groupBy("p").agg(F.min_by("a", "r").alias("a"), F.count("*").alias("n"))
-    counts, prior = refined(asked, labelled(docs) if docs is not None else np.zeros((BUCKETS, len(LANGS))))
-    model = spark.sparkContext.broadcast((counts.astype(np.float32), prior))
-    cut = cut_off(skeletons)
+    skeletons = rows.where("not lost").groupBy("text").agg(F.count("*").alias("n"), F.sum(stopped).alias("stops")).select(F.xxhash64("text").alias("h"), "text", "n", "stops")
+    skeletons = cut(skeletons, "skeletons")
+    asked = pairs.select(skeleton(F.col("prompt")).alias("p"), skeleton(F.col("answer")).alias("a")).groupBy("p", "a").agg(F.count("*").alias("n"))
+    counts, prior, refusing, texts = refined(asked, labelled(docs) if docs is not None else np.zeros((BUCKETS, len(LANGS))))
+    model = spark.sparkContext.broadcast((counts.astype(np.float32), prior, refusing.astype(np.float32), texts))
+    lower = spark.sparkContext.broadcast(np.packbits(lower_words(skeletons)))
 
     def run(batches):
-        own = Languages(*model.value)
+        own, refusals = Languages(*model.value[:2]), Refusals(*model.value[2:])
         for b in batches:
-            found = [defect(p, a, own) for p, a in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            found = [defect(p, a, own, refusals) for p, a in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(found, pa.string())], names=["pair_id", "h", "found"])
 
+    def run_lost(batches):
+        own, refusals, bits = Languages(*model.value[:2]), Refusals(*model.value[2:]), np.unpackbits(lower.value).astype(bool)
+        known = lambda w: bool(bits[crc32(w.encode("utf-8", "replace")) & ((1 << 20) - 1)])
+        for b in batches:
+            answers = b.column(2).to_pylist()
+            found = [defect(p, a, own, refusals) for p, a in zip(b.column(1).to_pylist(), answers)]
+            text = [cased_skeleton(a, known) if f == "maybe" else None for a, f in zip(answers, found)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string()), pa.array(text, pa.string())], names=["pair_id", "found", "text"])
+
     kind = pairs.schema["pair_id"].dataType.simpleString()
-    found = rows.select("pair_id", "prompt", "answer", F.xxhash64("text").alias("h")).mapInArrow(run, f"pair_id {kind}, h long, found string").where("found is not null")
-    x = found.join(cut.withColumn("cut", F.lit(True)), "h", "left")
+    found = rows.where("not lost").select("pair_id", "prompt", "answer", F.xxhash64("text").alias("h")).mapInArrow(run, f"pair_id {kind}, h long, found string").where("found is not null")
+    odd = rows.where("lost").select("pair_id", "prompt", "answer").mapInArrow(run_lost, f"pair_id {kind}, found string, text string").where("found is not null")
+    odd = cut(odd.withColumn("h", F.xxhash64("text", F.lit("case"))), "lost")
+    more = odd.where("text is not null").select("h", "text").distinct().withColumn("n", F.lit(0).cast("long")).withColumn("stops", F.lit(1).cast("long"))  # they are no evidence, so none of their own
+    # What is as short as a name or two may be the beginning of anything and yet whole.
+    cut_ = cut_off(skeletons, skeletons.unionByName(more).where(F.length("text") >= NAME_LIKE))
+    x = found.unionByName(odd.select("pair_id", "h", "found")).join(cut_.withColumn("cut", F.lit(True)), "h", "left")
     return x.select("pair_id", F.when(F.col("found") != "maybe", F.col("found")).when(F.col("cut"), "truncated").alias("defect")).where("defect is not null")
 
 

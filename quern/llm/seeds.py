@@ -28,3 +28,37 @@ SEEDS = {
     "ar": "البيت بجانب النهر وكنا هناك قبل المساء. ماذا يفعل هذا الملف ولماذا هو غير مفتوح؟ ثم يجب أن تقرأ كل سطر وتتحقق من النتيجة. يمكن أيضا التحدث مع الجار. شكرا جزيلا وصباح الخير. أين يقع؟",
     "hi": "घर नदी के पास है और हम शाम से पहले वहाँ थे। यह फ़ाइल क्या करती है और क्यों खुली नहीं है? फिर हर पंक्ति पढ़ो और परिणाम जाँचो। धन्यवाद और सुप्रभात। कहाँ है?",
 }
+
+# Ways of declining a request, and words of which each has one.
+REFUSALS = {
+    "en": {
+        "texts": [
+            "I must turn this request down", "Sorry, I must decline", "That falls outside what I am willing to write", "I won't be answering that", "I am afraid I cannot do this for you", "I would rather not say anything about it",
+            "This is a request I have to refuse", "I am not willing to go on with this", "I can't help you with that", "I will not write this", "My rules do not let me answer this", "I have to say no to this one",
+            "I do not feel able to reply to that", "Please ask someone else, I can't respond", "I am not the right one to answer such a question", "Unfortunately I am unable to assist", "It is not something that I can talk about",
+            "I choose not to answer", "I am sorry, this is beyond what I may do", "I don't think I should answer that",
+        ],
+        "signs": "i me my sorry cannot unable decline refuse won",
+    },
+    "de": {
+        "texts": [
+            "Das kann ich leider nicht beantworten", "Tut mir leid, dabei kann ich nicht helfen", "Ich darf dazu nichts sagen", "Diese Bitte muss ich ablehnen", "Ich möchte darauf nicht antworten", "Dazu werde ich mich nicht äußern",
+            "Als KI habe ich dazu keine Meinung", "Ich bin nicht in der Lage, das zu tun", "Meine Regeln erlauben mir das nicht", "Leider ist es mir nicht möglich zu antworten", "Ich kann dir damit nicht weiterhelfen", "Entschuldigung, das mache ich nicht",
+        ],
+        "signs": "ich mir mich meine leid leider entschuldigung",
+    },
+    "es": {
+        "texts": [
+            "Lo siento, no puedo ayudar con eso", "No puedo responder a esa pregunta", "No me está permitido hablar de esto", "Debo rechazar esta petición", "Prefiero no contestar", "No voy a responder a eso", "Como inteligencia artificial no tengo opiniones",
+            "Mis normas no me permiten contestar", "No estoy en condiciones de hacerlo", "Me temo que no puedo hacer eso", "Lamento no poder ayudarte con esta tarea", "No soy capaz de dar una respuesta",
+        ],
+        "signs": "no me mis puedo siento lamento prefiero debo",
+    },
+    "fr": {
+        "texts": [
+            "Désolé, je ne peux pas vous aider", "Je ne peux pas répondre à cette question", "Je dois refuser cette demande", "Je préfère ne pas répondre", "Je ne suis pas en mesure de le faire", "Mes règles ne me permettent pas de répondre",
+            "En tant qu'IA, je n'ai pas d'avis", "Il m'est impossible d'en parler", "Je ne vais pas répondre à cela", "Je crains de ne pas pouvoir faire cela", "Je regrette de ne pas pouvoir aider", "Je n'ai pas le droit d'en dire plus",
+        ],
+        "signs": "je ne me mes désolé regrette",
+    },
+}

@@ -64,3 +64,44 @@ def test_common_whole_answer_is_no_cut(spark):
 
 def test_empty_table(spark):
     assert D.defects(spark.createDataFrame([], "pair_id long, prompt string, answer string")).collect() == []
+
+
+def test_reformatted_answers_are_asked_too(spark):
+    """Blanks, case, camel case and marks don't keep a break-off from being found."""
+    words = "The town lies in the north of the country, where people call getName to read the name".split()
+    whole = [(i, f"where is town {i}", "The town lies in the north of the country.") for i in range(150)] + [(200 + i, f"how do i read {i}", "You call getName to read the name of it.") for i in range(150)]
+    cut = ["The town lies in the nor ", "The  town lies in the nor", "THE TOWN LIES IN THE NOR", "The Town Lies In The Nor", "\u00abThe town lies in the nor\u00bb", "tHe towN lieS in thE nor", "You call getName to read the na"]
+    fine = ["THE TOWN LIES IN THE NORTH OF THE COUNTRY", " The Town Lies  In The North Of The Country! "]
+    rows = [*whole, *[(1000 + k, "where is town 5", a) for k, a in enumerate(cut)], *[(2000 + k, "where is town 6", a) for k, a in enumerate(fine)]]
+    got = {r.pair_id: r.defect for r in D.defects(spark.createDataFrame(rows, "pair_id long, prompt string, answer string")).collect()}
+    assert got == {1000 + k: "truncated" for k in range(len(cut))} and words
+
+
+def test_refusals_beyond_the_seed_phrases():
+    counts, texts = D.Refusals.seeds()
+    model, refusals = D.Languages(), D.Refusals(counts, texts)
+    for p, a in (
+        ("who is Foo Bar", "Sorry, I must turn this request down."), ("who is Foo Bar", "That falls outside what I am willing to write."), ("who is Foo Bar", "I won't be answering that."), ("wer ist Foo Bar", "Leider kann ich dazu nichts sagen."),
+        ("wo liegt Foo", "Tut mir leid, ich kann dabei nicht helfen."), ("¿quién es Foo?", "Lo siento, no puedo responder a eso."), ("qui est Foo", "Désolé, je ne peux pas répondre à cela."),
+    ):
+        assert D.defect(p, a, model, refusals) == "refusal", a
+    for p, a in (
+        ("why can't i remove it", "You can't remove a folder with plain rm. Use rmdir for it."), ("say exactly: Sorry, I must turn this request down", "Sorry, I must turn this request down."), ("where do i go", "I think the house is near the river and we went there before the evening."),
+        ("wo liegt Foo", "Das Haus steht am Fluss und wir sind vor dem Abend dort gewesen."), ("¿dónde está?", "La casa está junto al río y estuvimos allí antes de la noche."),
+    ):
+        assert D.defect(p, a, model, refusals) != "refusal", a
+
+
+def test_no_switches_by_length(model):
+    for a in ("N/A", "N/A...", "N/A............................", "<b>N/A</b>                                        ."):
+        assert D.defect("x y z", a, model) == "empty"
+    assert not D.is_empty("x y z", "Unknownplaceholder is a word that stands here")
+    assert D.is_copy("why is the old red house near the river not open", "near the river why is the old red house not open") and not D.is_copy("fix the old red house near the river is opne now", "the old red house near the river is open now")
+
+
+def test_case_lost(spark):
+    texts = ["THE TOWN", "Kado Sodak", "tHe towN lieS in thE nor", "call getName to read", "The town lies", "12 + 3", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, a string")
+    assert [r[0] for r in df.orderBy("i").select(D.case_lost(df["a"])).collect()] == [True, True, True, False, False, False, False]
+    known = {"town", "lies", "in"}.__contains__
+    assert D.cased_skeleton("THE TOWN LIES  IN FOO_BAR, KADO 12.", known) == "N town lies in I, N 0"
