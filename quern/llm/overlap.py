@@ -10,16 +10,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .kit import mix64, table, visible
+from .kit import cut, mix64, table, visible
 
 BANDS, ROWS = 32, 3
 #: Least Jaccard similarity of the shingle sets, and of the sets of content words.
 SHINGLE_SIM, WORD_SIM = 0.45, 0.5
 #: Evaluation items up to this number are sent to every worker; more are joined by shuffle.
 BROADCAST_ITEMS = 50_000
+#: Two to this power bits of the bitmap of the items' band keys.
+BITMAP = 26
 
-# English small words, introductory and polite words, number words, and groups of words that ask for the same.
+# English small words, introductory and polite words, and number words.
 SMALL = frozenset(
     "a an the and or of to in on at by for from with into onto this that these those it its is are was be as do does did i me my you your we us our there here so "
     "please thanks thank hey hi hello ok okay well now just again really kindly quick quickly short answer help next up one thing small notes note wondering "
@@ -27,15 +30,6 @@ SMALL = frozenset(
 )
 UNITS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
-SAME = [
-    "asking wondering inquiring", "clean wash scrub", "advice tips tip hints hint ideas", "column field", "put place set", "drop remove delete discard", "keep retain preserve hold",
-    "write save store", "bring take carry", "evening night", "many much", "first initial leading", "take pick select get grab", "sort order arrange", "entries items elements records rows",
-    "remains left rest", "every each", "pair combine match", "position index place", "starting beginning", "turn convert change make", "whole integer full", "integers numbers", "repeated duplicate duplicated",
-    "buys purchases gets", "hands gives passes", "stay remain", "far distant long", "market fair bazaar", "works labours working", "thinks believes reckons says", "worth valued priced", "more extra", "fair reasonable just",
-    "should ought", "along with", "neighbour neighbor", "above over exceeding", "buyer purchaser", "workshop studio shop", "remind tell", "prices costs", "said told", "after following", "figures numbers", "owes owing owe", "holds contains", "shed barn", "altogether total", "flood flooding", "big large", "small little", "begin start", "foot walking",
-]
-
-
 NUMBERS = frozenset([*UNITS, *TENS]) - SMALL
 
 
@@ -43,22 +37,10 @@ def is_number(w: str) -> bool:
     return w in NUMBERS or w.isdigit()
 
 
-@lru_cache(None)
-def _same() -> dict[str, str]:
-    out: dict[str, str] = {}
-    for group in SAME:
-        first, *rest = group.split()
-        out.setdefault(first, first)
-        for w in rest:
-            out.setdefault(w, out[first])
-    return out
-
-
 def content(prompt: str) -> list[str]:
-    """Lower-case words in order, numbers below 100 as words, without small words, one word for each group of SAME."""
-    same, out = _same(), []
+    """Lower-case words in order, numbers below 100 as words, without small words."""
+    out = []
     for w in re.findall(r"[^\W_]+", visible(prompt).lower()):
-        w = same.get(w, w)
         if w not in SMALL:
             if len(w) < 3 and w.isdigit() and w.isascii():
                 out += [x for x in _spoken(int(w)) if x not in SMALL]
@@ -191,47 +173,63 @@ def same_request(item: Item, words: set[str], grams: set[str]) -> bool:
     return matched >= WORD_SIM * (len(item.words) + len(words) - matched)
 
 
-def _items(rows) -> list[Item]:
-    return [x for x in (Item(r[0], r[1]) for r in rows if r[1]) if x.words]
-
-
-def overlaps(items: DataFrame, pairs: DataFrame, broadcast_items: int = BROADCAST_ITEMS) -> DataFrame:
-    """(item_id, pair_id): items (id, prompt) and pairs (pair_id, prompt) that ask the same.
+def overlaps(items: DataFrame, pairs: DataFrame, broadcast_items: int = BROADCAST_ITEMS, item_cols: tuple[str, ...] = (), pair_cols: tuple[str, ...] = ()) -> DataFrame:
+    """(item_id, pair_id, item_cols..., pair_cols...): items (id, prompt) and pairs (pair_id, prompt) that ask the same.
 
     Minwise hashes of each prompt's shingles make BANDS keys; only keys that an item has too make
     candidates, so pairs are never compared with each other, and every candidate is verified by
-    exact similarity. Few items are broadcast and the pairs stay where they lie; many items join on
-    the band key. Null prompts and prompts without content words are no case; repeated prompts each
+    exact similarity. Few items are broadcast and the pairs stay where they lie; for many items
+    equal prompts are folded, keys that no item has are dropped by a bitmap of fixed size before
+    the join on the key, and copies are joined back at the end. Null prompts and prompts without content words are no case; repeated prompts each
     count; extra columns don't matter.
     """
-    items, pairs = items.select("id", "prompt").where("prompt is not null"), pairs.select("pair_id", "prompt").where("prompt is not null")
-    head = items.limit(broadcast_items + 1).collect()
-    kind = f"item_id {items.schema['id'].dataType.simpleString()}, pair_id {pairs.schema['pair_id'].dataType.simpleString()}"
-    if len(head) <= broadcast_items:
-        known = items.sparkSession.sparkContext.broadcast(head)
-
-        def run(batches):
-            own = _items(known.value)
-            index = _Index(own)
-            for b in batches:
-                found = index.lookup(b.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array([own[i].id for _, i in found]), b.column(0).take(pa.array([r for r, _ in found], pa.int64()))] if found else [pa.array([], pa.string()), b.column(0).slice(0, 0)], names=["item_id", "pair_id"])
-
-        return pairs.mapInArrow(run, kind)
-    a, b = _keyed(items, "id"), _keyed(pairs, "pair_id")
-    cand = a.join(b, "band").select("id", "pair_id").distinct().join(items, "id").join(pairs.withColumnRenamed("prompt", "other"), "pair_id").select("id", "prompt", "pair_id", "other")
+    items, pairs = items.select(F.col("id").alias("item_id"), *item_cols, "prompt").where("prompt is not null"), pairs.select("pair_id", *pair_cols, "prompt").where("prompt is not null")
+    head = items.limit(broadcast_items + 1).toArrow()
+    if head.num_rows > broadcast_items:
+        return _many(items, pairs, broadcast_items)
+    known = items.sparkSession.sparkContext.broadcast(head)
+    schema = StructType([*items.drop("prompt").schema.fields, *pairs.drop("prompt").schema.fields])
+
+    def run(batches):
+        table_ = known.value
+        own = [x if x.words else None for x in (Item("", p) for p in table_["prompt"].to_pylist())]
+        rows = [i for i, x in enumerate(own) if x]
+        index = _Index([own[i] for i in rows])
+        for b in batches:
+            found = index.lookup(b.column(b.num_columns - 1).to_pylist())
+            left = table_.take(pa.array([rows[i] for _, i in found], pa.int64())).drop_columns(["prompt"])
+            right = pa.Table.from_batches([b]).take(pa.array([r for r, _ in found], pa.int64()))
+            for c in right.column_names[:-1]:
+                left = left.append_column(c, right[c])
+            yield from left.to_batches()
+
+    return pairs.mapInArrow(run, schema)
+
+
+def _many(items: DataFrame, pairs: DataFrame, few: int) -> DataFrame:
+    asked, other = items.select("prompt").distinct(), pairs.select("prompt").distinct()
+    keys = _keyed(asked)
+    word = F.pmod(F.col("band"), F.lit(1 << BITMAP))
+    bits = keys.groupBy(F.shiftright(word, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(band, {1 << BITMAP}) & 63 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros((1 << BITMAP) // 64, np.int64)
+    bitmap[bits.column(0).to_numpy()] = bits.column(1).to_numpy()
+    seen = items.sparkSession.sparkContext.broadcast(bitmap)
+    cand = keys.withColumnRenamed("prompt", "item_prompt").join(_keyed(other, seen), "band").select("item_prompt", "prompt").distinct()
 
     def verify(batches):
         for x in batches:
             keep = []
-            for k, (p, q) in enumerate(zip(x.column(1).to_pylist(), x.column(3).to_pylist())):
+            for k, (p, q) in enumerate(zip(x.column(0).to_pylist(), x.column(1).to_pylist())):
                 w = set(content(q))
                 if same_request(Item("", p), w, shingles(list(w))):
                     keep.append(k)
-            t = x.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(2)], names=["item_id", "pair_id"])
+            yield x.take(pa.array(keep, pa.int64()))
 
-    return cand.mapInArrow(verify, kind)
+    found = cut(cand.mapInArrow(verify, "item_prompt string, prompt string"), "overlaps")
+    side = F.broadcast(found) if found.limit(few + 1).count() <= few else found
+    back = pairs.join(side, "prompt").drop("prompt")
+    cols = [*items.drop("prompt").columns, *pairs.drop("prompt").columns]
+    return items.withColumnRenamed("prompt", "item_prompt").join(back, "item_prompt").select(*cols)
 
 
 class _Index:
@@ -271,16 +269,24 @@ class _Index:
         return sorted(out)
 
 
-def _keyed(df: DataFrame, id_col: str) -> DataFrame:
+def _keyed(prompts: DataFrame, seen=None) -> DataFrame:
+    """(prompt, band), the bands that seen has if given."""
+
     def run(batches):
         sign = Signatures()
         for b in batches:
-            ws = [content(p) for p in b.column(1).to_pylist()]
-            rows = [k for k, w in enumerate(ws) if w]
-            keys = sign.bands([ws[k] for k in rows]).view(np.int64).ravel() if rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(rows, BANDS).astype(np.int64))), pa.array(keys)], names=[id_col, "band"])
+            ws = [content(p) for p in b.column(0).to_pylist()]
+            rows = np.array([k for k, w in enumerate(ws) if w], np.int64)
+            keys = sign.bands([ws[k] for k in rows]).view(np.int64) if len(rows) else np.zeros((0, BANDS), np.int64)
+            at = np.repeat(rows, BANDS)
+            keys = keys.ravel()
+            if seen is not None:
+                bit = keys & ((1 << BITMAP) - 1)
+                keep = (seen.value[bit >> 6] >> (bit & 63) & 1).astype(bool)
+                at, keys = at[keep], keys[keep]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(keys)], names=["prompt", "band"])
 
-    return df.mapInArrow(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, band long")
+    return prompts.select("prompt").mapInArrow(run, "prompt string, band long")
 
 
 def source_name(col):
@@ -294,10 +300,6 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confirmed overlaps by split of the item and source of the pair."""
-    items, pairs = table(spark, sf_dir, "auto_dev_40"), table(spark, sf_dir, "pairs")
-    found = overlaps(items, pairs)
-    return (
-        found.join(F.broadcast(items.select(F.col("id").alias("item_id"), "split")), "item_id")
-        .join(pairs.select("pair_id", source_name("source").alias("source")), "pair_id")
-        .groupBy("split", "source").agg(F.count("*").alias("overlaps"), F.countDistinct("item_id").alias("items"), F.countDistinct("pair_id").alias("pairs"))
-    )
+    pairs = table(spark, sf_dir, "pairs").withColumn("source", source_name("source"))
+    found = overlaps(table(spark, sf_dir, "auto_dev_40"), pairs, item_cols=("split",), pair_cols=("source",))
+    return found.groupBy("split", "source").agg(F.count("*").alias("overlaps"), F.countDistinct("item_id").alias("items"), F.countDistinct("pair_id").alias("pairs"))

@@ -14,13 +14,15 @@ def test_both_ways(spark):
     items = spark.createDataFrame(ITEMS, "id string, prompt string")
     pairs = spark.createDataFrame(PAIRS, "pair_id long, prompt string").selectExpr("*", "'x' as item_id", "'y' as id")
     assert sorted(map(tuple, O.overlaps(items, pairs).collect())) == WANT
-    assert sorted(set(map(tuple, O.overlaps(items, pairs, broadcast_items=0).collect()))) == sorted(set(WANT))
+    assert sorted(map(tuple, O.overlaps(items, pairs, broadcast_items=0).collect())) == WANT
+    both = [O.overlaps(items.selectExpr("*", "1 as split"), pairs.selectExpr("*", "pair_id * 2 as source"), n, ("split",), ("source",)) for n in (0, 100)]
+    assert sorted(map(tuple, both[0].select(*both[1].columns).collect())) == sorted(map(tuple, both[1].collect())) == [(i, 1, p, 2 * p) for i, p in WANT]
 
 
 def test_empty(spark):
     items = spark.createDataFrame(ITEMS, "id string, prompt string")
     pairs = spark.createDataFrame(PAIRS, "pair_id long, prompt string")
-    assert O.overlaps(items.limit(0), pairs).collect() == [] and O.overlaps(items, pairs.limit(0)).collect() == []
+    assert O.overlaps(items.limit(0), pairs).collect() == [] and O.overlaps(items, pairs.limit(0), 0).collect() == [] and O.overlaps(items, pairs.limit(0)).collect() == []
 
 
 def test_bands_find_what_all_pairs_find(spark, sf):
@@ -33,6 +35,7 @@ def test_bands_find_what_all_pairs_find(spark, sf):
         if w and O.same_request(it, w, O.shingles(list(w))):
             want.add((it.id, r.pair_id))
     assert got <= want and len(got) >= 0.98 * len(want)
+    assert {tuple(r) for r in O.overlaps(items, pairs, broadcast_items=0).collect()} == got
 
 
 def test_near():
