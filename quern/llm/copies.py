@@ -8,11 +8,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .kit import canonical, table
+from .kit import canonical, cut, table
 
 #: A key with at least so many records is hot: its members never meet in one task.
 HOT_ROWS = 20_000
-#: At most so many hot keys are broadcast (24 bytes each); beyond, they are joined by shuffle.
+#: At most so many hot keys are broadcast (24 bytes each); beyond, they are joined by a salted shuffle.
 HOT_KEYS = 500_000
 SALTS = 64
 
@@ -62,34 +62,53 @@ def keyed(recs: DataFrame) -> DataFrame:
     return recs.select("id", p.alias("p"), a.alias("a")).select("id", F.xxhash64("p", "a").alias("k1"), F.xxhash64("a", F.lit(7), "p").alias("k2"))
 
 
-def grouped(recs: DataFrame, hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
-    """(id, first_id, copies) of every record that has a copy.
+def _split(recs: DataFrame, hot_rows: int, hot_keys: int, salts: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records (id, k1, k2) of ordinary keys; those of hot keys, salted; and (k1, k2, first_id, copies), one row a hot key.
 
     Hot keys are found exactly, by counts combined in each map task before the shuffle. Their
-    records are aggregated on (key, salt) and then on the key; the result, a row for each hot key,
-    joins the members where they lie, so no task holds a hot group. All other keys take one
+    records are aggregated on (key, salt) and then on the key. The keys are written once, so that
+    neither texts are read nor JSON is parsed twice, and lost executors cost nothing.
+    """
+    keys = cut(keyed(recs), "copies")
+    hot = keys.groupBy("k1", "k2").count().where(F.col("count") >= hot_rows).select("k1", "k2", F.lit(True).alias("hot"))
+    hot = cut(hot, "hot-copies")
+    salted = keys.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+    if hot.limit(hot_keys + 1).count() <= hot_keys:
+        side, by = F.broadcast(hot), ["k1", "k2"]
+    else:
+        side, by = hot.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["k1", "k2", "salt"]
+    rest, members = salted.join(side, by, "left_anti").drop("salt"), salted.join(side, by, "left_semi")
+    first = (
+        members.groupBy("k1", "k2", "salt").agg(F.min("id").alias("m"), F.count("*").alias("c"))
+        .groupBy("k1", "k2").agg(F.min("m").alias("first_id"), F.sum("c").alias("copies"))
+    )
+    return rest, members, first
+
+
+def grouped(recs: DataFrame, hot_rows: int = HOT_ROWS, salts: int = SALTS, hot_keys: int = HOT_KEYS) -> DataFrame:
+    """(id, first_id, copies) of every record that has a copy.
+
+    Members of hot keys are joined with their key's row where they lie, or by key and salt, so no
+    task holds a hot group. All other keys take one
     shuffle. Rows of an empty table give an empty result; a repeated id is a record of its own.
     """
-    keys = keyed(recs).persist()
-    hot = keys.groupBy("k1", "k2").count().where(F.col("count") >= hot_rows).select("k1", "k2").persist()
-    n_hot = hot.count()
+    rest, members, first = _split(recs, hot_rows, hot_keys, salts)
     by_key = Window.partitionBy("k1", "k2")
-    rest = keys
-    parts = []
-    if n_hot:
-        side = F.broadcast(hot) if n_hot <= HOT_KEYS else hot
-        rest = keys.join(side, ["k1", "k2"], "left_anti")
-        members = keys.join(side, ["k1", "k2"], "left_semi")
-        first = (
-            members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
-            .groupBy("k1", "k2", "salt").agg(F.min("id").alias("m"), F.count("*").alias("c"))
-            .groupBy("k1", "k2").agg(F.min("m").alias("first_id"), F.sum("c").alias("copies"))
-        )
-        parts.append(members.join(F.broadcast(first) if n_hot <= HOT_KEYS else first, ["k1", "k2"]).select("id", "first_id", "copies"))
     rest = rest.select("id", F.min("id").over(by_key).alias("first_id"), F.count("*").over(by_key).alias("copies")).where("copies > 1")
-    for p in parts:
-        rest = rest.unionByName(p)
-    return rest
+    if first.limit(hot_keys + 1).count() <= hot_keys:
+        members = members.join(F.broadcast(first), ["k1", "k2"])
+    else:
+        members = members.join(first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["k1", "k2", "salt"])
+    return rest.unionByName(members.select("id", "first_id", "copies"))
+
+
+def collapsed(recs: DataFrame, hot_rows: int = HOT_ROWS, salts: int = SALTS, hot_keys: int = HOT_KEYS) -> DataFrame:
+    """(id, copies): a row for each group, its smallest id and the number of its records; single records are groups of one.
+
+    The rows come from the aggregates; no record is joined back.
+    """
+    rest, _, first = _split(recs, hot_rows, hot_keys, salts)
+    return rest.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies")).unionByName(first.withColumnRenamed("first_id", "id")).select("id", "copies")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,11 +118,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per group of copies, single records included, with the number of its copies."""
-    recs = records(table(spark, sf_dir, "pairs"), table(spark, sf_dir, "raw_lines"))
-    g = grouped(recs)
-    one = g.where("id = first_id").select("id", "copies")
-    others = g.where("id <> first_id").select("id")
-    return recs.select("id").join(others, "id", "left_anti").join(one, "id", "left").select("id", F.coalesce("copies", F.lit(1).cast("long")).alias("copies"))
+    return collapsed(records(table(spark, sf_dir, "pairs"), table(spark, sf_dir, "raw_lines")))
 
 
 _RECORDS = r"""

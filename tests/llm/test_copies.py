@@ -19,6 +19,10 @@ def test_hot_and_rare_groups(spark):
         got = sorted((r.first_id, r.id) for r in g.where("id > first_id").collect())
         assert got == brute(recs)
         assert {r.copies for r in g.where("first_id = 0").collect()} == {60}
+    for most in (0, 100):  # many hot keys: salted joins instead of a broadcast
+        assert sorted((r.first_id, r.id) for r in copies.grouped(df, 10, 4, most).where("id > first_id").collect()) == brute(recs)
+        one = {r.id: r.copies for r in copies.collapsed(df, 10, 4, most).collect()}
+        assert sum(one.values()) == len(recs) and one[0] == 60 and set(one) == {r[0] for r in recs} - {x for _, x in brute(recs)}
 
 
 def test_json_lines(spark):
