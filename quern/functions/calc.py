@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import ast
+import math
 import re
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+# Decimals are kept to a ten-thousandth, magnitudes below 2**63, brackets and signs nest this deep.
 SCALE, LIMIT, DEPTH = 10_000, 2**63 - 1, 8
-
-
-class _Fault(Exception):
-    pass
+#: What an expression of calc(...) may consist of.
+ALPHABET = r"[0-9 +\-*/().%]+"
 
 
 def _div(a: int, b: int) -> int:
@@ -21,67 +22,66 @@ def _div(a: int, b: int) -> int:
     return q if (a < 0) == (b < 0) else -q
 
 
+def _held(v: int | None) -> int | None:
+    return None if v is None or abs(v) > LIMIT else v
+
+
+def _number(t: str) -> int | None:
+    whole, _, part = t.partition(".")
+    return _held(int(whole or 0) * SCALE + int((part + "0000")[:4]) + (part[4:5] >= "5"))
+
+
+# None stands for an error (overflow, division by zero) and makes every result None.
+_BINARY = {
+    "+": lambda a, b: _held(a + b),
+    "-": lambda a, b: _held(a - b),
+    "*": lambda a, b: None if _held(a * b) is None else _div(a * b, SCALE),
+    "/": lambda a, b: None if b == 0 or _held(a * SCALE) is None else _div(a * SCALE, b),
+    "%": lambda a, b: None if b == 0 else abs(a) % abs(b) * (-1 if a < 0 else 1),
+}
+_LEVELS = ("+-", "*/%")
+
+
 class _Reader:
-    """expression = term (+- term)*; term = factor (*/% factor)*; factor = -factor | (expression) | number."""
+    """A chain of operands joined by the operators of its level; an operand is a chain of the next level, at last a sign,
+    a bracket or a number. The whole text is read even when an error is certain, since a fault of syntax comes first."""
 
     def __init__(self, text: str):
-        self.t = re.findall(r"\d+(?:\.\d+)?|\.\d+|[-+*/%()]|\S", text)
+        self.t = re.findall(r"\d+\.?\d*|\.\d+|[^ ]", text)
         self.i = 0
 
     def peek(self) -> str:
         return self.t[self.i] if self.i < len(self.t) else ""
 
-    def take(self) -> str:
-        self.i += 1
-        return self.t[self.i - 1]
-
-    def expression(self, depth: int) -> int:
-        v = self.term(depth)
-        while self.peek() in ("+", "-"):
-            v = _held(v + self.term(depth)) if self.take() == "+" else _held(v - self.term(depth))
+    def chain(self, depth: int, level: int = 0) -> int | None:
+        operand = (lambda: self.chain(depth, level + 1)) if level + 1 < len(_LEVELS) else (lambda: self.operand(depth))
+        v = operand()
+        while self.peek() and self.peek() in _LEVELS[level]:
+            op = _BINARY[self.peek()]
+            self.i += 1
+            w = operand()
+            v = None if v is None or w is None else op(v, w)
         return v
 
-    def term(self, depth: int) -> int:
-        v = self.factor(depth)
-        while self.peek() in ("*", "/", "%"):
-            op, w = self.take(), self.factor(depth)
-            if op != "*" and w == 0:
-                raise _Fault
-            if op == "*":
-                v = _div(v * w, SCALE)
-            elif op == "/":
-                v = _div(v * SCALE, w)
-            else:
-                v = (abs(v) % abs(w)) * (-1 if v < 0 else 1)
-            v = _held(v)
-        return v
-
-    def factor(self, depth: int) -> int:
+    def operand(self, depth: int) -> int | None:
+        if depth > DEPTH:
+            raise SyntaxError
         t = self.peek()
-        if t in ("-", "+"):
-            self.take()
-            v = self.factor(depth + 1)
-            return -v if t == "-" else v
+        self.i += 1
+        if t in ("+", "-"):
+            v = self.operand(depth + 1)
+            return -v if t == "-" and v is not None else v
         if t == "(":
-            if depth >= DEPTH:
-                raise _Fault
-            self.take()
-            v = self.expression(depth + 1)
+            if depth == DEPTH:
+                raise SyntaxError
+            v = self.chain(depth + 1)
             if self.peek() != ")":
                 raise SyntaxError
-            self.take()
+            self.i += 1
             return v
-        if not re.fullmatch(r"\d+(?:\.\d+)?|\.\d+", t):
+        if not t or t[-1] not in "0123456789." or t == ".":
             raise SyntaxError
-        self.take()
-        whole, _, part = t.partition(".")
-        return _held(int(whole or 0) * SCALE + _div(int((part or "0")[:9].ljust(9, "0")), 10**5))
-
-
-def _held(v: int) -> int:
-    if abs(v) > LIMIT:
-        raise _Fault
-    return v
+        return _number(t)
 
 
 def show(v: int) -> str:
@@ -90,24 +90,23 @@ def show(v: int) -> str:
 
 
 def evaluate(text: str) -> str | None:
-    """The value with at most four decimals, "error" on overflow, division by zero or too deep nesting, None if it is no expression."""
+    """The value with at most four decimals, "error" on overflow or division by zero, None if it is no expression or nests too deep."""
     r = _Reader(text)
     try:
-        v = r.expression(0)
-        return show(v) if r.i == len(r.t) else None
-    except _Fault:
-        return "error"
-    except (SyntaxError, IndexError, RecursionError):
+        v = r.chain(0)
+    except SyntaxError:
         return None
+    return None if r.i != len(r.t) else "error" if v is None else show(v)
 
 
 def apply_calc(answer: str) -> str:
-    """M1: calc(...) replaced by its value; anything else as it is."""
-    m = re.fullmatch(r"\s*calc\((.*)\)\s*", answer, re.S)
+    """M1: calc(...) with its value behind it, or with error; anything else as it is."""
+    m = re.fullmatch(rf"[ \t\n\r\v\f]*calc\(({ALPHABET})\)[ \t\n\r\v\f]*", answer)
     v = evaluate(m[1]) if m else None
-    return answer if v is None else v
+    return answer if v is None else f"calc({m[1].strip(' ')}) = {v}"
 
 
+# Number words.
 UNITS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
 
@@ -142,29 +141,123 @@ def unspell(words: str) -> int | None:
     return total + part
 
 
-_ASK = re.compile(r"(-?\d+(?:\.\d+)?)\s*(plus|\+|minus|-|times|x|\*|divided by|/|over|percent of|% of)\s*(-?\d+(?:\.\d+)?)", re.I)
-_NUMBER = re.compile(rf"\b(?:(?:{'|'.join(UNITS + TENS)}|hundred|thousand|million)(?:[ -](?:and )?)?)+\b", re.I)
+# The ways of asking for an operation, numbers first to last ({0}, {1}).
+_QUESTION = r"(?:what is |what's |whats |how much is )?"
+_FORMS = [(rf"{_QUESTION}#NUM# (?:{words}) #NUM#", "{0}" + op + "{1}") for words, op in ((r"plus|\+", "+"), (r"minus|-", "-"), (r"times|\*|x", "*"), (r"divided by|/", "/"))] + [
+    ("add #NUM# and #NUM#", "{0}+{1}"), ("multiply #NUM# by #NUM#", "{0}*{1}"), ("divide #NUM# by #NUM#", "{0}/{1}"), ("subtract #NUM# from #NUM#", "{1}-{0}"),
+]
+_FORMS = [(re.compile(p.replace("#NUM#", r"(-?\d+(?:\.\d+)?)")), out) for p, out in _FORMS]
 
 
 def extract_expr(question: str) -> str | None:
-    """the expression of a plain arithmetic question, numbers in digits or words."""
+    """the expression of a question that asks for one operation on two numbers and nothing else; negative numbers in brackets."""
+    q = question.strip().rstrip("?.! ").lower()
+    for pattern, out in _FORMS:
+        if m := pattern.fullmatch(q):
+            return out.format(*(f"({n})" if n.startswith("-") else n for n in m.groups()))
+    return None
+
+
+_NUMBER = re.compile(rf"\b(?:(?:(?:hundred|thousand|million)(?: and)?|{'|'.join(sorted(UNITS + TENS, key=len, reverse=True))})\b[ -]?)+", re.I)
+
+
+def spoken_expr(question: str) -> str | None:
+    """the same with numbers in words."""
 
     def digits(m: re.Match) -> str:
         n = unspell(m[0].lower().strip(" -"))
         return m[0] if n is None else f"{n} "
 
-    m = _ASK.search(_NUMBER.sub(digits, question))
-    if not m:
+    return extract_expr(re.sub(r"\s+", " ", _NUMBER.sub(digits, question)))
+
+
+# M2: functions of a formula, rounded to a ten-thousandth; an exponent is a whole number of at most 8.
+_CALLS = {"sin": math.sin, "cos": math.cos, "sqrt": math.sqrt, "abs": abs}
+
+
+class _Formula(ast.NodeVisitor):
+    """A formula in x as scaled whole numbers; ValueError for what it can't hold."""
+
+    def __init__(self, x: int):
+        self.x = x
+
+    def generic_visit(self, node):
+        raise ValueError
+
+    def visit_Expression(self, node):
+        return self.visit(node.body)
+
+    def visit_Name(self, node):
+        if node.id not in ("x", "n"):
+            raise ValueError
+        return self.x
+
+    def visit_Constant(self, node):
+        if type(node.value) not in (int, float):
+            raise ValueError
+        return _number(f"{node.value:.5f}")
+
+    def visit_UnaryOp(self, node):
+        v = self.visit(node.operand)
+        return -v if isinstance(node.op, ast.USub) else v
+
+    def visit_BinOp(self, node):
+        a, b = self.visit(node.left), self.visit(node.right)
+        if isinstance(node.op, ast.Pow):
+            if b % SCALE or abs(b) > 8 * SCALE:
+                raise ValueError
+            v = SCALE
+            for _ in range(abs(b) // SCALE):
+                v = _BINARY["*"](v, a)
+            out = v if b >= 0 else _BINARY["/"](SCALE, v)
+        else:
+            out = _BINARY[{ast.Add: "+", ast.Sub: "-", ast.Mult: "*", ast.Div: "/", ast.Mod: "%"}[type(node.op)]](a, b)
+        if out is None:
+            raise ValueError
+        return out
+
+    def visit_Call(self, node):
+        if not isinstance(node.func, ast.Name) or node.func.id not in _CALLS or len(node.args) != 1 or node.keywords:
+            raise ValueError
+        return _div(round(_CALLS[node.func.id](self.visit(node.args[0]) / SCALE) * 10**9), 10**5)
+
+
+def formula(text: str, x: int) -> str | None:
+    """The value of a formula at x (scaled); null outside its domain."""
+    try:
+        return show(_Formula(x).visit(ast.parse(text.strip().replace("^", "**"), mode="eval")))
+    except (ValueError, SyntaxError, KeyError, TypeError, ZeroDivisionError, OverflowError):
         return None
-    op = m[2].lower()
-    if op in ("percent of", "% of"):
-        return f"{m[3]}*{m[1]}/100"
-    return f"{m[1]}{dict([('plus', '+'), ('minus', '-'), ('times', '*'), ('x', '*'), ('divided by', '/'), ('over', '/')]).get(op, op)}{m[3]}"
 
 
-def series(formula: str, lo: int, hi: int) -> list[tuple[int, str]]:
-    """M2: values of a formula in x for whole x."""
-    return [(x, v) for x in range(lo, hi + 1) if (v := evaluate(re.sub(r"\bx\b", f"({x})", formula))) is not None]
+# The requests of a series.
+_SERIES = [
+    (re.compile(r"(?:plot|graph) (.+?) from (-?[\d.]+) to (-?[\d.]+)(?: with (\d+) points)?\??"), "plot"),
+    (re.compile(r"(?:show |make a )?table of (.+?) for [xn] (?:from )?(-?\d+) to (-?\d+)()\??"), "table"),
+    (re.compile(r"(?:show )?bars for (-?[\d., -]+)()()()\??"), "bars"),
+]
+
+
+def series(request: str, most: int = 64) -> list[tuple[str, str]] | None:
+    """M2: the rows (x, y) of a plot, a table or bars that are asked for; null for other texts and beyond most points."""
+    q = re.sub(r"^(?:(?:please|can you|could you) )+", "", request.strip().lower())
+    for pattern, kind in _SERIES:
+        if not (m := pattern.fullmatch(q)):
+            continue
+        if kind == "bars":
+            values = [v.strip() for v in m[1].split(",")]
+            return [(str(i + 1), show(_number(v.lstrip("-")) * (-1 if v.startswith("-") else 1))) for i, v in enumerate(values)] if all(re.fullmatch(r"-?\d+(?:\.\d+)?", v) for v in values) and len(values) <= most else None
+        try:
+            lo, hi = (round(float(v) * SCALE) for v in (m[2], m[3]))
+        except ValueError:
+            return None
+        points = int(m[4]) if m[4] else (hi - lo) // SCALE + 1 if kind == "table" else 25
+        if not 1 <= points <= most or hi < lo:
+            return None
+        xs = [lo if points == 1 else lo + _div((hi - lo) * k, points - 1) for k in range(points)]
+        ys = [formula(m[1], x) for x in xs]
+        return None if None in ys else [(show(x), y) for x, y in zip(xs, ys)]
+    return None
 
 
 def _text(f):
@@ -180,3 +273,7 @@ def calc_udf():
 
 def expr_udf():
     return _text(extract_expr)
+
+
+def spoken_udf():
+    return _text(spoken_expr)

@@ -12,17 +12,11 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import functions as F
 
-from quern.functions import wiki
-
-# Marks around the date of an expanded template, and in place of the braces of other templates.
-_ON, _OFF, _PARK, _UNPARK = "\x01", "\x02", "\x03", "\x04"
-_MONTH = {m[:3]: i for m, i in wiki.MONTHS.items()}
-_MON = r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
-_DATE = re.compile(
-    rf"(?P<iso>\x01-?\d{{1,4}}(?:-\d\d){{0,2}}\x02)|\b(?P<d1>\d{{1,2}})\s+(?P<m1>{_MON})\.?,?\s+(?P<y1>\d{{3,4}})(?:\s*(?P<bc1>BC|BCE))?"
-    rf"|\b(?P<m2>{_MON})\.?\s+(?P<d2>\d{{1,2}})(?:st|nd|rd|th)?,?\s+(?P<y2>\d{{3,4}})|\b(?P<m3>{_MON})\.?,?\s+(?P<y3>\d{{3,4}})|\b(?P<y4>\d{{3,4}})(?:\s*(?P<bc4>BC|BCE)\b)?",
-    re.I,
-)
+from quern.functions import dates, wiki
+
+# In place of the braces of other templates.
+_PARK, _UNPARK = "\x03", "\x04"
+_MON = "(?:" + "|".join(sorted(dates.MONTHS, key=len, reverse=True)) + ")"
 _TYPOGRAPHIC = str.maketrans({"–": "-", "—": "-", "−": "-", "‘": "'", "’": "'", "“": '"', "”": '"', "…": "...", "\xa0": " ", "×": "x"})
 
 
@@ -30,23 +24,11 @@ def ascii_only(s: str) -> str:
     return unicodedata.normalize("NFKD", s.translate(_TYPOGRAPHIC)).encode("ascii", "ignore").decode()
 
 
-def scan(text: str) -> list[str]:
-    """Dates in order; those of expanded templates as they are."""
-    out = []
-    for m in _DATE.finditer(text):
-        g = m.groupdict()
-        if g["iso"]:
-            out.append(g["iso"].strip(_ON + _OFF))
-            continue
-        k = next(k for k in "1234" if g["y" + k])
-        month, day = g.get("m" + k), g.get("d" + k)
-        out.append(_iso(g["y" + k], _MONTH[month.lower()[:3]] if month else 0, day or 0, bool(g.get("bc" + k))))
-    return [d for d in out if d]
+scan = dates.scan
 
 
 def _iso(y, m=0, d=0, bc=False) -> str | None:
-    y, m, d = int(y), int(m), int(d)
-    return None if d and not m else wiki.iso(y, m, d, bc)
+    return dates.iso(int(y), int(m), int(d), bc)
 
 
 # ---- D3: date templates. Their names, and the dates that each gives.
@@ -67,8 +49,8 @@ def expand_dates(text: str) -> str:
         at = [p for p in args if re.fullmatch(r"-?\d{1,4}", p)]
         if name == "birth date and age2":
             at = at[3:6]
-        dates = [_iso(abs(int(c[0])), *c[1:], bc=c[0].startswith("-")) if all(x.isdigit() for x in c[1:]) else None for c in (at[i : i + 3] for i in range(0, 3 * _DATED[name], 3)) if c]
-        return " ".join(_ON + d + _OFF for d in dates if d)
+        given = [_iso(abs(int(c[0])), *c[1:], bc=c[0].startswith("-")) if all(x.isdigit() for x in c[1:]) else None for c in (at[i : i + 3] for i in range(0, 3 * _DATED[name], 3)) if c]
+        return " ".join(dates.ON + d + dates.OFF for d in given if d)
 
     while (new := re.sub(r"\{\{([^{}]*)\}\}", one, text)) != text:
         text = new

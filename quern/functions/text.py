@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import calendar
 from functools import reduce
 
 from pyspark.sql import Column
@@ -103,14 +104,42 @@ def sha1_bucket(c, buckets: int = 5) -> Column:
     return (F.conv(F.substring(F.sha1(c), 1, 2), 16, 10).cast("int") % buckets).cast("int")
 
 
-def first_line(c) -> Column:
-    """first line that isn't blank, stripped."""
-    return F.coalesce(F.get(F.filter(F.transform(F.split(c, "\r\n|\r|\n"), strip), lambda x: x != ""), F.lit(0)), F.lit(""))
+#: Where Python's str.splitlines breaks.
+_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
+def first_line(c, prompt=None) -> Column:
+    """first line that isn't blank, blanks collapsed; an echo of the prompt before it doesn't count."""
+    if prompt is not None:
+        begin = F.regexp_replace(c, f"^[{SPACE}]+", "")
+        echo = (F.length(prompt) > 0) & F.startswith(F.lower(begin), F.lower(prompt))
+        c = F.when(echo, F.substring(begin, F.length(prompt) + 1, F.length(begin))).otherwise(c)
+    lines = F.transform(F.split(c, _BREAK), lambda x: strip(F.regexp_replace(x, f"[{SPACE}]+", " ")))
+    return F.coalesce(F.get(F.filter(lines, lambda x: x != ""), F.lit(0)), F.lit(""))
 
 
 def answer_norm(c) -> Column:
-    """lower case, blanks collapsed, final punctuation off."""
-    return F.regexp_replace(F.lower(F.regexp_replace(strip(c), f"[{SPACE}]+", " ")), r"[.!?]+$", "")
+    """lower case, blanks collapsed, quotes around it and final punctuation off."""
+    c = strip(F.regexp_replace(F.lower(c), f"[{SPACE}]+", " "))
+    return F.regexp_replace(F.regexp_replace(c, "^[`\"' \t]+|[`\"' \t]+$", ""), "[.!?,;:]+$", "")
+
+
+def whole_words(c, part) -> Column:
+    """part stands in c and no word goes on before or behind it."""
+    quoted = F.regexp_replace(part, r"([^\p{L}\p{N}_ ])", r"\\$1")
+    return F.regexp(c, F.concat(F.lit(r"(?U)(?<!\w)"), quoted, F.lit(r"(?!\w)")))
+
+
+def tool_form(c) -> Column:
+    """the raw output is one call of calc with an operator in it."""
+    return F.coalesce(strip(c).rlike(r"\Acalc\([0-9 .()]*[-+*/%][0-9 .()+\-*/%]*\)\z"), F.lit(False))
+
+
+def gram_keys(words: Column, n: int) -> Column:
+    """F3 as pairs of 64-bit hashes: as distinct runs of n words, without their text."""
+    none = F.array().cast("array<struct<a:bigint,b:bigint>>")
+    pair = lambda w, i: F.struct(F.xxhash64(F.slice(w, i, n)).alias("a"), F.xxhash64(F.lit(n), F.slice(w, i, n)).alias("b"))
+    return once(words, lambda w: F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: pair(w, i)))).otherwise(none))
 
 
 # one expression for each text operation; vowels and letters are ASCII.
@@ -132,6 +161,14 @@ def text_operations(c: Column) -> dict[str, Column]:
     }
 
 
+def date_said(iso: Column) -> Column:
+    """A date of one of three lengths with on or in before it, - before years BC."""
+    year = F.concat(F.abs(F.regexp_extract(iso, r"^-?(\d+)", 1).cast("int")).cast("string"), F.when(F.startswith(iso, F.lit("-")), " BC").otherwise(""))
+    month = F.element_at(F.array(*[F.lit(calendar.month_name[m]) for m in range(1, 13)]), F.greatest(F.lit(1), F.coalesce(F.regexp_extract(iso, r"^-?\d+-(\d\d)", 1).try_cast("int"), F.lit(1))))
+    day = F.regexp_extract(iso, r"^-?\d+-\d\d-(\d\d)$", 1).try_cast("int").cast("string")
+    return F.when(day.isNotNull(), F.concat(F.lit("on "), day, F.lit(" "), month, F.lit(" "), year)).when(iso.rlike(r"^-?\d+-\d\d$"), F.concat(F.lit("in "), month, F.lit(" "), year)).otherwise(F.concat(F.lit("in "), year))
+
+
 def any_of(c: Column, words: list[str]) -> Column:
     return F.arrays_overlap(c, F.array(*map(F.lit, words)))
 

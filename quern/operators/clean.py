@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import is_refusal, normalize_key, space_words, strip
-from quern.operators.contamination import OVERLAP, flag_keys, jaccard_join
+from quern.operators.contamination import OVERLAP, jaccard_join, suite_hits
+from quern.session import cut
 
 MAX_ANSWER_WORDS = 40
 
@@ -42,27 +43,28 @@ def candidate_items(requests: DataFrame, results: DataFrame) -> DataFrame:
 def drop_reasons(items: DataFrame, suite: DataFrame) -> DataFrame:
     """Items with drop_reason, the first rule that fails, null for kept ones.
 
-    The cheap rules come before the joins with the evaluation suite, which only rows that passed
-    them reach; copies are found last, among rows that passed everything else.
+    The parsed items are numbered and written once. What passes the cheap rules is held against the
+    evaluation suite, keys and similar prompts each in one streaming pass, and only hits are
+    shuffled; copies are found last, by an aggregate that combines before its shuffle, among rows
+    that passed everything else.
     """
     cheap = (
         F.when(F.col("status") != "ok", F.col("status")).when(F.col("answer") == "", "empty_answer").when(is_refusal(F.col("answer")), "refusal")
         .when(F.size(space_words(F.col("answer"))) > MAX_ANSWER_WORDS, "overlong")
     )
-    rows = items.withColumn("id", F.struct("custom_id", "received_at", "i")).withColumn("drop_reason", cheap)
-    failed = rows.where("drop_reason is not null")
-    rows = flag_keys(rows.where("drop_reason is null").drop("drop_reason"), ["id"], suite)
-    rule = F.when(F.col("exact_prompt"), "contamination_exact_prompt").when(F.col("exact_answer"), "contamination_exact_answer").when(F.col("gram"), "contamination_8gram")
-    rows = rows.withColumn("drop_reason", rule)
-    prompts = rows.where("drop_reason is null").select(F.col("prompt").alias("l"), F.col("prompt").alias("text")).distinct()
-    near = jaccard_join(prompts, suite.select(F.col("id").alias("r"), F.col("prompt").alias("text")), OVERLAP).select(F.col("l").alias("near_prompt")).distinct()
-    rows = rows.join(near, rows["prompt"] == near["near_prompt"], "left").withColumn("drop_reason", F.coalesce("drop_reason", F.when(F.col("near_prompt").isNotNull(), "contamination_overlap")))
-    first = Window.partitionBy(normalize_key(F.col("prompt")), normalize_key(F.col("answer")), F.col("drop_reason").isNull()).orderBy("received_at", "custom_id", "i")
-    rows = rows.withColumn("rn", F.row_number().over(first)).withColumn("drop_reason", F.when(F.col("drop_reason").isNull() & (F.col("rn") > 1), "duplicate").otherwise(F.col("drop_reason")))
-    cols = ["custom_id", "received_at", "category", "i", "prompt", "tier", "answer", "drop_reason"]
-    return rows.select(*cols).unionByName(failed.select(*cols))
+    rows = cut(items.withColumn("id", F.monotonically_increasing_id()).withColumn("drop_reason", cheap), "items")
+    open_ = rows.where("drop_reason is null")
+    near = jaccard_join(open_.select(F.col("id").alias("l"), F.col("prompt").alias("text")), suite.select(F.col("id").alias("r"), F.col("prompt").alias("text")), OVERLAP)
+    hits = suite_hits(open_, "id", suite).unionByName(near.select(F.col("l").alias("id"), F.lit(4).alias("hit"))).groupBy("id").agg(F.min("hit").alias("hit"))
+    reason = F.coalesce(*[F.when(F.col("hit") == k, f"contamination_{r}") for k, r in enumerate(("exact_prompt", "exact_answer", "8gram", "overlap"), 1)])
+    rows = cut(rows.join(hits, "id", "left").withColumn("drop_reason", F.coalesce("drop_reason", reason)).drop("hit"), "items")
+    keys = [normalize_key(F.col("prompt")).alias("p"), normalize_key(F.col("answer")).alias("a")]
+    first = rows.where("drop_reason is null").groupBy(*keys).agg(F.min(F.struct("received_at", "custom_id", "i", "id")).alias("m")).select(F.col("m.id").alias("id"), F.lit(True).alias("first"))
+    rows = rows.join(first, "id", "left").withColumn("drop_reason", F.when(F.col("drop_reason").isNull() & F.col("first").isNull(), "duplicate").otherwise(F.col("drop_reason")))
+    return rows.select("custom_id", "received_at", "category", "i", "prompt", "tier", "answer", "drop_reason")
 
 
 def first_wins(df: DataFrame, keys: list, order: list[str]) -> DataFrame:
-    """The first row of each key in a total order."""
-    return df.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("rn = 1").drop("rn")
+    """The first row of each key in a total order; each task keeps one row a key before the shuffle, so hot keys cost no more."""
+    first = F.min(F.struct(*order, F.struct(*df.columns).alias("row"))).alias("m")
+    return df.groupBy(*[k if isinstance(k, str) else k.alias(f"_k{n}") for n, k in enumerate(keys)]).agg(first).select("m.row.*")

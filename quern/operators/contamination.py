@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from quern.functions.text import ngrams, normalize_key, word_list, word_set
 
 NGRAM, LONG_ANSWER, OVERLAP = 8, 12, 0.8
-#: Evaluation keys up to this number are broadcast; more are joined by shuffle.
-BROADCAST_KEYS = 1_000_000
+#: Evaluation tables up to this many bytes, as estimated from a count and the mean row, are broadcast; more are joined by shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
 def eval_keys(items: DataFrame) -> DataFrame:
@@ -23,45 +23,64 @@ def eval_keys(items: DataFrame) -> DataFrame:
     return x.where("key is not null").distinct()
 
 
-def small(df: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
-    """Broadcast hint if df has at most limit rows, else df as it is."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint if df has at most so many bytes of values (one pass over df, which should be cheap), else df as it is."""
+    return F.broadcast(df) if byte_size(df) <= limit else df
 
 
-def flag_keys(rows: DataFrame, id_cols: list[str], items: DataFrame) -> DataFrame:
-    """rows with exact_prompt, exact_answer and gram (booleans), for rows (prompt, answer).
+def byte_size(df: DataFrame) -> int:
+    """Bytes of all values of df, about: of strings and arrays their lengths, 8 for all else."""
 
-    J4, J5 join on the key; J6 joins the exploded runs and keeps one row per id, so a common run
-    costs no more than its own rows.
+    def width(c: str, kind: str):
+        if kind == "string":
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+        if kind == "array<string>":
+            return F.coalesce(F.octet_length(F.array_join(c, " ")) + 8 * F.size(c), F.lit(0)) + 8
+        return F.coalesce(8 * F.size(c), F.lit(0)) + 8 if kind.startswith("array") else F.lit(8)
+
+    total = sum((width(f"`{n}`", k) for n, k in df.dtypes), F.lit(16))
+    return df.agg(F.coalesce(F.sum(total.cast("long")), F.lit(0))).first()[0]
+
+
+def suite_hits(rows: DataFrame, id_col: str, items: DataFrame) -> DataFrame:
+    """(id, hit) of the rows (id, prompt, answer) with a text of the suite: 1 prompt, 2 long answer, 3 run of words, the least.
+
+    J4, J5, J6 in one pass: each row's keys are exploded as hashes and meet the suite's keys, which
+    are broadcast; only hits are shuffled.
     """
-    keys = eval_keys(items)
-    pick = lambda kind: small(keys.where(F.col("kind") == kind).select(F.col("key").alias(f"{kind}_key"), F.lit(True).alias(f"{kind}_hit")))
-    grams = rows.select(*id_cols, F.explode(F.array_distinct(F.concat(ngrams(word_list(F.coalesce("prompt", F.lit(""))), NGRAM), ngrams(word_list(F.coalesce("answer", F.lit(""))), NGRAM)))).alias("gram_key"))
-    hit = grams.join(pick("gram"), "gram_key").select(*id_cols).distinct().withColumn("gram_hit", F.lit(True))
-    out = rows.withColumn("prompt_key", normalize_key(F.col("prompt"))).withColumn("answer_key", normalize_key(F.col("answer")))
-    out = out.join(pick("prompt"), "prompt_key", "left").join(pick("answer"), "answer_key", "left").join(hit, id_cols, "left")
-    return out.select(*rows.columns, *[F.coalesce(f"{k}_hit", F.lit(False)).alias(n) for k, n in (("prompt", "exact_prompt"), ("answer", "exact_answer"), ("gram", "gram"))])
+    kinds = F.create_map(*[F.lit(x) for kv in (("prompt", 1), ("answer", 2), ("gram", 3)) for x in kv])
+    keys = eval_keys(items).select(kinds[F.col("kind")].alias("hit"), F.xxhash64("key").alias("a"), F.xxhash64(F.lit(1), "key").alias("b"))
+    whole = lambda c, k: F.transform(F.array(normalize_key(F.coalesce(c, F.lit("")))), lambda x: F.struct(F.lit(k).alias("hit"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
+    runs = lambda c: F.transform(ngrams(word_list(F.coalesce(c, F.lit(""))), NGRAM), lambda x: F.struct(F.lit(3).alias("hit"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
+    own = rows.select(id_col, F.explode(F.concat(whole("prompt", 1), whole("answer", 2), runs("prompt"), runs("answer"))).alias("k")).select(id_col, "k.hit", "k.a", "k.b")
+    return own.join(small(keys), ["hit", "a", "b"]).groupBy(id_col).agg(F.min("hit").alias("hit"))
 
 
-def jaccard_join(left: DataFrame, right: DataFrame, threshold: float = OVERLAP) -> DataFrame:
+def jaccard_join(left: DataFrame, right: DataFrame, threshold: float = OVERLAP, limit: int = BROADCAST_BYTES) -> DataFrame:
     """(l, r, jaccard) of pairs with similar word sets, for left (l, text) and right (r, text), right the smaller.
 
-    Words are ranked by how few of the right texts have them; two sets at the threshold share one
-    of their first |s| - ceil(t|s|) + 1 words, so only those are joined, with the size filter, and
-    every candidate is verified on the whole sets. Empty texts are similar to none.
+    Words are ranked by how few of the right texts have them; a set at the threshold shares one of
+    the first |r| - ceil(t|r|) + 1 words of the other, so left words meet only those, with the size
+    filter, and every candidate is verified on the whole sets. If the right side is small it is
+    broadcast with its sets and the left side is only streamed; else both sides are joined by
+    their rare words. Empty texts are similar to none.
     """
     r = right.select("r", word_set(F.col("text")).alias("rs")).where("size(rs) > 0")
     df = r.select(F.explode("rs").alias("w")).groupBy("w").count()
-    ranked = lambda x, key, ws: (
-        x.select(key, F.size(ws).alias("n"), F.explode(ws).alias("w")).join(small(df), "w", "left")
-        .groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("c"), "w"))).alias("ws"))
-        .select(key, "n", F.explode(F.expr(f"slice(ws, 1, n - cast(ceil({threshold} * n) as int) + 1)")).alias("x")).where("x.c > 0").select(key, "n", F.col("x.w").alias("w"))
+    prefix = lambda x, key, ws: (
+        x.select(key, F.explode(ws).alias("w")).join(df, "w", "left")
+        .groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("c"), "w"))).alias("ws"))
+        .select(key, F.size("ws").alias("n"), F.explode(F.expr(f"slice(ws, 1, size(ws) - cast(ceil({threshold} * size(ws)) as int) + 1)")).alias("x")).where("x.c > 0").select(key, "n", F.col("x.w").alias("w"))
     )
     ls = left.select("l", word_set(F.col("text")).alias("ls")).where("size(ls) > 0")
-    a, b = ranked(ls, "l", F.col("ls")), ranked(r, "r", F.col("rs")).withColumnRenamed("n", "m")
-    cand = a.join(b, "w").where(f"m >= {threshold} * n and n >= {threshold} * m").select("l", "r").distinct()
-    both = cand.join(ls, "l").join(small(r), "r").withColumn("i", F.size(F.array_intersect("ls", "rs")))
+    rare = prefix(r, "r", F.col("rs")).withColumnRenamed("n", "m")
     score = F.col("i") / (F.size("ls") + F.size("rs") - F.col("i"))
+    if byte_size(r) <= limit:
+        # for each rare word the right texts that have it: one lookup a left word
+        index = F.broadcast(rare.join(F.broadcast(r), "r").groupBy("w").agg(F.collect_list(F.struct("r", "m", "rs")).alias("of")))
+        near = ls.withColumn("w", F.explode("ls")).join(index, "w").select("l", "ls", F.explode(F.expr(f"filter(of, o -> o.m >= {threshold} * size(ls) and size(ls) >= {threshold} * o.m)")).alias("o"))
+        both = near.select("l", "ls", "o.r", "o.rs").withColumn("i", F.size(F.array_intersect("ls", "rs")))
+        return both.select("l", "r", score.alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-12).distinct()
+    cand = prefix(ls, "l", F.col("ls")).join(rare, "w").where(f"m >= {threshold} * n and n >= {threshold} * m").select("l", "r").distinct()
+    both = cand.join(ls, "l").join(r, "r").withColumn("i", F.size(F.array_intersect("ls", "rs")))
     return both.select("l", "r", score.alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-12)
-
-

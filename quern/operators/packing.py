@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,9 +26,13 @@ def running(df: DataFrame, order: str, size: str, out: str, block: int = BLOCK)
 def stream_windows(df: DataFrame, order: str, tokens: str, size: int) -> DataFrame:
     """All sequences one behind the other, cut into windows of size tokens; the rest at the end is dropped."""
     x = running(df.select(order, tokens).where(F.size(tokens) > 0).withColumn("n", F.size(tokens).cast("long")), order, "n", "start")
-    at = x.select(F.posexplode(tokens).alias("k", "token"), "start").select((F.col("start") + F.col("k")).alias("pos"), "token")
-    w = at.withColumn("window", F.floor(F.col("pos") / size)).groupBy("window").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("x"))
-    return w.where(F.size("x") == size).select("window", F.transform("x", lambda y: y["token"]).alias("ids"))
+    window = F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("start") + F.col("n") - 1) / size))).alias("window")
+    x = x.select(tokens, "start", "n", window)
+    # the part of the sequence in each window it touches: slices are shuffled, not tokens
+    first, last = F.greatest(F.col("start"), F.col("window") * size), F.least(F.col("start") + F.col("n"), (F.col("window") + 1) * size)
+    part = x.select("window", first.alias("at"), F.slice(tokens, (first - F.col("start") + 1).cast("int"), (last - first).cast("int")).alias("part"))
+    w = part.groupBy("window").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda y: y["part"])).alias("ids"))
+    return w.where(F.size("ids") == size)
 
 
 def padded(tokens, size: int, pad: int = 0):
@@ -58,5 +60,3 @@ def greedy_paragraphs(df: DataFrame, key: str, order: str, size: str, limit: int
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     return df.groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, {order} {kinds[order]}, {size} {kinds[size]}, pack long")
-
-

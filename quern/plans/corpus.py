@@ -147,23 +147,34 @@ def a15_eval_keys(spark, sf):
     return C.eval_keys(table(spark, sf, "eval_suite"))
 
 
-@query("j4_exact_prompt", _HITS + f"select pair_id from pairs where {S.key('prompt')} in (select k from suite where kind = 'prompt')")
+# Reformatted copies of suite items stand beside the pairs, so that there is something to find.
+_WITH_COPIES = "(select cast(pair_id as varchar) as id, prompt, answer from pairs union all select 'copy-' || id, '  ' || upper(prompt) || ' !', lower(answer) || '...' from eval_suite)"
+
+
+def _with_copies(spark, sf):
+    suite = table(spark, sf, "eval_suite").select(F.concat(F.lit("copy-"), "id").alias("id"), F.concat(F.lit("  "), F.upper("prompt"), F.lit(" !")).alias("prompt"), F.concat(F.lower("answer"), F.lit("...")).alias("answer"))
+    return table(spark, sf, "pairs").select(F.col("pair_id").cast("string").alias("id"), "prompt", "answer").unionByName(suite)
+
+
+@query("j4_exact_prompt", _HITS + f"select id from {_WITH_COPIES} where {S.key('prompt')} in (select k from suite where kind = 'prompt')")
 def j4_exact_prompt(spark, sf):
     keys = C.small(C.eval_keys(table(spark, sf, "eval_suite")).where("kind = 'prompt'").select("key"))
-    return table(spark, sf, "pairs").select("pair_id", T.normalize_key(F.col("prompt")).alias("key")).join(keys, "key", "left_semi").select("pair_id")
+    return _with_copies(spark, sf).select("id", T.normalize_key(F.col("prompt")).alias("key")).join(keys, "key", "left_semi").select("id")
 
 
-@query("j5_exact_long_answer", _HITS + f"select pair_id from pairs where {S.key('answer')} in (select k from suite where kind = 'answer')")
+@query("j5_exact_long_answer", _HITS + f"select id from {_WITH_COPIES} where {S.key('answer')} in (select k from suite where kind = 'answer')")
 def j5_exact_long_answer(spark, sf):
     keys = C.small(C.eval_keys(table(spark, sf, "eval_suite")).where("kind = 'answer'").select("key"))
-    return table(spark, sf, "pairs").select("pair_id", T.normalize_key(F.col("answer")).alias("key")).join(keys, "key", "left_semi").select("pair_id")
+    return _with_copies(spark, sf).select("id", T.normalize_key(F.col("answer")).alias("key")).join(keys, "key", "left_semi").select("id")
 
 
 @query("j6_ngram8_contamination", _HITS + f"select doc_id, count(*) as shared from (select doc_id, unnest({S.grams('text', 8)}) as g from documents where text is not null) where g in (select k from suite where kind = 'gram') group by 1")
 def j6_ngram8_contamination(spark, sf):
-    keys = C.small(C.eval_keys(table(spark, sf, "eval_suite")).where("kind = 'gram'").select("key"))
-    grams = table(spark, sf, "documents").where("text is not null").select("doc_id", F.explode(T.ngrams(T.word_list(F.col("text")), 8)).alias("key"))
-    return grams.join(keys, "key", "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared"))
+    """Runs are compared as pairs of 64-bit hashes; only documents with hits are counted."""
+    suite = table(spark, sf, "eval_suite")
+    keys = suite.select(F.explode(F.concat(*[T.gram_keys(T.word_list(F.coalesce(c, F.lit(""))), 8) for c in ("prompt", "answer")])).alias("k")).select("k.*").distinct()
+    grams = table(spark, sf, "documents").where("text is not null").select("doc_id", F.explode(T.gram_keys(T.word_list(F.col("text")), 8)).alias("k")).select("doc_id", "k.*")
+    return grams.join(C.small(keys), ["a", "b"], "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared"))
 
 
 @query(
@@ -196,6 +207,14 @@ def j13_train_minus_dev(spark, sf):
     return table(spark, sf, "pairs").where("prompt is not null").select("pair_id", T.normalize_key(F.col("prompt")).alias("k")).join(C.small(dev), "k", "left_anti").select("pair_id")
 
 
+@query("j13_train_minus_dev_pairs", f"select id from {_WITH_COPIES} where prompt is not null and answer is not null and ({S.key('prompt')}, {S.key('answer')}) not in (select ({S.key('prompt')}, {S.key('answer')}) from eval_suite)")
+def j13_train_minus_dev_pairs(spark, sf):
+    """The form by prompt and answer: both must be the suite's."""
+    keys = [T.normalize_key(F.col(c)).alias(k) for c, k in (("prompt", "p"), ("answer", "a"))]
+    dev = table(spark, sf, "eval_suite").select(*keys).distinct()
+    return _with_copies(spark, sf).where("prompt is not null and answer is not null").select("id", *keys).join(C.small(dev), ["p", "a"], "left_anti").select("id")
+
+
 @query("j3_context_work_list", "select pair_id from pairs p where context is not null and not exists (from pairs q where q.prompt = p.prompt and q.context = p.context and q.answer is not null and q.pair_id <> p.pair_id)")
 def j3_context_work_list(spark, sf):
     p = table(spark, sf, "pairs")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import calc, text as T, wiki
 from quern.operators.contamination import small
+from quern.operators.numbering import numbered
 from quern.plans import sqltext as S
 from quern.session import table
 
@@ -73,12 +74,9 @@ def j9_redirects(spark, sf):
 
 @query("w6_entity_numbers", "select row_number() over (order by coalesce(n, 0) desc, t, page_id) - 1 as eid, t from wiki_pages where r is null and w is not null")
 def w6_entity_numbers(spark, sf):
-    """Dense ids in a total order, without one task for all rows: ranges of the order are numbered each, behind the counts before them."""
+    """Dense ids in a total order, without one task for all rows."""
     x = _pages(spark, sf).where("r is null and w is not null").select(F.coalesce("n", F.lit(0).cast("long")).alias("n"), "t", "page_id")
-    x = x.withColumn("b", F.greatest(F.lit(0), 64 - F.log2(F.col("n") + 1).cast("int")))
-    before = x.groupBy("b").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    at = F.row_number().over(Window.partitionBy("b").orderBy(F.col("n").desc(), "t", "page_id")) - 1
-    return x.withColumn("at", at).join(F.broadcast(before), "b").select((F.col("before") + F.col("at")).alias("eid"), "t")
+    return numbered(x, [], [F.col("n").desc(), "t", "page_id"], "eid").select((F.col("eid") - 1).alias("eid"), "t")
 
 
 @query("a7_document_frequency", f"select w as word, count(*) as df from (select unnest(list_distinct({S.words('text')})) as w from documents where text is not null) where length(w) >= 3 and not regexp_matches(w, '[0-9]') group by 1 having count(*) >= 3")
@@ -173,27 +171,46 @@ def m1_calc(spark, sf):
     return table(spark, sf, "pairs").where("answer like 'calc(%'").select("pair_id", "answer", calc.calc_udf()("answer").alias("value"))
 
 
-@query("f38_extract_expr")
+_NUM = r"-?\d+(?:\.\d+)?"
+_ASKED = f"lower(rtrim({S.strip('prompt')}, '?.! '))"
+_PAREN = lambda x: f"case when starts_with({x}, '-') then '(' || {x} || ')' else {x} end"
+_EXPR = "case " + " ".join(
+    f"when regexp_full_match(q, '{p.replace(chr(39), chr(39) * 2).format(n=_NUM)}') then {_PAREN(f'ns[{i}]')} || '{op}' || {_PAREN(f'ns[{j}]')}"
+    for p, op, i, j in [
+        *[(rf"(?:what is |what's |whats |how much is )?{{n}} (?:{w}) {{n}}", op, 1, 2) for w, op in ((r"plus|\+", "+"), ("minus|-", "-"), (r"times|\*|x", "*"), ("divided by|/", "/"))],
+        ("add {n} and {n}", "+", 1, 2), ("multiply {n} by {n}", "*", 1, 2), ("divide {n} by {n}", "/", 1, 2), ("subtract {n} from {n}", "-", 2, 1),
+    ]
+) + " end"
+
+
+@query("f38_extract_expr", f"select pair_id, {_EXPR} as expr from (select pair_id, {_ASKED} as q, regexp_extract_all({_ASKED}, '(?:^|[^0-9.])(-?[0-9]+(?:[.][0-9]+)?)', 1) as ns from pairs where prompt is not null)")
 def f38_extract_expr(spark, sf):
-    return table(spark, sf, "pairs").where("category = 'calc' and prompt is not null").select("pair_id", calc.expr_udf()("prompt").alias("expr"))
+    return table(spark, sf, "pairs").where("prompt is not null").select("pair_id", calc.expr_udf()("prompt").alias("expr"))
+
+
+@query("f38_spoken_expr")
+def f38_spoken_expr(spark, sf):
+    """The same with numbers in words, and what it comes to."""
+    x = table(spark, sf, "pairs").where("prompt is not null").select("pair_id", calc.spoken_udf()("prompt").alias("expr")).where("expr is not null")
+    return x.select("pair_id", "expr", calc.calc_udf()(F.concat(F.lit("calc("), "expr", F.lit(")"))).alias("value"))
 
 
-@query("m2_series")
+@query("m2_series", "select 'plot x*x-3 from -5 to 5 with 11 points' as request, (k)::varchar as x, (k * k - 3)::varchar as y from (select unnest(range(-5, 6)) as k) union all select 'table of 2*x+1 for x from 0 to 3', k::varchar, (2 * k + 1)::varchar from (select unnest(range(4)) as k) union all select 'bars for 3, 4', k::varchar, (k + 2)::varchar from (select unnest([1, 2]) as k)")
 def m2_series(spark, sf):
-    """One formula to a row for each x: a table function over the rows of a small parameter table."""
-    from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+    """One request to a row for each x: a table function over the rows of a small parameter table."""
+    from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-    kind = ArrayType(StructType([StructField("x", IntegerType()), StructField("y", StringType())]))
-    f = F.udf(lambda s: calc.series(s, -5, 5), kind)
-    t = spark.createDataFrame([("x*x-3",), ("10/x",), ("2*x+1",)], "formula string")
-    return t.select("formula", F.explode(f("formula")).alias("p")).select("formula", "p.x", "p.y")
+    f = F.udf(calc.series, ArrayType(StructType([StructField("x", StringType()), StructField("y", StringType())])))
+    t = spark.createDataFrame([("plot x*x-3 from -5 to 5 with 11 points",), ("table of 2*x+1 for x from 0 to 3",), ("bars for 3, 4",), ("plot the trees",)], "request string")
+    return t.select("request", F.explode(f("request")).alias("p")).select("request", "p.x", "p.y")
 
 
+_TITLE = lambda x: f"array_to_string(list_transform(string_split({x}, ''), lambda c, i: case when i > 1 and regexp_matches(string_split({x}, '')[i - 1], '[A-Za-z]') then lower(c) else upper(c) end), '')"
 _W = f"string_split(trim(regexp_replace(prompt, {S.q(f'[{S.SPACE}]+')}, ' ', 'g')), ' ')"
 _L = "regexp_replace(lower(prompt), '[^a-z0-9]', '', 'g')"
 
 
-@query("f30_text_operations", f"""select pair_id, upper(prompt) as op_upper, lower(prompt) as op_lower, upper(substr(prompt, 1, 1)) || lower(substr(prompt, 2)) as op_capitalize, reverse(prompt) as op_reverse,
+@query("f30_text_operations", f"""select pair_id, upper(prompt) as op_upper, lower(prompt) as op_lower, {_TITLE('prompt')} as op_title, upper(substr(prompt, 1, 1)) || lower(substr(prompt, 2)) as op_capitalize, reverse(prompt) as op_reverse,
   array_to_string(list_reverse({_W}), ' ') as op_reverse_words, length(regexp_replace(prompt, '[^A-Za-z]', '', 'g')) as op_count_letters, length(prompt) as op_count_chars,
   length(regexp_replace(prompt, {S.q(f'[{S.SPACE}]')}, '', 'g')) as op_count_chars_nospace, len(list_filter({_W}, lambda w: w <> '')) as op_count_words, length(regexp_replace(lower(prompt), '[^aeiou]', '', 'g')) as op_count_vowels,
   replace(prompt, ' ', '') as op_remove_spaces, array_to_string([prompt, prompt, prompt], ' ') as op_repeat, replace(prompt, 'the', 'a') as op_replace,
@@ -204,13 +221,12 @@ _L = "regexp_replace(lower(prompt), '[^a-z0-9]', '', 'g')"
 def f30_text_operations(spark, sf):
     x = table(spark, sf, "pairs").where("category = 'transform' and prompt is not null").where(F.col("prompt").rlike(r"\A[ -~]*\z"))
     ops = T.text_operations(F.col("prompt"))
-    ops.pop("op_title")
     return x.select("pair_id", *[c.alias(n) for n, c in ops.items()])
 
 
-@query("f28_title_style")
+@query("f28_title_style", f"select id, {_TITLE('answer')} as title from eval_suite where regexp_full_match(answer, '[ -~]*') union all select id, answer from eval_suite where answer is null")
 def f28_title_style(spark, sf):
-    return table(spark, sf, "eval_suite").select("id", T.title_style(F.col("answer")).alias("title"))
+    return table(spark, sf, "eval_suite").where(F.col("answer").isNull() | F.col("answer").rlike(r"\A[ -~]*\z")).select("id", T.title_style(F.col("answer")).alias("title"))
 
 
 @query("f7_sentences")
@@ -223,8 +239,9 @@ def f8_context_sentence(spark, sf):
     return entities(_pages(spark, sf)).where("lead is not null").select("t", wiki.udf("context_sentence")("lead").alias("context"))
 
 
-@query("f27_edit1_pairs", "select a.id as a, b.id as b from auto_dev_40 a, auto_dev_40 b where a.id < b.id and damerau_levenshtein(a.id, b.id) = 1")
-def f27_edit1_pairs(spark, sf):
+@query("f14_edit1_ids", "select a.id as a, b.id as b from auto_dev_40 a, auto_dev_40 b where a.id < b.id and damerau_levenshtein(a.id, b.id) = 1")
+def f14_edit1_ids(spark, sf):
+    """ids one edit apart, by delete-1 variants."""
     ids = table(spark, sf, "auto_dev_40").select("id", F.explode(T.variants(F.col("id"))).alias("v"))
     a, b = ids.toDF("a", "v"), ids.toDF("b", "v")
     return a.join(b, "v").where("a < b").select("a", "b").distinct().where(T.edit1(F.col("a"), F.col("b")))

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from quern.functions import features, wiki
+from quern.functions import features
 from quern.functions import text as T
 from quern.operators.contamination import small
 from quern.plans import knowledge, scoring
@@ -44,10 +44,14 @@ def w5_collision_winner(spark, sf):
     return x.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("key", "t")
 
 
-@query("j14_held_out_titles", "select doc_id from documents d where page_id is not null and page_id not in (select page_id from wiki_pages where r is not null)")
+@query("j14_held_out_titles", f"select page_id, t from wiki_pages where t is not null and {S.key('t')} not in (select {S.key('prompt')} from auto_dev_40) and page_id % 20 <> 7")
 def j14_held_out_titles(spark, sf):
-    held = table(spark, sf, "wiki_pages").where("r is not null").select("page_id")
-    return table(spark, sf, "documents").where("page_id is not null").select("doc_id", "page_id").join(small(held), "page_id", "left_anti").select("doc_id")
+    """Titles that are not held out: those of every twentieth page, and those that are an evaluation prompt."""
+    pages = table(spark, sf, "wiki_pages").where("t is not null")
+    asked = table(spark, sf, "auto_dev_40").select(T.normalize_key(F.col("prompt")).alias("k"))
+    held = pages.where("page_id % 20 = 7").select("page_id")
+    x = pages.select("page_id", "t", T.normalize_key(F.col("t")).alias("k"))
+    return x.join(small(asked), "k", "left_anti").join(small(held), "page_id", "left_anti").select("page_id", "t")
 
 
 @query("a11_failures_by_reason", scoring._SCORED + "select category, case when missing then 'missing' when over then 'too_long' when correct is null then 'judge' when correct then 'right' else 'wrong' end as reason, count(*) as n from scored group by 1, 2")
@@ -152,18 +156,24 @@ def w9_best_per_entity(spark, sf):
     return p.withColumn("rn", F.row_number().over(Window.partitionBy("category").orderBy("first_seen"))).where("rn <= 8").select("category", "source", "pair_id")
 
 
-@query("w8_rank_gap", "select category, tier, n, n - lead(n) over (partition by category order by n desc, tier) as gap from (select category, tier, count(*) as n from pairs group by 1, 2)")
-def w8_rank_gap(spark, sf):
+@query("category_tier_gaps", "select category, tier, n, n - lead(n) over (partition by category order by n desc, tier) as gap from (select category, tier, count(*) as n from pairs group by 1, 2)")
+def category_tier_gaps(spark, sf):
     c = table(spark, sf, "pairs").groupBy("category", "tier").agg(F.count("*").alias("n"))
     return c.withColumn("gap", F.col("n") - F.lead("n").over(Window.partitionBy("category").orderBy(F.col("n").desc(), F.col("tier").asc_nulls_last())))
 
 
-@query("g1_factual_questions", f"""select 'what is the capital of ' || n_name as prompt, r_name as answer from nation join region on n_regionkey = r_regionkey
-  union all select 'which region is ' || n_name || ' in', r_name from nation join region on n_regionkey = r_regionkey""")
+@query("g1_factual_questions", """select 'which region is ' || n_name || ' in' as prompt, r_name as answer from nation join region on n_regionkey = r_regionkey
+  union all select 'is ' || n_name || ' in ' || r.r_name, case when n_regionkey = r.r_regionkey then 'yes' else 'no' end from nation, region r
+  union all select 'how many nations are in ' || r_name, count(*)::varchar from nation join region on n_regionkey = r_regionkey group by r_name""")
 def g1_factual_questions(spark, sf):
-    x = table(spark, sf, "nation").join(F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    ask = F.explode(F.array(F.concat(F.lit("what is the capital of "), "n_name"), F.concat(F.lit("which region is "), "n_name", F.lit(" in"))))
-    return x.select(ask.alias("prompt"), F.col("r_name").alias("answer"))
+    """Questions whose answers the fixed tables of nations and regions give."""
+    n, r = table(spark, sf, "nation"), F.broadcast(table(spark, sf, "region"))
+    every = n.crossJoin(r)  # 25 by 5 fixed rows
+    own = every.where("n_regionkey = r_regionkey")
+    where = own.select(F.concat(F.lit("which region is "), "n_name", F.lit(" in")).alias("prompt"), F.col("r_name").alias("answer"))
+    inside = every.select(F.concat(F.lit("is "), "n_name", F.lit(" in "), "r_name").alias("prompt"), F.when(F.col("n_regionkey") == F.col("r_regionkey"), "yes").otherwise("no").alias("answer"))
+    many = own.groupBy("r_name").agg(F.count("*").cast("string").alias("answer")).select(F.concat(F.lit("how many nations are in "), "r_name").alias("prompt"), "answer")
+    return where.unionByName(inside).unionByName(many)
 
 
 @query("g2_arithmetic", f"""with r as (select range as k from range(10000)), t as (select k, k // 100 as a, k % 100 as b from r), p as (
@@ -184,17 +194,20 @@ def f26_noise(spark, sf):
     return table(spark, sf, "pairs").where("prompt is not null").select("pair_id", F.array_join(keep, " ").alias("noisy"))
 
 
-@query("pred13_wrapper_strip", f"select pair_id, case when ascii(substr({_H('w', 'pair_id')}, 1, 1)) % 10 < 4 then regexp_replace(prompt, '^(?:please|hey|ok so|just wondering|next up)[,:]? +', '', 'i') else prompt end as prompt from pairs where prompt is not null")
+@query("pred13_wrapper_strip", f"select pair_id, case when ('0x' || substr({_H('w', 'pair_id')}, 1, 8))::bigint % 100 < 40 then regexp_replace(prompt, '^(?:please|hey|ok so|just wondering|next up)[,:]? +', '', 'i') else prompt end as prompt from pairs where prompt is not null")
 def pred13_wrapper_strip(spark, sf):
-    some = F.ascii(F.substring(T.hash_order("w", "pair_id"), 1, 1)) % 10 < 4
+    some = F.conv(F.substring(T.hash_order("w", "pair_id"), 1, 8), 16, 10).cast("long") % 100 < 40
     return table(spark, sf, "pairs").where("prompt is not null").select("pair_id", F.when(some, F.regexp_replace("prompt", "(?i)^(?:please|hey|ok so|just wondering|next up)[,:]? +", "")).otherwise(F.col("prompt")).alias("prompt"))
 
 
-@query("d6_date_text", "select doc_id, case when m is null then 'in ' || y else ['January','February','March','April','May','June','July','August','September','October','November','December'][m] || ' ' || y end as said from (select doc_id, year(fetched_at) as y, case when n_chars is null then null else month(fetched_at) end as m from documents where fetched_at is not null)")
+_ISO = "case when n_chars is null then strftime(fetched_at, '%Y') when n_chars % 2 = 0 then strftime(fetched_at, '%Y-%m') else strftime(fetched_at, '%Y-%m-%d') end"
+
+
+@query("d6_date_text", f"select doc_id, {_ISO} as date, case when n_chars is null then 'in ' || year(fetched_at) when n_chars % 2 = 0 then 'in ' || strftime(fetched_at, '%B ') || year(fetched_at) else 'on ' || day(fetched_at) || strftime(fetched_at, ' %B ') || year(fetched_at) end as said from documents where fetched_at is not null")
 def d6_date_text(spark, sf):
-    names = F.array(*[F.lit(m.capitalize()) for m in wiki.MONTHS])
-    y, m = F.year("fetched_at").cast("string"), F.month("fetched_at")
-    return table(spark, sf, "documents").where("fetched_at is not null").select("doc_id", F.when(F.col("n_chars").isNull(), F.concat(F.lit("in "), y)).otherwise(F.concat(F.get(names, m - 1), F.lit(" "), y)).alias("said"))
+    """Dates of all three lengths (made of the fetching times) in words, with on or in."""
+    d = F.when(F.col("n_chars").isNull(), F.date_format("fetched_at", "yyyy")).when(F.col("n_chars") % 2 == 0, F.date_format("fetched_at", "yyyy-MM")).otherwise(F.date_format("fetched_at", "yyyy-MM-dd"))
+    return table(spark, sf, "documents").where("fetched_at is not null").select("doc_id", d.alias("date"), T.date_said(d).alias("said"))
 
 
 @query("f37_rendered_facts")
@@ -211,7 +224,7 @@ def v6_latency_rows(spark, sf):
     return table(spark, sf, "batch_results").select("custom_id", "received_at").join(r, "custom_id").select("custom_id", (F.unix_micros("received_at") - F.unix_micros("submitted_at")).alias("wait_us"))
 
 
-@query("d1_late_rows", "select category, count_if(loaded_at - created_at > interval 2 days) as late, count_if(loaded_at is null) as never from pairs group by 1")
-def d1_late_rows(spark, sf):
+@query("late_loads", "select category, count_if(loaded_at - created_at > interval 2 days) as late, count_if(loaded_at is null) as never from pairs group by 1")
+def late_loads(spark, sf):
     late = F.unix_micros("loaded_at") - F.unix_micros("created_at") > 2 * 86_400_000_000
     return table(spark, sf, "pairs").groupBy("category").agg(F.count_if(late).alias("late"), F.count_if(F.col("loaded_at").isNull()).alias("never"))

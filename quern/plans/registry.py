@@ -19,7 +19,7 @@ _KINDS = {
     "a21_window_counts": {"unpadded": "bigint", "padded": "bigint"},
     "a12_flag_sums": {"no_prompt": "bigint", "no_answer": "bigint", "no_tier": "bigint", "with_context": "bigint"},
     "m5_hashed_features": {"dim": "bigint", "v": "bigint"},
-    "d1_late_rows": {"late": "bigint", "never": "bigint"},
+    "late_loads": {"late": "bigint", "never": "bigint"},
 }
 for _name, _cols in _KINDS.items():
     SQL[_name] = f"select * replace ({', '.join(f'cast({c} as {k}) as {c}' for c, k in _cols.items())}) from ({SQL[_name]}) q"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.functions.pycode import any_pattern, line_parses, parse_label
+from quern.functions.pycode import any_pattern, line_parses, parse_label, verdicts
 from quern.plans import sqltext as S
 from quern.session import table
 
@@ -30,49 +30,50 @@ def outputs(spark, sf) -> DataFrame:
     return first
 
 
-def matches(norm, raw, accept, scoring, reject=None):
-    """how an output is held against the accepted answers, by the item's scoring; judge items have no verdict.
+def matches(line, accept, answer, scoring, reject=None):
+    """how a line is held against the item, by its scoring; judge items have no verdict.
 
-    Patterns are searched ignoring case, Python lines must parse as well, and what a reject pattern finds is wrong.
+    Patterns are searched ignoring case, Python lines must parse as well, numbers are the line's last and the item's
+    answer, and what a reject pattern finds is wrong.
     """
-    plain = F.transform(accept, lambda a: T.answer_norm(F.regexp_replace(a, r"\\(.)", "$1")))
-    number = lambda c: F.get(F.regexp_extract_all(F.regexp_replace(c, ",", ""), F.lit(r"(-?\d+(?:\.\d+)?)"), 1), F.size(F.regexp_extract_all(F.regexp_replace(c, ",", ""), F.lit(r"(-?\d+(?:\.\d+)?)"), 1)) - 1).cast("double")
-    wanted = F.transform(accept, lambda a: F.regexp_replace(F.regexp_replace(a, r"^\^|\$$", ""), r"\\(.)", "$1"))
-    rejected = F.lit(False) if reject is None else F.coalesce(any_pattern(raw, reject), F.lit(False)) & (scoring != "judge")
+    norm = T.answer_norm(line)
+    numbers = F.regexp_extract_all(line, F.lit(r"(-?\d+(?:\.\d+)?)"), 1)
+    rejected = F.lit(False) if reject is None else F.coalesce(any_pattern(line, reject), F.lit(False)) & (scoring != "judge")
     return (
         F.when(rejected, F.lit(False))
-        .when(scoring == "exact", F.exists(plain, lambda a: norm == a))
-        .when(scoring == "contains", F.exists(wanted, lambda a: F.contains(F.concat(F.lit(" "), norm, F.lit(" ")), F.concat(F.lit(" "), T.answer_norm(a), F.lit(" ")))))
-        .when(scoring == "numeric", F.exists(wanted, lambda a: F.abs(number(raw) - number(a)) <= 1e-6))
-        .when(scoring == "regex", any_pattern(raw, accept))
-        .when(scoring == "python-ast", any_pattern(raw, accept) & line_parses(raw))
+        .when(scoring == "exact", F.exists(accept, lambda a: norm == T.answer_norm(a)))
+        .when(scoring == "contains", F.exists(accept, lambda a: T.whole_words(norm, T.answer_norm(a))))
+        .when(scoring == "numeric", F.coalesce(F.abs(F.try_element_at(numbers, F.lit(-1)).cast("double") - answer.try_cast("double")) < 1e-6, F.lit(False)))
+        .when(scoring == "regex", any_pattern(line, accept))
+        .when(scoring == "python-ast", any_pattern(line, accept) & line_parses(line))
     )
 
 
 _OUT = "out as (select i.id, arg_min(p.answer, p.pair_id) as output from auto_dev_40 i join pairs p using (prompt) where p.answer is not null group by 1)"
-_NORM = lambda x: f"regexp_replace(lower(regexp_replace({S.strip(x)}, {S.q(f'[{S.SPACE}]+')}, ' ', 'g')), '[.!?]+$', '')"
-_UN = lambda x: f"regexp_replace(regexp_replace({x}, '^\\^|\\$$', '', 'g'), '\\\\(.)', '\\1', 'g')"
-_LINE = "coalesce(list_filter(list_transform(string_split_regex(output, '\\r\\n|\\r|\\n'), lambda l: " + S.strip("l") + "), lambda l: l <> '')[1], '')"
-_NUM = lambda x: f"try_cast(list_last(regexp_extract_all(replace({x}, ',', ''), '-?\\d+(?:\\.\\d+)?')) as double)"
+_NORM = lambda x: f"regexp_replace(regexp_replace(lower({x}), '^[`\"'' \t]+|[`\"'' \t]+$', '', 'g'), '[.!?,;:]+$', '')"
+_ECHO = f"case when prompt <> '' and starts_with(lower(regexp_replace(output, {S.q(f'^[{S.SPACE}]+')}, '')), lower(prompt)) then substr(regexp_replace(output, {S.q(f'^[{S.SPACE}]+')}, ''), length(prompt) + 1) else output end"
+_LINE = f"coalesce(list_filter(list_transform(string_split_regex({_ECHO}, '\r\n|\r|\n'), lambda l: trim(regexp_replace(l, {S.q(f'[{S.SPACE}]+')}, ' ', 'g'))), lambda l: l <> '')[1], '')"
 _SCORED = f"""with {_OUT}, s0 as (select i.*, o.output, {_LINE} as line from auto_dev_40 i left join out o using (id)), s1 as (
   select *, {_NORM('line')} as norm from s0
 ), scored as (
   select id, split, category, tier, scoring, output is null as missing, length(line) > greatest(64, 8 * max_new_tokens) as over,
     case when output is null or length(line) > greatest(64, 8 * max_new_tokens) then false
-      when scoring = 'exact' then len(list_filter(accept, lambda a: norm = {_NORM("regexp_replace(a, '\\\\(.)', '\\1', 'g')")})) > 0
-      when scoring = 'contains' then len(list_filter(accept, lambda a: contains(' ' || norm || ' ', ' ' || {_NORM(_UN('a'))} || ' '))) > 0
-      when scoring = 'numeric' then len(list_filter(accept, lambda a: abs({_NUM('line')} - {_NUM(_UN('a'))}) <= 1e-6)) > 0
-      when scoring in ('regex', 'python-ast') then len(list_filter(accept, lambda a: {S.strip('line')} = {S.strip(_UN('a'))})) > 0 end as correct
+      when category = 'math' and scoring <> 'judge' and not regexp_full_match(trim(output), 'calc\([0-9 .()]*[-+*/%][0-9 .()+\-*/%]*\)') then false
+      when scoring = 'exact' then len(list_filter(accept, lambda a: norm = {_NORM('a')})) > 0
+      when scoring = 'contains' then len(list_filter(accept, lambda a: regexp_matches(norm, '(^|\W)' || regexp_escape({_NORM('a')}) || '(\W|$)'))) > 0
+      when scoring = 'numeric' then coalesce(abs(try_cast(list_last(regexp_extract_all(line, '-?\d+(?:\.\d+)?')) as double) - try_cast(answer as double)) < 1e-6, false)
+      when scoring in ('regex', 'python-ast') then len(list_filter(accept, lambda a: regexp_matches(line, a, 'i'))) > 0 end as correct
   from s1)
 """
 
 
 def scored(spark, sf) -> DataFrame:
     """Every item with its verdict; a missing output or too long a line is wrong, judge items have none."""
-    x = table(spark, sf, "auto_dev_40").join(outputs(spark, sf), "id", "left").withColumn("line", T.first_line(F.col("output")))
+    x = table(spark, sf, "auto_dev_40").join(outputs(spark, sf), "id", "left").withColumn("line", T.first_line(F.col("output"), F.col("prompt")))
     over = F.length("line") > F.greatest(F.lit(64), 8 * F.col("max_new_tokens"))
-    right = matches(T.answer_norm(F.col("line")), F.col("line"), F.col("accept"), F.col("scoring"), F.col("reject") if "reject" in x.columns else None)
-    verdict = F.when(F.col("output").isNull() | over, False).otherwise(right)
+    right = matches(F.col("line"), F.col("accept"), F.col("answer"), F.col("scoring"), F.col("reject") if "reject" in x.columns else None)
+    tool = (F.col("category") != "math") | T.tool_form(F.col("output"))
+    verdict = F.when(F.col("output").isNull() | over, False).otherwise(F.when(right & ~tool, False).otherwise(right))
     return x.select("id", "split", "category", "tier", "scoring", F.col("output").isNull().alias("missing"), over.alias("over"), verdict.alias("correct"))
 
 
@@ -152,9 +153,11 @@ def a4_p95_floor_index(spark, sf):
     return _at_rank(n, "lang", "n", lambda total: F.floor(F.lit(0.95) * total) + 1, "p95")
 
 
-@query("a6_conflicting_starts", "select custom_id, count(distinct received_at) as deliveries from batch_results group by 1 having count(distinct received_at) > 1")
-def a6_conflicting_starts(spark, sf):
-    return table(spark, sf, "batch_results").groupBy("custom_id").agg(F.countDistinct("received_at").alias("deliveries")).where("deliveries > 1")
+@query("a6_conflicting_results", "select custom_id, count(*) as deliveries, count(distinct result::varchar) as results from batch_results group by 1 having count(distinct result::varchar) > 1")
+def a6_conflicting_results(spark, sf):
+    """What should be the same in all deliveries of a request and isn't."""
+    r = table(spark, sf, "batch_results").select("custom_id", F.sha2(F.to_json("result"), 256).alias("h"))
+    return r.groupBy("custom_id").agg(F.count("*").alias("deliveries"), F.countDistinct("h").alias("results")).where("results > 1")
 
 
 @query("a10_category_outcome_pivot", """select category, count_if(answer is null) as no_answer, count_if(answer is not null and length(answer) < 20) as short, count_if(length(answer) >= 20) as long from pairs group by rollup (category)""")
@@ -199,10 +202,13 @@ def m6_linear_head_argmax(spark, sf):
     return x.select("vec_id", (-best["l"]).alias("predicted"))
 
 
-@query("a22_provenance_hash", "select sha256(string_agg(h, '' order by h)) as fingerprint from (select sha256(concat_ws('|', id, prompt, answer)) as h from eval_suite)")
+@query("a22_provenance_hash", """with h as (select sha256(concat_ws('|', pair_id, prompt, answer)) as h from pairs), b as (select substr(h, 1, 3) as b, sha256(string_agg(h, '' order by h)) as f from h group by 1)
+  select sha256(string_agg(b || f, '' order by b)) as fingerprint from b""")
 def a22_provenance_hash(spark, sf):
-    h = table(spark, sf, "eval_suite").select(F.sha2(F.concat_ws("|", "id", "prompt", "answer"), 256).alias("h"))
-    return h.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("fingerprint"))  # the fixed suite
+    """Independent of the rows' order, in two levels: the sorted hashes of each of 4096 ranges, then those of the ranges."""
+    h = table(spark, sf, "pairs").select(F.sha2(F.concat_ws("|", F.col("pair_id").cast("string"), "prompt", "answer"), 256).alias("h"))
+    b = h.groupBy(F.substring("h", 1, 3).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("f"))
+    return b.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("b", "f"))), ""), 256).alias("fingerprint"))
 
 
 @query("m11_python_label")
@@ -211,12 +217,43 @@ def m11_python_label(spark, sf):
     return table(spark, sf, "pairs").where("category in ('python', 'bugfix') and answer is not null").select("pair_id", parse_label(F.col("answer")).alias("label"))
 
 
-@query("v1_field_mismatches", "select p.pair_id, list_filter([case when p.prompt is distinct from q.prompt then 'prompt' end, case when p.answer is distinct from q.answer then 'answer' end, case when p.category is distinct from q.category then 'category' end], lambda x: x is not null) as fields from pairs p join pairs q on q.pair_id = p.pair_id + 1 where p.template_id = q.template_id")
+@query("r11_failure_verdicts")
+def r11_failure_verdicts(spark, sf):
+    """Python items with their outputs: the first verdict that holds, the expected answer's parameters as binding."""
+    items = table(spark, sf, "auto_dev_40").where("scoring = 'python-ast'").select("id", "answer", "category", "max_new_tokens")
+    x = items.join(outputs(spark, sf), "id", "left").withColumn("line", T.first_line(F.col("output")))
+    finished = F.col("output").isNotNull() & (F.length("line") <= F.greatest(F.lit(64), 8 * F.col("max_new_tokens")))
+    return x.select("id", "category", verdicts("answer", "line", finished).alias("verdict"))
+
+
+@query("a10_nested_verdicts")
+def a10_nested_verdicts(spark, sf):
+    """Family (of the id), category and verdict, with subtotals of each level."""
+    v = QUERIES["r11_failure_verdicts"](spark, sf).withColumn("family", F.regexp_extract("id", r"^([a-z]+)", 1))
+    kinds = ("termination_budget", "syntax", "exact", "binding", "operation_or_structure")
+    return v.rollup("family", "category").agg(*[F.count_if(F.col("verdict") == k).alias(k) for k in kinds], F.count("*").alias("items"))
+
+
+_OTHER = "(select id, case when id like '%3' then prompt || ' ' else prompt end as prompt, case when id like '%5' then null else answer end as answer, category from eval_suite where id not like '%7' union all select 'new-1', 'p', 'a', 'chat')"
+
+
+@query("v1_field_mismatches", f"""select coalesce(e.id, o.id) as id, case when o.id is null then ['missing'] when e.id is null then ['unexpected'] else list_filter([case when e.prompt is distinct from o.prompt then 'prompt' end, case when e.answer is distinct from o.answer then 'answer' end,
+  case when e.category is distinct from o.category then 'category' end], lambda x: x is not null) end as fields from eval_suite e full join {_OTHER} o using (id) where o.id is null or e.id is null or e.prompt is distinct from o.prompt or e.answer is distinct from o.answer or e.category is distinct from o.category""")
 def v1_field_mismatches(spark, sf):
-    p = table(spark, sf, "pairs")
-    q = p.select((F.col("pair_id") - 1).alias("pair_id"), *[F.col(c).alias("q_" + c) for c in ("prompt", "answer", "category", "template_id")])
-    x = p.join(q, "pair_id").where("template_id = q_template_id")
-    return x.select("pair_id", F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col("q_" + c)), c) for c in ("prompt", "answer", "category")])).alias("fields"))
+    """A full comparison of expected and actual rows: the fields that differ, missing rows and unexpected ones."""
+    e = table(spark, sf, "eval_suite").select("id", "prompt", "answer", "category")
+    id_ = F.col("id")
+    o = e.where(~id_.like("%7")).select("id", F.when(id_.like("%3"), F.concat("prompt", F.lit(" "))).otherwise(F.col("prompt")).alias("prompt"), F.when(~id_.like("%5"), F.col("answer")).alias("answer"), "category")
+    o = o.unionByName(spark.createDataFrame([("new-1", "p", "a", "chat")], o.schema))
+    return compared(e, o, "id").where(F.size("fields") > 0)
+
+
+def compared(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
+    """V1: (key, fields): names of the fields that differ, or missing, or unexpected; empty where all are equal."""
+    cols = [c for c in expected.columns if c != key]
+    x = expected.select(key, F.struct(*cols).alias("e")).join(actual.select(key, F.struct(*cols).alias("a")), key, "full")
+    differ = F.array_compact(F.array(*[F.when(~F.col(f"e.{c}").eqNullSafe(F.col(f"a.{c}")), c) for c in cols]))
+    return x.select(key, F.when(F.col("a").isNull(), F.array(F.lit("missing"))).when(F.col("e").isNull(), F.array(F.lit("unexpected"))).otherwise(differ).alias("fields"))
 
 
 @query("v4_fingerprint_compare", "select category, case when count(distinct h) = 1 then 'MATCH' when count(h) < count(*) then 'UNKNOWN' else 'MISMATCH' end as verdict from (select category, case when answer is null then null else substr(sha256(answer), 1, 16) end as h from eval_suite) group by 1")

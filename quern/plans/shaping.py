@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import packing as P
-from quern.operators.contamination import small
+from quern.operators.numbering import numbered
 from quern.plans import sqltext as S
 from quern.session import table
 
@@ -31,7 +31,7 @@ def _h(seed: str, *ids: str) -> str:
 @query("l1_md5_shuffle", f"select pair_id, category, {_h('42', 'pair_id')} as ord, row_number() over (partition by category order by {_h('42', 'pair_id')}) as pos from pairs")
 def l1_md5_shuffle(spark, sf):
     x = table(spark, sf, "pairs").select("pair_id", "category", T.hash_order("42", "pair_id").alias("ord"))
-    return x.withColumn("pos", F.row_number().over(Window.partitionBy("category").orderBy("ord")).cast("long"))
+    return numbered(x, ["category"], ["ord", "pair_id"], "pos")
 
 
 @query("l2_product_sample", f"""with c as (select count(*) as n from nation), s as (select range as k from range(625) order by {_h('l2', 'range')} limit 100)
@@ -44,22 +44,27 @@ def l2_product_sample(spark, sf):
     return s.join(F.broadcast(a), F.floor(F.col("k") / 25) == F.col("a")).join(F.broadcast(b), F.col("k") % 25 == F.col("b")).select("k", "first", "second")
 
 
+_DRAW = f"('0x' || substr({_h('up', 'd.category', 'draw')}, 1, 15))::bigint % d.n"
+
+
 @query("l3_upsample_with_replacement", f"""with r as (select category, pair_id, row_number() over (partition by category order by pair_id) - 1 as pos, count(*) over (partition by category) as n from pairs where answer is not null),
   c as (select distinct category, n from r), d as (select category, n, unnest(range(50)) as draw from c)
-  select d.category, draw, pair_id from d join r on r.category = d.category and r.pos = ascii(substr({_h('up', 'd.category', 'draw')}, 1, 1)) * 7919 % d.n""")
+  select d.category, draw, pair_id from d join r on r.category = d.category and r.pos = {_DRAW}""")
 def l3_upsample_with_replacement(spark, sf):
+    """60 bits of a hash choose the place; rows are numbered in ranges, and only the drawn places are looked up."""
     p = table(spark, sf, "pairs").where("answer is not null").select("category", "pair_id")
-    r = p.withColumn("pos", F.row_number().over(Window.partitionBy("category").orderBy("pair_id")).cast("long") - 1)
+    r = numbered(p, ["category"], ["pair_id"], "pos", "n")
     draws = p.groupBy("category").agg(F.count("*").alias("n")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(49))))
-    draws = draws.withColumn("pos", F.ascii(F.substring(T.hash_order("up", "category", "draw"), 1, 1)).cast("long") * 7919 % F.col("n"))
-    return r.join(F.broadcast(draws), ["category", "pos"]).select("category", F.col("draw").cast("long").alias("draw"), "pair_id")
+    draws = draws.withColumn("pos", F.conv(F.substring(T.hash_order("up", "category", "draw"), 1, 15), 16, 10).cast("long") % F.col("n") + 1)
+    return r.drop("n").join(F.broadcast(draws), ["category", "pos"]).select("category", F.col("draw").cast("long").alias("draw"), "pair_id")  # fifty draws a category
 
 
 @query("l6_stratified_first", f"select category, tier, pair_id from pairs qualify row_number() over (partition by category, tier order by {_h('6', 'pair_id')}) <= case when tier = 1 then 20 when tier = 2 then 10 else 5 end")
 def l6_stratified_first(spark, sf):
     cap = F.when(F.col("tier") == 1, 20).when(F.col("tier") == 2, 10).otherwise(5)
-    x = table(spark, sf, "pairs").withColumn("rn", F.row_number().over(Window.partitionBy("category", "tier").orderBy(T.hash_order("6", "pair_id"))))
-    return x.where(F.col("rn") <= cap).select("category", "tier", "pair_id")
+    x = table(spark, sf, "pairs").select("category", "tier", "pair_id", T.hash_order("6", "pair_id").alias("h"))
+    x = x.withColumn("rn", F.row_number().over(Window.partitionBy("category", "tier").orderBy("h", "pair_id")))  # the bound of 20 lets each task keep its first only
+    return x.where((F.col("rn") <= cap) & (F.col("rn") <= 20)).select("category", "tier", "pair_id")
 
 
 @query("l7_sha1_bucket", "select pair_id, cast(('0x' || substr(sha1(prompt), 1, 2)) as int) % 5 as bucket from pairs where prompt is not null")
@@ -69,9 +74,7 @@ def l7_sha1_bucket(spark, sf):
 
 @query("w19_validation_split", f"select category, count_if(rn <= least(100, n // 20)) as held_out, count(*) as n from (select category, row_number() over (partition by category order by {_h('19', 'pair_id')}) as rn, count(*) over (partition by category) as n from pairs) group by 1")
 def w19_validation_split(spark, sf):
-    p = table(spark, sf, "pairs").select("category", "pair_id")
-    by = Window.partitionBy("category")
-    x = p.withColumn("rn", F.row_number().over(by.orderBy(T.hash_order("19", "pair_id")))).withColumn("n", F.count("*").over(by))
+    x = numbered(table(spark, sf, "pairs").select("category", "pair_id", T.hash_order("19", "pair_id").alias("h")), ["category"], ["h", "pair_id"], "rn", "n")
     return x.groupBy("category").agg(F.count_if(F.col("rn") <= F.least(F.lit(100), F.floor(F.col("n") / 20))).alias("held_out"), F.count("*").alias("n"))
 
 
@@ -82,8 +85,11 @@ _SRC = "coalesce(nullif(replace(lower(trim(source)), '_', '-'), ''), 'unknown')"
 def w15_mixture_caps(spark, sf):
     source = F.coalesce(F.nullif(F.translate(F.lower(F.trim("source")), "_", "-"), F.lit("")), F.lit("unknown"))
     x = table(spark, sf, "pairs").where("answer is not null").select(source.alias("source"), "pair_id")
-    x = x.withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy(T.hash_order("mix", "pair_id"))))
-    return x.where((F.col("rn") <= 150) | F.col("source").isin("synth-joke", "idk-nohit")).select("source", "pair_id")
+    x = x.withColumn("h", T.hash_order("mix", "pair_id"))
+    free = F.col("source").isin("synth-joke", "idk-nohit")
+    first = x.where(~free).withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy("h", "pair_id"))).where("rn <= 150")  # each task keeps its first 150
+    many = numbered(x.where(free), ["source"], ["h", "pair_id"]).where("rn <= 1000000")
+    return first.select("source", "pair_id").unionByName(many.select("source", "pair_id"))
 
 
 @query("l9_plan_shares", "select mix, round(sum(target_share), 6) as total, abs(sum(target_share) - 1) < 1e-6 as ok from mix_plan group by 1")
@@ -110,7 +116,7 @@ def u3_split_template_leak(spark, sf):
 
 @query("w7_request_chunks", "select format('{:06d}', (rn - 1) // 5) as custom, category, list(prompt order by rn) as prompts from (select category, prompt, row_number() over (partition by category order by pair_id) as rn from pairs where prompt is not null) group by 1, 2")
 def w7_request_chunks(spark, sf):
-    p = table(spark, sf, "pairs").where("prompt is not null").select("category", "prompt", F.row_number().over(Window.partitionBy("category").orderBy("pair_id")).alias("rn"))
+    p = numbered(table(spark, sf, "pairs").where("prompt is not null").select("category", "prompt", "pair_id"), ["category"], ["pair_id"])
     g = p.groupBy(F.format_string("%06d", F.floor((F.col("rn") - 1) / 5)).alias("custom"), "category").agg(F.array_sort(F.collect_list(F.struct("rn", "prompt"))).alias("x"))
     return g.select("custom", "category", F.transform("x", lambda y: y["prompt"]).alias("prompts"))
 
@@ -118,7 +124,7 @@ def w7_request_chunks(spark, sf):
 @query("w18_family_numbers", "select pair_id, split_part(template_id, '-', 1) as family, row_number() over (partition by split_part(template_id, '-', 1) order by pair_id) as seq from pairs where template_id is not null")
 def w18_family_numbers(spark, sf):
     x = table(spark, sf, "pairs").where("template_id is not null").select("pair_id", F.split_part("template_id", F.lit("-"), F.lit(1)).alias("family"))
-    return x.withColumn("seq", F.row_number().over(Window.partitionBy("family").orderBy("pair_id")).cast("long"))
+    return numbered(x, ["family"], ["pair_id"], "seq")
 
 
 @query("g4_ordered_pairs", "select a.r_name as first, b.r_name as second, 'copy ' || lower(a.r_name) || ' to ' || lower(b.r_name) as prompt from region a, region b where a.r_name <> b.r_name")
@@ -176,11 +182,16 @@ def w13_shifted_targets(spark, sf):
     return x.select("pair_id", P.shifted_targets(F.col("ids"), F.col("n")).alias("tgt"))
 
 
-@query("w14_token_budget", """select pair_id from (select pair_id, coalesce(sum(n) over (order by pair_id rows between unbounded preceding and 1 preceding), 0) as before from
-  (select pair_id, length(prompt) + length(answer) as n from pairs where prompt is not null and answer is not null)) where before < 100000""")
+@query("w14_token_budget", """with x as (select pair_id, length(prompt) + length(answer) as n from pairs where prompt is not null and answer is not null), t as (select sum(n) as total, 3 * sum(n) // 2 as budget from x),
+  y as (select pair_id, k, total * k + coalesce(sum(n) over (partition by k order by pair_id rows between unbounded preceding and 1 preceding), 0) as before, budget from x, t, (select unnest(range(3)) as k))
+  select pair_id, count(*) as uses from y where before < budget group by 1""")
 def w14_token_budget(spark, sf):
+    """Pairs in order, from the first again when all are used, until a budget of half as many characters again is reached."""
     x = table(spark, sf, "pairs").where("prompt is not null and answer is not null").select("pair_id", (F.length("prompt") + F.length("answer")).cast("long").alias("n"))
-    return P.running(x, "pair_id", "n", "before").where("before < 100000").select("pair_id")
+    total = F.broadcast(x.agg(F.sum("n").alias("total")))  # one row
+    x = P.running(x, "pair_id", "n", "before").crossJoin(total)
+    left = F.floor(F.col("total") * 3 / 2) - F.col("before")
+    return x.select("pair_id", F.ceil(left / F.col("total")).cast("long").alias("uses")).where("uses > 0")
 
 
 @query("pred14_fits_window", f"select count_if(len({S.words('prompt')}) + len({S.words('answer')}) <= 24) as fits, count(*) as n from pairs where prompt is not null and answer is not null")
@@ -196,15 +207,20 @@ def a21_window_counts(spark, sf):
     return w.agg(F.count("*").alias("windows"), F.sum(F.size(F.filter("ids", lambda x: x != 0))).alias("unpadded"), F.sum(F.size(F.filter("ids", lambda x: x == 0))).alias("padded"))
 
 
-@query("w12_greedy_paragraphs")
+@query("w12_greedy_paragraphs", """with recursive l as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from documents where text is not null), n as (select doc_id, line, length(t) as n from l),
+  g as (select doc_id, line, n, 0::bigint as pack, n as used from n where line = 0
+    union all select n.doc_id, n.line, n.n, case when g.used > 0 and g.used + n.n > 256 then g.pack + 1 else g.pack end, case when g.used > 0 and g.used + n.n > 256 then n.n else g.used + n.n end from g join n on n.doc_id = g.doc_id and n.line = g.line + 1)
+  select doc_id, line::int as line, n::int as n, pack from g""")
 def w12_greedy_paragraphs(spark, sf):
     lines = table(spark, sf, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
     return P.greedy_paragraphs(lines.select("doc_id", "line", F.length("t").alias("n")), "doc_id", "line", "n", 256)
 
 
-@query("w16_round_robin_templates", "select pair_id, category, (row_number() over (partition by category order by pair_id) - 1 + dense_rank() over (order by category)) % 5 as template from pairs")
+@query("w16_round_robin_templates", """with p as (select pair_id, category, row_number() over (partition by category order by pair_id) as rn, dense_rank() over (order by category) as c from pairs),
+  t as (select pair_id, category, (rn - 1 + c) % 5 as template, rn from p) select pair_id, category, template from t qualify row_number() over (partition by category, template order by rn) <= 40""")
 def w16_round_robin_templates(spark, sf):
+    """Templates in turn, beginning one further in each category; a family (category and template) has at most 40 rows."""
     p = table(spark, sf, "pairs").select("pair_id", "category")
-    rank = small(p.select("category").distinct().withColumn("c", F.dense_rank().over(Window.orderBy("category"))), 10_000)
-    x = p.withColumn("rn", F.row_number().over(Window.partitionBy("category").orderBy("pair_id"))).join(rank, "category")
-    return x.select("pair_id", "category", ((F.col("rn") - 1 + F.col("c")) % 5).cast("long").alias("template"))
+    rank = F.broadcast(p.select("category").distinct().withColumn("c", F.dense_rank().over(Window.orderBy("category"))))  # the seven categories
+    first = p.withColumn("rn", F.row_number().over(Window.partitionBy("category").orderBy("pair_id"))).where("rn <= 200")  # 40 of each of five templates
+    return first.join(rank, "category").select("pair_id", "category", ((F.col("rn") - 1 + F.col("c")) % 5).cast("long").alias("template"))

@@ -25,4 +25,20 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
         base = "file:///tmp/quern-checkpoint"
-    return f"{base}/quern-{name}-{uuid.uuid4().hex}"
+    path = f"{base}/quern-{name}-{uuid.uuid4().hex}"
+    forget(spark, path)
+    return path
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again; the folder is deleted when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete path when the driver's JVM ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)

@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from quern.operators import clean, contamination, packing
+from quern.operators.numbering import numbered
 from quern.session import scratch
 from quern.sources import readers, writers
 from quern.streaming import dialogue
@@ -17,6 +18,25 @@ def test_jaccard_join_like_brute_force(spark):
         got = {(r.l, r.r) for r in contamination.jaccard_join(spark.createDataFrame(left, "l string, text string"), spark.createDataFrame(right, "r string, text string"), t).collect()}
         want = {(a, b) for (a, x), (b, y) in itertools.product(left, right) if x and y and len(set(x.split()) & set(y.split())) >= t * len(set(x.split()) | set(y.split())) - 1e-12}
         assert got == want
+        got = {(r.l, r.r) for r in contamination.jaccard_join(spark.createDataFrame(left, "l string, text string"), spark.createDataFrame(right, "r string, text string"), t, limit=0).collect()}
+        assert got == want
+
+
+def test_numbers_of_groups(spark):
+    rnd = random.Random(2)
+    rows = [(rnd.choice(["a", "a", "a", "b", None]), rnd.randint(0, 9), i) for i in range(300)]
+    want, sizes = {}, {}
+    for g, k, i in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        want[i] = sizes[g] = sizes.get(g, 0) + 1
+    df = spark.createDataFrame(rows, "g string, k int, i int")
+    got = numbered(df, ["g"], ["k", "i"], "rn", "n").collect()
+    assert {r.i: r.rn for r in got} == want and all(r.n == sizes[r.g] for r in got) and len(got) == 300
+    assert sorted(r.rn for r in numbered(df, [], [F.col("i").desc()]).collect()) == list(range(1, 301)) and numbered(df.limit(0), ["g"], ["k"]).count() == 0
+
+
+def test_first_of_each_key(spark):
+    df = spark.createDataFrame([("a", 2, 1), ("a", 1, 2), (None, 5, 3), (None, 5, 4), ("b", 0, 5)], "k string, t int, id int")
+    assert sorted(r.id for r in clean.first_wins(df, ["k"], ["t", "id"]).collect()) == [2, 3, 5]
 
 
 def test_cascade_order(spark):
