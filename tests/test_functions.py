@@ -158,7 +158,7 @@ def test_patterns_and_python_lines(spark):
         ("regex", "It has 12 Goats", ["^it has \\d+ goats$"], None, True), ("regex", "it has goats", ["^it has \\d+"], None, False), ("regex", "say hello there", ["hel+o"], ["THERE"], False),
         ("python-ast", "X = f(1)", ["^x\\ =\\ f\\(1\\)$"], [], True), ("python-ast", "x = f(1", ["^x = f"], None, False), ("python-ast", "for x in y:", ["for x"], None, True), ("python-ast", "except E as e:", ["except"], None, False),
         ("contains", "it is because of gold", ["Au", "ice"], None, False), ("contains", "Say: (ice) here", ["ice"], None, True), ("contains", "a+b here", ["`a+b`"], None, True), ("numeric", "from 3 to 12.50", [], None, True), ("numeric", "12.5 or 3", ["12.5"], None, False), ("numeric", "none", [], None, False),
-        ("exact", "Yes", ["yes"], ["no"], True), ("exact", "'Yes'.", ["yes!"], None, True), ("exact", "yes", ["yes"], ["^Y"], False), ("judge", "bad", [], ["bad"], None),
+        ("exact", "Yes", ["yes"], ["no"], True), ("exact", "'Yes'", ["yes!"], None, True), ("exact", "yes", ["yes"], ["^Y"], False), ("judge", "bad", [], ["bad"], None),
     ]
     df = spark.createDataFrame(rows, "scoring string, line string, accept array<string>, reject array<string>, want boolean").withColumn("answer", F.lit("12.5"))
     got = df.select("line", "want", matches(F.col("line"), F.col("accept"), F.col("answer"), F.col("scoring"), F.col("reject")).alias("got")).collect()
