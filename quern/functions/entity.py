@@ -351,11 +351,13 @@ def extract(title: str, text: str):
 KIND = "struct<etype: string, typed: map<string, struct<value: string, prov: string>>, capital_of: string, capital: string>"
 
 
-@F.pandas_udf(KIND)
-def extract_udf(title: pd.Series, text: pd.Series) -> pd.DataFrame:
-    rows = []
-    for t, w in zip(title, text):
-        kind, fields, lead = extract(t or "", w)
-        of, capital = (kind in ("place", "other") and capital_reverse(lead)) or (None, None)
-        rows.append((kind, {k: {"value": v, "prov": p} for k, (v, p) in fields.items()}, None if of is None else wiki.fold(of), capital))
-    return pd.DataFrame(rows, columns=["etype", "typed", "capital_of", "capital"])
+def extract_udf(*cols):
+    def run(title: pd.Series, text: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t, w in zip(title, text):
+            kind, fields, lead = extract(t or "", w)
+            of, capital = (kind in ("place", "other") and capital_reverse(lead)) or (None, None)
+            rows.append((kind, {k: {"value": v, "prov": p} for k, (v, p) in fields.items()}, None if of is None else wiki.fold(of), capital))
+        return pd.DataFrame(rows, columns=["etype", "typed", "capital_of", "capital"])
+
+    return F.pandas_udf(run, KIND)(*cols)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions import calc, text as T, wiki
+from quern.functions import calc, entity, questions as Q, text as T, wiki
+from quern.operators import retrieval
 from quern.operators.contamination import small
 from quern.operators.numbering import numbered
 from quern.plans import sqltext as S
-from quern.session import table
+from quern.session import cut, table
 
 QUERIES, SQL = {}, {}
 
@@ -29,23 +30,52 @@ def _pages(spark, sf) -> DataFrame:
 
 
 def entities(pages: DataFrame) -> DataFrame:
-    """Articles (no redirects, disambiguations or lists) with their lead, infobox, dates; id by length, then title."""
-    a = pages.where("r is null and w is not null and not lower(t) like '%(disambiguation)%' and not lower(t) like 'list of%'")
-    x = a.select("page_id", "t", F.coalesce("n", F.lit(0).cast("long")).alias("n"), wiki.udf("lead")("w").alias("lead"), wiki.udf("infobox")("w").alias("fields"), wiki.udf("scan_dates")(wiki.udf("clean_line")(wiki.udf("strip_markup")("w"))).alias("dates"))
-    return x.withColumn("prom", T.prominence(F.col("n")))
+    """Articles (no redirects, disambiguations or lists) with lead, infobox, dates, kind and typed fields.
+
+    A country without a capital gets the one that another page's lead names, the first in the order of pages.
+    """
+    a = pages.where("r is null and w is not null and t is not null and not lower(t) like '%(disambiguation)%' and not lower(t) like 'list of%'")
+    x = a.select(
+        "page_id", "t", F.coalesce("n", F.lit(0).cast("long")).alias("n"), wiki.udf("lead")("w").alias("lead"), wiki.udf("infobox")("w").alias("fields"), wiki.udf("scan_dates")(wiki.udf("clean_line")(wiki.udf("strip_markup")("w"))).alias("dates"),
+        entity.extract_udf("t", "w").alias("e"), wiki.udf("fold")("t").alias("name"),
+    )
+    x = cut(x.withColumn("prom", T.prominence(F.col("n"))), "entities")  # Python reads every page once
+    said = x.where("e.capital_of is not null").groupBy(F.col("e.capital_of").alias("name")).agg(F.min_by("e.capital", "page_id").alias("said"))
+    x = x.join(said, "name", "left")
+    own = F.map_keys("e.typed")
+    typed = F.when((F.col("e.etype") == "country") & F.col("said").isNotNull() & ~F.array_contains(own, "capital"), F.map_concat("e.typed", F.create_map(F.lit("capital"), F.struct(F.col("said").alias("value"), F.lit("reverse").alias("prov"))))).otherwise(F.col("e.typed"))
+    return x.select("page_id", "t", "n", "lead", "fields", "dates", "prom", F.col("e.etype").alias("etype"), typed.alias("typed"))
+
+
+# The relations that an entity of each kind should have a value for.
+FITS = {"person": ["birth_date", "death_date", "birth_place", "death_place", "occupation", "surname"], "event": ["date_range", "location"], "country": ["capital", "location", "quantity"], "place": ["location", "quantity"], "other": []}
+
+
+def entity_fields(x: DataFrame) -> DataFrame:
+    """(t, rel, value, prov, missing): typed fields and the definition, and markers where a fitting field has no value."""
+    lead = x.where("lead is not null").select("t", F.lit("definition").alias("rel"), wiki.udf("context_sentence")("lead").alias("value"), F.lit("lead_text").alias("prov"), F.lit(False).alias("missing"))
+    have = x.select("t", F.explode("typed").alias("rel", "v")).select("t", "rel", "v.value", "v.prov", F.lit(False).alias("missing"))
+    fits = F.coalesce(*[F.when(F.col("etype") == k, F.array(*map(F.lit, v)).cast("array<string>")) for k, v in FITS.items()])
+    none = x.select("t", F.explode(F.array_except(fits, F.map_keys("typed"))).alias("rel")).select("t", "rel", F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("prov"), F.lit(True).alias("missing"))
+    return lead.unionByName(have).unionByName(none).dropDuplicates(["t", "rel"])
 
 
-def key_candidates(pages: DataFrame) -> DataFrame:
-    """(key, rank, title, kind, prom): titles' keys and redirects (two steps) to articles; four best for each key."""
-    art = pages.where("r is null and w is not null").select("t", T.prominence(F.coalesce("n", F.lit(0).cast("long"))).alias("prom"))
-    own = art.select("t", "prom", F.explode(wiki.udf("keys_for")("t")).alias("k")).select("t", "prom", F.substring("k", 1, 1).cast("int").alias("kind"), F.expr("substring(k, 2)").alias("key"))
-    red = pages.where("r is not null").select(F.col("t").alias("alias"), F.col("r").alias("target"))
+def key_candidates(pages: DataFrame, x: DataFrame | None = None) -> DataFrame:
+    """(key, rank, t, kind, prom): titles' keys and redirects (two steps) to articles; four best for each key.
+
+    Of two articles with the same title the more prominent one counts. x: the pages' entities, if at hand.
+    """
+    art = pages.where("r is null and w is not null and t is not null").groupBy("t").agg(F.max(T.prominence(F.coalesce("n", F.lit(0).cast("long")))).alias("prom"))
+    etypes = x.groupBy("t").agg(F.min("etype").alias("etype")) if x is not None else None
+    art = art.join(etypes, "t", "left") if etypes is not None else art.withColumn("etype", F.lit("other"))
+    own = art.select("t", "prom", F.explode(wiki.keys_udf("t", F.coalesce("etype", F.lit("other")), "prom")).alias("k")).select("t", "prom", "k.key", "k.kind")
+    red = pages.where("r is not null and t is not null").select(F.col("t").alias("alias"), F.col("r").alias("target")).distinct()
     second = red.select(F.col("alias").alias("target"), F.col("target").alias("target2"))
     hop = red.join(second, "target", "left").select("alias", F.coalesce("target2", "target").alias("t"))
-    more = hop.join(art, "t").select("t", "prom", F.lit(6).alias("kind"), wiki.udf("fold")("alias").alias("key")).where("key <> ''")
+    more = hop.join(art, "t").select("t", "prom", wiki.udf("fold")("alias").alias("key"), F.lit(wiki.REDIRECT).alias("kind")).where("key <> ''")
     best = own.unionByName(more).groupBy("key", "t").agg(F.min("kind").alias("kind"), F.max("prom").alias("prom"))
-    w = Window.partitionBy("key").orderBy((F.col("prom") - 8 * F.col("kind")).desc(), "t")
-    return best.withColumn("rank", F.row_number().over(w)).where("rank <= 4")
+    w = Window.partitionBy("key").orderBy("kind", F.col("prom").desc(), "t")
+    return best.withColumn("rank", F.row_number().over(w)).where("rank <= 4").select("key", "rank", "t", "kind", "prom")
 
 
 @query("s6_articles", "select page_id, t, coalesce(n, 0) as n, least(63, cast(floor(4 * log2(1 + coalesce(n, 0) / 32)) as int)) as prom from wiki_pages where r is null and w is not null and not lower(t) like '%(disambiguation)%' and not lower(t) like 'list of%'")
@@ -58,6 +88,14 @@ def c6_entities(spark, sf):
     return entities(_pages(spark, sf))
 
 
+@query("k5_entity_audit")
+def k5_entity_audit(spark, sf):
+    """Fields with provenance and markers by kind of entity."""
+    x = entities(_pages(spark, sf))
+    f = entity_fields(x).join(x.select("t", "etype").dropDuplicates(["t"]), "t")
+    return f.groupBy("etype", "rel").agg(F.count("*").alias("entities"), F.count_if("missing").alias("missing"), F.count_if(F.col("prov") == "infobox").alias("infobox"), F.count_if(F.col("prov") == "lead_text").alias("lead_text"), F.count_if(F.col("prov") == "title").alias("title"))
+
+
 @query("w3_key_candidates")
 def w3_key_candidates(spark, sf):
     return key_candidates(_pages(spark, sf))
@@ -125,17 +163,47 @@ def f16_fnv1a(spark, sf):
     return table(spark, sf, "auto_dev_40").select("id", T.fnv1a(F.col("id")).alias("h"))
 
 
-@query("j11_question_lookup")
-def j11_question_lookup(spark, sf):
-    """Runs of one to four words of factual questions against the knowledge base's keys: the longest run, then the best candidate."""
-    asked = table(spark, sf, "pairs").where("category = 'factual' and prompt is not null").select(F.col("pair_id").alias("question_id"), "prompt")
-    titles = _pages(spark, sf).select((-F.col("page_id")).alias("question_id"), F.concat(F.lit("what is "), "t", F.lit(" known for")).alias("prompt"))  # G13
-    q = asked.unionByName(titles).select("question_id", T.word_list(F.col("prompt")).alias("ws"))
-    grams = q.select("question_id", F.explode(F.flatten(F.array(*[F.transform(T.ngrams(F.col("ws"), n), lambda g, n=n: F.struct(F.lit(n).alias("cover"), g.alias("key"))) for n in (4, 3, 2, 1)]))).alias("g")).select("question_id", "g.cover", "g.key")
-    hit = grams.join(small(key_candidates(_pages(spark, sf))), "key")
-    w = Window.partitionBy("question_id").orderBy(F.col("cover").desc(), "rank", "t")
-    top = hit.withColumn("rn", F.row_number().over(w)).withColumn("gap", F.col("prom") - F.lead("prom").over(w)).where("rn = 1")
-    return top.select("question_id", "key", "t", "cover", F.when(F.col("gap").between(-12, 12) & (F.col("kind") > 2), "ambiguous").otherwise("answer_present").alias("status"))
+def _asked(spark, sf) -> DataFrame:
+    """Factual questions of the pairs, and a question about each title."""
+    asked = table(spark, sf, "pairs").where("category = 'factual' and prompt is not null").select(F.col("pair_id").alias("qid"), F.col("prompt").alias("question"))
+    return asked.unionByName(_pages(spark, sf).where("t is not null").select((-F.col("page_id")).alias("qid"), F.concat(F.lit("what is "), "t").alias("question")))
+
+
+@query("r5_retrieval")
+def r5_retrieval(spark, sf):
+    """Every question with its status, entity, field and answer."""
+    pages = _pages(spark, sf)
+    x = entities(pages)
+    return retrieval.retrieved(_asked(spark, sf), cut(key_candidates(pages, x), "keys"), entity_fields(x).drop("prov"))
+
+
+@query("r8_alias_retrieval")
+def r8_alias_retrieval(spark, sf):
+    """The same with keys for words in any order and a confidence floor."""
+    pages = _pages(spark, sf)
+    x = entities(pages)
+    return retrieval.retrieved(_asked(spark, sf), cut(key_candidates(pages, x), "keys"), entity_fields(x).drop("prov"), aliases=True)
+
+
+@query("a8_status_counts")
+def a8_status_counts(spark, sf):
+    return QUERIES["r5_retrieval"](spark, sf).groupBy("status", "reason").agg(F.count("*").alias("questions"))
+
+
+@query("pred7_kb_gate")
+def pred7_kb_gate(spark, sf):
+    """The gate's reason, and what the first release's gate says."""
+    v0 = F.udf(Q.v0_gate, "boolean")
+    p = table(spark, sf, "pairs").where("prompt is not null").select("pair_id", "prompt")
+    return p.select("pair_id", Q.asked_udf()("prompt")["gate"].alias("reason"), v0("prompt").alias("v0"))
+
+
+@query("r7_first_hit")
+def r7_first_hit(spark, sf):
+    """The longest run of words that is a key and holds the majority of the question's words; the first of them."""
+    q = _asked(spark, sf).select("qid", F.explode(Q.asked_udf(routed=True)("question")["keys"]).alias("k")).select("qid", "k.key", F.size(F.split("k.key", " ")).alias("n"), "k.ord")
+    best = q.join(small(key_candidates(_pages(spark, sf)).where("rank = 1").select("key", "t")), "key")
+    return best.groupBy("qid").agg(F.max_by(F.struct("key", "t"), F.struct("n", -F.col("ord"))).alias("x")).select("qid", "x.key", "x.t")
 
 
 # The words by which a question is routed.
@@ -160,10 +228,11 @@ def r1_route(spark, sf):
     return x.select("pair_id", handler.alias("handler"))
 
 
-@query("pred6_context_gate", f"select pair_id, list_has_any({S.words('prompt')}, {CUES}) and not regexp_matches(prompt, '[_()\\[\\]{{}}=<>;]') and not regexp_matches(prompt, '[0-9]+ *[-+*/] *[0-9]+') as wants from pairs where prompt is not null")
+@query("pred6_context_gate")
 def pred6_context_gate(spark, sf):
-    p = F.col("prompt")
-    return table(spark, sf, "pairs").where("prompt is not null").select("pair_id", (T.any_of(T.word_list(p), CUES) & ~p.rlike(r"[_()\[\]{}=<>;]") & ~p.rlike("[0-9]+ *[-+*/] *[0-9]+")).alias("wants"))
+    """Question word first, no code, no quotes but contractions, no arithmetic in digits or words."""
+    wants = F.pandas_udf(lambda s: s.map(Q.wants_context, na_action="ignore").astype(object), "boolean")
+    return table(spark, sf, "pairs").where("prompt is not null").select("pair_id", wants("prompt").alias("wants"))
 
 
 @query("m1_calc")

@@ -10,6 +10,7 @@ from pyspark.sql.types import IntegerType
 from quern.functions import features
 from quern.functions import text as T
 from quern.operators.contamination import small
+from quern.operators.retrieval import rendered
 from quern.plans import knowledge, scoring
 from quern.plans import sqltext as S
 from quern.session import table
@@ -212,10 +213,9 @@ def d6_date_text(spark, sf):
 
 @query("f37_rendered_facts")
 def f37_rendered_facts(spark, sf):
-    """One sentence for each field of each entity, by relation."""
-    e = knowledge.entities(table(spark, sf, "wiki_pages")).select("t", F.explode("fields").alias("rel", "value"))
-    said = F.when(F.col("rel") == "name", F.format_string("%s is also called %s.", "t", "value")).when(F.col("rel") == "n", F.format_string("%s has the number %s.", "t", "value")).otherwise(F.format_string("The %s of %s is %s.", "rel", "t", "value"))
-    return e.select("t", "rel", said.alias("sentence"))
+    """A sentence for each field of each entity, by relation."""
+    f = knowledge.entity_fields(knowledge.entities(table(spark, sf, "wiki_pages"))).where("not missing")
+    return f.select("t", "rel", rendered(F.col("t"), F.col("rel"), F.col("value")).alias("sentence"))
 
 
 @query("v6_latency_rows", "select custom_id, epoch_us(received_at) - epoch_us(submitted_at) as wait_us from batch_results join request_shards using (custom_id)")
