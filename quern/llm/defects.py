@@ -48,8 +48,9 @@ REFUSAL_BUCKETS, REFUSAL_SMOOTH, REFUSES, GRAM_MOST = 1 << 17, 0.5, 0.999, 3.0
 
 def skeleton(col):
     """Null-safe; blanks collapsed, final punctuation and quotes stripped."""
-    c = F.translate(F.coalesce(col, F.lit("")), "’‘“”«»–—…  ​﻿", "''\"\"\"\"--.  ")
-    c = F.regexp_replace(c, r"\s+", " ")
+    c = F.coalesce(col, F.lit(""))
+    c = F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(c, "’‘“”«»–—…  ​﻿", "''\"\"\"\"--.  ")).otherwise(c)
+    c = F.regexp_replace(c, r"\s{2,}|[^\S ]", " ")
     c = F.regexp_replace(c, r"\b\w*_\w*\b|\b[a-z]+(?:[A-Z][a-z0-9]+)+\b", "I")
     c = F.regexp_replace(c, r"\b[A-Z][a-z]+\b", "N")
     c = F.regexp_replace(c, r"\d+", "0")
@@ -119,8 +120,8 @@ class Languages:
         share = self.counts / self.counts.sum(axis=0)  # so that what was never seen counts alike in all languages
         self.logp = np.log(share * MASS + SMOOTH).astype(np.float32)
         self.prior = np.zeros(len(LANGS)) if prior is None else prior
-        self.kept: dict[str, np.ndarray] = {}
-        self.texts: dict[str, np.ndarray] = {}
+        self.at: dict[str, int] = {}
+        self.rows = np.zeros((1000, len(LANGS)), np.float32)
 
     @staticmethod
     def seed_counts() -> np.ndarray:
@@ -131,27 +132,30 @@ class Languages:
             out[:, k] *= MASS / out[:, k].sum()  # seeds differ in length
         return out
 
-    def word(self, w: str) -> np.ndarray:
-        v = self.kept.get(w)
-        if v is None:
-            if len(self.kept) > 60_000:
-                self.kept.clear()
-            v = self.kept[w] = self.logp[_grams(w)].sum(axis=0) * POWER
-        return v
-
-    def posterior(self, ws: list[str], weight: float = 1.0) -> np.ndarray:
-        key = " ".join(ws) + (f" {weight:.2f}" if weight < 1 else "")
-        s = self.texts.get(key)
-        if s is None:
-            s = self.prior.copy()
-            for w in ws:
-                s += self.word(w) * weight
-            s = np.exp(s - s.max())
-            s /= s.sum()
-            if len(self.texts) > 60_000:
-                self.texts.clear()
-            self.texts[key] = s
-        return s
+    def posteriors(self, texts: list[list[str]], weights: np.ndarray | None = None) -> np.ndarray:
+        """Of each list of words, its evidence weighted: texts x languages."""
+        if len(self.at) > 60_000:
+            self.at, self.rows = {}, np.zeros((1000, len(LANGS)), np.float32)
+        at = self.at
+        new = list(dict.fromkeys(w for ws in texts for w in ws if w not in at))
+        if new:
+            n = len(at)
+            if n + len(new) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros((n + len(new), len(LANGS)), np.float32)])
+            for w in new:
+                self.rows[len(at)] = self.logp[_grams(w)].sum(axis=0) * POWER
+                at[w] = len(at)
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        s = np.zeros((len(texts), len(LANGS)))
+        if size.any():
+            flat = np.fromiter((at[w] for ws in texts for w in ws), np.int64, int(size.sum()))
+            some = np.nonzero(size)[0]
+            s[some] = np.add.reduceat(self.rows[flat], (np.cumsum(size) - size)[some], axis=0)
+        if weights is not None:
+            s *= weights[:, None]
+        s += self.prior
+        s = np.exp(s - s.max(axis=1, keepdims=True))
+        return s / s.sum(axis=1, keepdims=True)
 
 
 def labelled(docs: DataFrame, size: int = LABELLED) -> np.ndarray:
@@ -188,24 +192,49 @@ def refined(asked: DataFrame, base: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     def expect(batches):
         model, total, sums = Languages(start.value, np.array([0.0] + [-2.0] * (len(LANGS) - 1))), np.zeros((BUCKETS, len(LANGS))), np.zeros(len(LANGS))
         refusing, texts = np.zeros((REFUSAL_BUCKETS, 2)), np.zeros(2)
+        by_word: list[dict[str, float]] = [{} for _ in LANGS]
+        done: set[str] = set()
+
+        def spread():
+            for k, own in enumerate(by_word):
+                for w, n in own.items():
+                    np.add.at(total[:, k], _grams(w), n)
+                own.clear()
+
         for b in batches:
+            if len(done) > 200_000:
+                done.clear()
+            if sum(map(len, by_word)) > 200_000:
+                spread()
+            asked_ = []
             for p, a, n in zip(*(c.to_pylist() for c in b.columns)):
-                t = plain(a or "")
-                ws = t.split()
-                if not _SPEAKER.isdisjoint(ws):
-                    k = int(seed_refusal(t, re.sub(r"[^\w'`]+", " ", visible(a).lower()).strip()) and not _quoted_in(plain(p or ""), t))
-                    refusing[refusal_grams(ws), k] += 1
-                    texts[k] += 1
+                if a not in done:  # each answer once, whatever its prompts
+                    done.add(a)
+                    t = plain(a)
+                    ws = t.split()
+                    if not _SPEAKER.isdisjoint(ws):
+                        k = int(seed_refusal(t, re.sub(r"[^\w'`]+", " ", visible(a).lower()).strip()) and not _quoted_in(plain(p), t))
+                        refusing[refusal_grams(ws), k] += 1
+                        texts[k] += 1
                 halves = [language_words(x or "") for x in (p, a)]
-                if sum(map(len, halves)) < 4:
-                    continue
-                k = int((both := model.posterior(halves[0] + halves[1])).argmax())
-                if both[k] < 0.95:
-                    continue
-                for ws in halves:
-                    if ws and (k == 0 or model.posterior(ws)[k] > 0.9):
-                        np.add.at(total[:, k], [g for w in ws for g in _grams(w)], np.sqrt(n))
-                sums[k] += n
+                if sum(map(len, halves)) > 3:
+                    asked_.append((*halves, n))
+            if not asked_:
+                continue
+            both = model.posteriors([p + a for p, a, _ in asked_])
+            best = both.argmax(axis=1)
+            sure = both[np.arange(len(best)), best] >= 0.95
+            alone = [model.posteriors([x[i] for x in asked_])[np.arange(len(best)), best] > 0.9 for i in (0, 1)]
+            for r, (*halves, n) in enumerate(asked_):
+                if sure[r]:
+                    k = best[r]
+                    own, root = by_word[k], n**0.5
+                    for i in (0, 1):
+                        if k == 0 or alone[i][r]:
+                            for w in halves[i]:
+                                own[w] = own.get(w, 0.0) + root
+                    sums[k] += n
+        spread()
         r, c = np.nonzero(total)
         y, z = np.nonzero(refusing)
         at = (BUCKETS + 1) * len(LANGS)
@@ -231,16 +260,22 @@ _TRANSLATE = re.compile(
 )
 
 
-def other_language(prompt: str, answer: str, model: Languages) -> bool:
-    a = language_words(answer)
-    if not a:
-        return False
-    p = language_words(prompt)
-    a = [w for w in a if len(w) > 1 or not w.isascii()]
-    if not a:
-        return False
-    letters = sum(len(w) if w.isascii() else 3 * len(w) for w in a)
-    return float(model.posterior(p) @ model.posterior(a, round(letters / (letters + FEW_LETTERS), 2))) < SAME_LANGUAGE and not _TRANSLATE.search(" ".join(visible(prompt).split()))
+def other_languages(prompts: list[str], answers: list[str], model: Languages) -> list[bool]:
+    """Of each pair: the posteriors of prompt and answer hardly agree, and no translation was asked for."""
+    rows, ps, as_, letters = [], [], [], []
+    for r, answer in enumerate(answers):
+        a = [w for w in language_words(answer) if len(w) > 1 or not w.isascii()]
+        if a:
+            whole = "".join(a)
+            letters.append(len(whole) if whole.isascii() else len(whole) + 2 * sum(len(w) for w in a if not w.isascii()))
+            rows.append(r), ps.append(language_words(prompts[r])), as_.append(a)
+    out = [False] * len(answers)
+    if rows:
+        n = np.array(letters, float)
+        agree = (model.posteriors(ps) * model.posteriors(as_, n / (n + FEW_LETTERS))).sum(axis=1)
+        for k in np.nonzero(agree < SAME_LANGUAGE)[0].tolist():
+            out[rows[k]] = not _TRANSLATE.search(" ".join(visible(prompts[rows[k]]).split()))
+    return out
 
 
 # ---- empty, copy, refusal, open brackets
@@ -283,8 +318,11 @@ _INTRO = re.compile(
 _OUTRO = re.compile(r"(?:\s+(?:please|thanks|thank you|today|soon|quick answer|short answer|quickly))+$")
 
 
+_PLAIN = re.compile(r"[^\W_]+")
+
+
 def plain(s: str) -> str:
-    return " ".join(re.findall(r"[^\W_]+", visible(s).lower()))
+    return " ".join(_PLAIN.findall(visible(s).lower()))
 
 
 def core(s: str) -> str:
@@ -351,10 +389,23 @@ def seed_refusal(a: str, t: str) -> bool:
     return not _SIGNS.isdisjoint(a.split()) and bool(_REFUSAL.search(t))
 
 
+class _Hashes(dict):
+    def __missing__(self, w: str) -> int:
+        if len(self) > 100_000:
+            self.clear()
+        v = self[w] = crc32(w.encode("utf-8", "replace"))
+        return v
+
+
+_HASH = _Hashes()
+_A, _B = 0x9E3779B1, 0x85EBCA6B
+
+
 def refusal_grams(ws: list[str]) -> list[int]:
-    """Hashed words, pairs and triples, each once."""
-    ws = ["^", *ws]
-    return list({crc32(" ".join(ws[i : i + n]).encode("utf-8", "replace")) & (REFUSAL_BUCKETS - 1) for n in (1, 2, 3) for i in range(1 if n == 1 else 0, len(ws) - n + 1)})
+    """Hashed words, pairs and triples, each once; the text's beginning counts as a word in pairs and triples."""
+    h, m = [17, *map(_HASH.__getitem__, ws)], REFUSAL_BUCKETS - 1
+    pairs = [x * _A + y * _B for x, y in zip(h, h[1:])]
+    return list({*(x & m for x in h[1:]), *(x >> 9 & m for x in pairs), *((x * 5 + z * _A) >> 11 & m for x, z in zip(pairs, h[2:]))})
 
 
 class Refusals:
@@ -398,26 +449,33 @@ def is_open(answer: str) -> bool:
     return any(s.count(x) > s.count(y) for x, y in ("()", "[]", "{}")) or s.count('"') % 2 == 1 or s.count("```") % 2 == 1
 
 
-def defect(prompt: str | None, answer: str | None, model: Languages, refusals: Refusals | None = None) -> str | None:
-    """The defect, in a fixed order of precedence; "maybe" leaves it to the end-of-text model.
-
-    A null prompt counts as an empty one: its answer can be empty, a refusal or cut off.
-    """
-    prompt = prompt or ""
+def ruled(prompt: str, answer: str | None, refusals: Refusals | None) -> str | None:
+    """Defects that the text itself shows, in their order; "" for the standing reply, null if none is seen."""
     if is_empty(prompt, answer):
         return "empty"
     p, a = plain(prompt), plain(answer)
     if a.startswith(STANDING):
-        return None
+        return ""
     if is_copy(p, a):
         return "copy"
-    if is_refusal(prompt, answer, a, refusals):
-        return "refusal"
-    if other_language(prompt, answer, model):
-        return "other_language"
-    if is_open(answer):
-        return "truncated"
-    return "maybe"
+    return "refusal" if is_refusal(prompt, answer, a, refusals) else None
+
+
+def found_in(prompts: list[str | None], answers: list[str | None], model: Languages, refusals: Refusals | None = None) -> list[str | None]:
+    """The defect of each pair, in a fixed order of precedence; "maybe" leaves it to the end-of-text model.
+
+    A null prompt counts as an empty one: its answer can be empty, a refusal or cut off.
+    """
+    prompts = [p or "" for p in prompts]
+    out = [ruled(p, a, refusals) for p, a in zip(prompts, answers)]
+    open_ = [r for r, x in enumerate(out) if x is None]
+    for r, other in zip(open_, other_languages([prompts[r] for r in open_], [answers[r] for r in open_], model)):
+        out[r] = "other_language" if other else "truncated" if is_open(answers[r]) else "maybe"
+    return [x or None for x in out]
+
+
+def defect(prompt: str | None, answer: str | None, model: Languages, refusals: Refusals | None = None) -> str | None:
+    return found_in([prompt], [answer], model, refusals)[0]
 
 
 # ---- end of text
@@ -531,40 +589,33 @@ def defects(pairs: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     no row; extra columns don't matter. docs (doc_id, text, lang) help to tell the languages.
     """
     spark = pairs.sparkSession
-    lost = case_lost(F.col("answer"))
-    rows = pairs.select("pair_id", "prompt", "answer", skeleton(F.col("answer")).alias("text"), lost.alias("lost"))
     stopped = F.coalesce(F.col("answer").rlike(_STOPPED).cast("long"), F.lit(0))
-    skeletons = rows.where("not lost").groupBy("text").agg(F.count("*").alias("n"), F.sum(stopped).alias("stops")).select(F.xxhash64("text").alias("h"), "text", "n", "stops")
-    skeletons = cut(skeletons, "skeletons")
-    asked = pairs.select(skeleton(F.col("prompt")).alias("p"), skeleton(F.col("answer")).alias("a")).groupBy("p", "a").agg(F.count("*").alias("n"))
-    counts, prior, refusing, texts = refined(asked, labelled(docs) if docs is not None else np.zeros((BUCKETS, len(LANGS))))
+    masked = pairs.select(skeleton(F.col("prompt")).alias("p"), skeleton(F.col("answer")).alias("a"), case_lost(F.col("answer")).alias("lost"), stopped.alias("stops"))
+    masked = cut(masked.groupBy("p", "a", "lost").agg(F.count("*").alias("n"), F.sum("stops").alias("stops")), "masked")
+    counts, prior, refusing, texts = refined(masked, labelled(docs) if docs is not None else np.zeros((BUCKETS, len(LANGS))))
+    skeletons = masked.where("not lost").groupBy(F.col("a").alias("text")).agg(F.sum("n").alias("n"), F.sum("stops").alias("stops"))
+    skeletons = cut(skeletons.select(F.xxhash64("text").alias("h"), "text", "n", "stops"), "skeletons")
     model = spark.sparkContext.broadcast((counts.astype(np.float32), prior, refusing.astype(np.float32), texts))
     lower = spark.sparkContext.broadcast(np.packbits(lower_words(skeletons)))
 
     def run(batches):
-        own, refusals = Languages(*model.value[:2]), Refusals(*model.value[2:])
-        for b in batches:
-            found = [defect(p, a, own, refusals) for p, a in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(found, pa.string())], names=["pair_id", "h", "found"])
-
-    def run_lost(batches):
         own, refusals, bits = Languages(*model.value[:2]), Refusals(*model.value[2:]), np.unpackbits(lower.value).astype(bool)
         known = lambda w: bool(bits[crc32(w.encode("utf-8", "replace")) & ((1 << 20) - 1)])
         for b in batches:
-            answers = b.column(2).to_pylist()
-            found = [defect(p, a, own, refusals) for p, a in zip(b.column(1).to_pylist(), answers)]
-            text = [cased_skeleton(a, known) if f == "maybe" else None for a, f in zip(answers, found)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string()), pa.array(text, pa.string())], names=["pair_id", "found", "text"])
+            answers, lost = b.column(2).to_pylist(), b.column(4).to_pylist()
+            found = found_in(b.column(1).to_pylist(), answers, own, refusals)
+            text = [cased_skeleton(a, known) if x and f == "maybe" else None for a, x, f in zip(answers, lost, found)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(found, pa.string()), pa.array(text, pa.string())], names=["pair_id", "h", "found", "text"])
 
     kind = pairs.schema["pair_id"].dataType.simpleString()
-    found = rows.where("not lost").select("pair_id", "prompt", "answer", F.xxhash64("text").alias("h")).mapInArrow(run, f"pair_id {kind}, h long, found string").where("found is not null")
-    odd = rows.where("lost").select("pair_id", "prompt", "answer").mapInArrow(run_lost, f"pair_id {kind}, found string, text string").where("found is not null")
-    odd = cut(odd.withColumn("h", F.xxhash64("text", F.lit("case"))), "lost")
-    more = odd.where("text is not null").select("h", "text").distinct().withColumn("n", F.lit(0).cast("long")).withColumn("stops", F.lit(1).cast("long"))  # they are no evidence, so none of their own
+    rows = pairs.select("pair_id", "prompt", "answer", F.xxhash64(skeleton(F.col("answer"))).alias("h"), case_lost(F.col("answer")).alias("lost"))
+    found = rows.mapInArrow(run, f"pair_id {kind}, h long, found string, text string").where("found is not null")
+    found = cut(found.withColumn("h", F.when(F.col("text").isNotNull(), F.xxhash64("text", F.lit("case"))).otherwise(F.col("h"))), "defects")
+    more = found.where("text is not null").select("h", "text").distinct().withColumn("n", F.lit(0).cast("long")).withColumn("stops", F.lit(1).cast("long"))  # they are no evidence, so none of their own
     # What is as short as a name or two may be the beginning of anything and yet whole.
     cut_ = cut_off(skeletons, skeletons.unionByName(more).where(F.length("text") >= NAME_LIKE))
-    x = found.unionByName(odd.select("pair_id", "h", "found")).join(cut_.withColumn("cut", F.lit(True)), "h", "left")
-    return x.select("pair_id", F.when(F.col("found") != "maybe", F.col("found")).when(F.col("cut"), "truncated").alias("defect")).where("defect is not null")
+    x = found.where("found = 'maybe'").select("pair_id", "h").join(cut_, "h", "left_semi").select("pair_id", F.lit("truncated").alias("defect"))
+    return found.where("found <> 'maybe'").select("pair_id", F.col("found").alias("defect")).unionByName(x)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

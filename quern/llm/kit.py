@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import uuid
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -52,9 +53,17 @@ INVISIBLE = dict.fromkeys([0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *
 TYPOGRAPHIC = str.maketrans({"’": "'", "‘": "'", "“": '"', "”": '"', "„": '"', "«": '"', "»": '"', "–": "-", "—": "-", "−": "-", "…": "..."})
 
 
+_SHOWN = TYPOGRAPHIC | INVISIBLE
+
+
 def visible(s: str) -> str:
     """Without invisible characters, quotes and dashes in their plain form, NFC."""
-    return s if s.isascii() else unicodedata.normalize("NFC", s.translate(INVISIBLE).translate(TYPOGRAPHIC))
+    return s if s.isascii() else _visible(s)
+
+
+@lru_cache(1024)
+def _visible(s: str) -> str:
+    return unicodedata.normalize("NFC", s.translate(_SHOWN))
 
 
 def words(s: str) -> list[str]:
