@@ -29,35 +29,43 @@ def k1_s1_jsonl_round_trip(spark, sf):
     return readers.jsonl(spark, path, df.schema)
 
 
-@query("s2_strict_lines", "select id, 'unknown_id' as reason from (select cast(pair_id as varchar) as id from pairs) union all select id, 'bad_tier' from auto_dev_40 where tier is null")
+@query("s2_strict_lines", """select id, 'unknown_id' as reason from (select cast(pair_id as varchar) as id from pairs) union all select id, 'bad_tier' from auto_dev_40 where tier is null union all select id, 'duplicate_id' from auto_dev_40 where id like '%1' union all select id, 'bad_tier' from auto_dev_40 where tier is null and id like '%1'
+  union all select null, unnest(['not_an_object', 'not_an_object', 'no_id'])""")
 def s2_strict_lines(spark, sf):
+    """A file with good lines and all kinds of violations: no object, broken, no id, unknown and repeated ids, bad counters."""
     path = scratch(spark, "strict")
     items = table(spark, sf, "auto_dev_40")
     good = items.select("id", F.col("answer").alias("output"), F.coalesce(F.col("tier").cast("string"), F.lit("-1")).alias("tier"))
     bad = table(spark, sf, "pairs").select(F.col("pair_id").cast("string").alias("id"), F.lit("x").alias("output"), F.lit("1").alias("tier"))
-    good.unionByName(bad).write.json(path)
+    lines = good.unionByName(bad).unionByName(good.where("id like '%1'")).select(F.to_json(F.struct("id", "output", "tier")).alias("value"))
+    junk = spark.createDataFrame([("[1, 2]",), ('{"id": ',), ('{"output": "x", "tier": "1"}',), ("   ",)], "value string")
+    lines.unionByName(junk).write.text(path)
     return readers.strict_jsonl(spark, path, items, ["tier"])[1]
 
 
-@query("k2_shards", "select count(*) as n, count(*) filter (where prompt is null) as missing from pairs")
+@query("k2_shards", "select (row_number() over (order by pair_id) - 1) // 1000 as shard, pair_id from pairs")
 def k2_shards(spark, sf):
+    """K2: shards of a thousand rows in order, read back with the number of their file."""
     path = scratch(spark, "shards")
     writers.shards(table(spark, sf, "pairs").select("pair_id", "prompt"), path, "pair_id", 1000)
-    return spark.read.parquet(path).agg(F.count("*").alias("n"), F.count_if(F.col("prompt").isNull()).alias("missing"))
+    x = spark.read.parquet(path)
+    return x.select(F.regexp_extract(F.col("shard").cast("string"), r"(\d+)", 1).cast("long").alias("shard"), "pair_id")
 
 
-@query("k8_resume", "select pair_id from pairs where loaded_at is null")
+@query("k8_resume", "select pair_id, 'first' as run from pairs where loaded_at is not null union all select pair_id, 'second' from pairs where loaded_at is null")
 def k8_resume(spark, sf):
-    """The loaded rows are done; a run appends the rest."""
-    path, df = scratch(spark, "resume"), table(spark, sf, "pairs")
-    df.where("loaded_at is not null").select("pair_id").write.parquet(path)
-    done = spark.read.parquet(path)
-    return df.select("pair_id").join(done, "pair_id", "left_anti")
+    """A first run writes the loaded rows, a second is given all and appends the rest, a third finds nothing to do."""
+    path, df = scratch(spark, "resume"), table(spark, sf, "pairs").select("pair_id", "loaded_at")
+    for run, part in (("first", df.where("loaded_at is not null")), ("second", df), ("third", df)):
+        writers.append_missing(part.select("pair_id", F.lit(run).alias("run")), path, "pair_id")
+    return spark.read.parquet(path)
 
 
-@query("k9_manifest")
+@query("k9_manifest", """with g as (select coalesce(category, '') as k, count(*) as rows, count(distinct prompt) as prompts, count(distinct answer) as answers from pairs group by 1),
+  s as (select coalesce(category, '') as k, coalesce(tier::varchar, '') as tier, count(*) as n from pairs group by 1, 2), t as (select k, list({'tier': tier, 'n': n} order by tier) as tiers from s group by 1)
+  select to_json(list({'k': g.k, 'rows': g.rows, 'prompts': g.prompts, 'answers': g.answers, 'tiers': t.tiers} order by g.k)) as manifest from g join t using (k)""")
 def k9_manifest(spark, sf):
-    return writers.manifest(table(spark, sf, "pairs"), "category")
+    return writers.manifest(table(spark, sf, "pairs"), "category", "tier")
 
 
 @query("s5_xml_pages", "select page_id, t, r from wiki_pages where w is not null and t is not null")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -69,16 +71,39 @@ def a12_flag_sums(spark, sf):
     return p.agg(flag(F.col("prompt").isNull(), "no_prompt"), flag(F.col("answer").isNull(), "no_answer"), flag(F.col("tier").isNull(), "no_tier"), flag(F.col("context").isNotNull(), "with_context"))
 
 
+# Endings that may be left out to find a word.
+_ENDINGS = ["s", "es", "ed", "d", "ing", "ly", "er"]
+_STEMS = lambda w: "list_concat([" + w + "], list_transform(list_filter(" + str(_ENDINGS) + f", lambda e: length({w}) > length(e) + 2 and ends_with({w}, e)), lambda e: {w}[:length({w}) - length(e)]))"
+
+
 @query("a14_garbled_words", f"""with known as (select distinct w from (select unnest({S.words('text')}) as w from documents where text is not null)),
-  ws as (select pair_id, unnest(list_distinct({S.words('answer')})) as w, {S.words("coalesce(prompt, '') || ' ' || coalesce(context, '')")} as own from pairs where answer is not null)
-  select pair_id, count(*) as garbled from ws where not regexp_matches(w, '[0-9]') and length(w) > 3 and not list_contains(own, w) and w not in (select w from known) group by 1""")
+  ws as (select pair_id, unnest(list_distinct({S.words('answer')})) as w, {S.words("coalesce(prompt, '') || ' ' || coalesce(context, '')")} as own from pairs where answer is not null),
+  c as (select pair_id, w, unnest({_STEMS('w')}) as stem, own from ws where not regexp_matches(w, '[0-9]') and length(w) > 3),
+  k as (select pair_id, w, bool_or(list_contains(own, stem) or stem in (select w from known)) as found from c group by 1, 2)
+  select pair_id, count(*) as garbled from k where not found group by 1""")
 def a14_garbled_words(spark, sf):
-    """words of an answer that neither its prompt, its context nor the documents have."""
-    known = table(spark, sf, "documents").where("text is not null").select(F.explode(T.word_list(F.col("text"))).alias("w")).distinct()
+    """longer words of an answer that, with or without an ending, neither its prompt, its context nor the documents have."""
+    return _garbled(spark, sf).groupBy("pair_id").agg(F.count("*").alias("garbled"))
+
+
+def _garbled(spark, sf):
+    known = small(table(spark, sf, "documents").where("text is not null").select(F.explode(T.word_list(F.col("text"))).alias("stem")).distinct())
     p = table(spark, sf, "pairs").where("answer is not null")
     own = T.word_list(F.concat_ws(" ", "prompt", "context"))
-    x = p.select("pair_id", F.explode(F.array_except(T.word_set(F.col("answer")), own)).alias("w")).where("length(w) > 3").where(~F.col("w").rlike("[0-9]"))
-    return x.join(known, "w", "left_anti").groupBy("pair_id").agg(F.count("*").alias("garbled"))
+    w = p.select("pair_id", F.explode(T.word_set(F.col("answer"))).alias("w"), own.alias("own")).where("length(w) > 3").where(~F.col("w").rlike("[0-9]"))
+    cuts = F.array_compact(F.array(F.col("w"), *[F.when((F.length("w") > len(e) + 2) & F.endswith("w", F.lit(e)), F.substring("w", F.lit(1), F.length("w") - len(e))) for e in _ENDINGS]))
+    w = w.withColumn("stems", cuts).where(~F.arrays_overlap("stems", "own")).select("pair_id", "w", F.explode("stems").alias("stem"))
+    found = w.join(known.withColumn("k", F.lit(True)), "stem", "left").groupBy("pair_id", "w").agg(F.max("k").alias("k"))
+    return found.where("k is null").select("pair_id", "w")
+
+
+@query("a14_garbled_by_cut")
+def a14_garbled_by_cut(spark, sf):
+    """Answers and garbled ones by how their context was cut (F20), with a subtotal of the clean cuts and a total."""
+    g = _garbled(spark, sf).select("pair_id").distinct().withColumn("garbled", F.lit(1))
+    x = old_cut(table(spark, sf, "pairs").where("answer is not null and context is not null"), "context").select("pair_id", "kind").join(g, "pair_id", "left")
+    x = x.withColumn("clean", F.col("kind") != "midphrase")
+    return x.rollup("clean", "kind").agg(F.count("*").alias("answers"), F.count("garbled").alias("garbled"))
 
 
 @query("f18_grounded", f"""select pair_id, len(list_filter({S.words('answer')}, lambda w: length(w) > 3 and not list_contains(list_transform({S.words("context || ' ' || prompt")}, lambda v: regexp_replace(v, 's$', '')), regexp_replace(w, 's$', '')))) = 0 as grounded
@@ -93,15 +118,21 @@ def f18_grounded(spark, sf):
 
 def longest_run(a: str, b: str) -> int:
     """words of the longest run that both have."""
-    x, y = a.lower().split(), b.lower().split()
-    best, row = 0, [0] * (len(y) + 1)
+    x, y = (re.findall("[a-z0-9]+", t.lower()) for t in (a, b))
+    at: dict[str, list[int]] = {}
+    for j, w in enumerate(y):
+        at.setdefault(w, []).append(j)
+    best, ending = 0, {}
     for w in x:
-        row = [0] + [row[j] + 1 if w == v else 0 for j, v in enumerate(y)]
-        best = max(best, *row)
+        ending = {j: ending.get(j - 1, 0) + 1 for j in at.get(w, ())}
+        best = max(best, *ending.values()) if ending else best
     return best
 
 
-@query("f17_longest_run")
+_RUNS = lambda w, k: f"list_transform(range(1, len({w}) - {k} + 2), lambda i: array_to_string({w}[i:i + {k} - 1], ' '))"
+
+
+@query("f17_longest_run", f"select pair_id, coalesce(list_max(list_filter(range(1, len(a) + 1), lambda k: list_has_any({_RUNS('a', 'k')}, {_RUNS('b', 'k')}))), 0)::int as words from (select pair_id, {S.words('answer')} as a, {S.words('context')} as b from pairs where answer is not null and context is not null)")
 def f17_longest_run(spark, sf):
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([longest_run(x, y) for x, y in zip(a, b)], dtype="int32")
@@ -110,6 +141,50 @@ def f17_longest_run(spark, sf):
     return table(spark, sf, "pairs").where("answer is not null and context is not null").select("pair_id", f("answer", "context").alias("words"))
 
 
+# Fixed value: the answer that is always allowed.
+IDK = "that one is not in my notes."
+# Words that need no support.
+_FREE = "a an the of in on at by for from to with and or is are was were be it its this that as".split()
+
+
+@query("pred11_valid_answers", f"""with x as (select pair_id, answer, {S.words('answer')} as a, {S.words("context || ' ' || prompt")} as own, {S.words('context')} as c from pairs where answer is not null and context is not null and prompt is not null)
+  select pair_id, answer = '{IDK}' or (len(a) between 1 and 12 and not contains(answer, chr(10)) and len(list_filter(a, lambda w: not list_contains({_FREE}, w) and not list_contains(list_transform(own, lambda v: case when length(v) > 3 and regexp_matches(v, '[^s]s$') then v[:-2] else v end), case when length(w) > 3 and regexp_matches(w, '[^s]s$') then w[:-2] else w end))) = 0
+    and not list_has_any({_RUNS('a', '7')}, {_RUNS('c', '7')})) as valid from x""")
+def pred11_valid_answers(spark, sf):
+    """One line of one to twelve words, all but small ones supported, no run of more than six of the context; or the standing reply."""
+    stem = lambda ws: F.transform(ws, lambda w: F.when((F.length(w) > 3) & w.rlike("[^s]s$"), F.regexp_replace(w, "s$", "")).otherwise(w))
+    p = table(spark, sf, "pairs").where("answer is not null and context is not null and prompt is not null")
+    a, own, c = T.word_list(F.col("answer")), T.word_list(F.concat_ws(" ", "context", "prompt")), T.word_list(F.col("context"))
+    free = F.array(*map(F.lit, _FREE))
+    supported = F.size(F.array_except(stem(F.filter(a, lambda w: ~F.array_contains(free, w))), stem(own))) == 0
+    short = F.size(a).between(1, 12) & ~F.contains("answer", F.lit("\n"))
+    return p.select("pair_id", ((F.col("answer") == IDK) | (short & supported & ~F.arrays_overlap(T.ngrams(a, 7), T.ngrams(c, 7)))).alias("valid"))
+
+
+_FIRST = "case when regexp_matches(context, '(?s)^.*?[.!?]\\s+[A-Z0-9\"''(]') then regexp_extract(context, '(?s)^(.*?[.!?])\\s+[A-Z0-9\"''(]', 1) else context end"
+_FULL = "case when contains(s[:80], ' ') then regexp_replace(s[:80], '(?s) [^ ]*$', '') else s[:80] end"
+_AT = "length(f) - length(regexp_replace(f, '(?s)^.*[,;]', ''))"
+
+
+@query("f20_old_cut", f"with x as (select pair_id, {_FIRST} as s from pairs where context is not null), y as (select pair_id, s, {_FULL} as f from x) select pair_id, case when length(s) <= 80 then s when regexp_matches(f, '[,;]') and {_AT} - 1 >= 40 then f[:{_AT} - 1] else f end as cut, case when length(s) <= 80 then 'sentence' when regexp_matches(f, '[,;]') and {_AT} - 1 >= 40 then 'clause' else 'midphrase' end as kind from y")
+def f20_old_cut(spark, sf):
+    """the first sentence, or 80 characters of it up to a clause from 40 on, or to a word."""
+    return old_cut(table(spark, sf, "pairs").where("context is not null"), "context").select("pair_id", "cut", "kind")
+
+
+def old_cut(df, text: str):
+    """df with cut and kind."""
+    first = F.regexp_extract(text, r"(?s)^(.*?[.!?])\s+[A-Z0-9\"'(]", 1)
+    x = df.withColumn("_s", F.when(first != "", first).otherwise(F.col(text)))
+    full = F.regexp_replace(F.substring("_s", 1, 80), r"(?s) [^ ]*\z", "")
+    x = x.withColumn("_f", F.when(F.contains(F.substring("_s", 1, 80), F.lit(" ")), full).otherwise(F.substring("_s", 1, 80)))
+    at = F.length("_f") - F.length(F.regexp_replace("_f", "(?s)^.*[,;]", ""))
+    clause = F.col("_f").rlike("[,;]") & (at - 1 >= 40)
+    whole = F.length("_s") <= 80
+    x = x.withColumn("cut", F.when(whole, F.col("_s")).when(clause, F.substring("_f", F.lit(1), at - 1)).otherwise(F.col("_f")))
+    return x.withColumn("kind", F.when(whole, "sentence").when(clause, "clause").otherwise("midphrase")).drop("_s", "_f")
+
+
 @query("m5_hashed_features", f"""with t as (select pair_id, unnest(list_concat({S.words('prompt')}, list_transform({S.words('prompt')}, lambda w: 'len' || length(w)))) as f from pairs where category = 'calc' and prompt is not null),
   h as (select pair_id, ('0x' || substr(md5(f), 1, 6))::int as h from t)
   select pair_id, h % 1024 as dim, greatest(-7, least(7, sum(case when h // 1024 % 2 = 0 then 1 else -1 end))) as v from h group by 1, 2""")
@@ -228,3 +303,62 @@ def v6_latency_rows(spark, sf):
 def late_loads(spark, sf):
     late = F.unix_micros("loaded_at") - F.unix_micros("created_at") > 2 * 86_400_000_000
     return table(spark, sf, "pairs").groupBy("category").agg(F.count_if(late).alias("late"), F.count_if(F.col("loaded_at").isNull()).alias("never"))
+
+
+_ACTUAL = "(select id, case when id like '%2' then upper(answer) when id like '%4' then null else answer end as actual from eval_suite where id not like '%9')"
+
+
+@query("v2_parity_verdicts", f"select e.id, case when e.answer is null then 'safety-pass' when o.actual is not distinct from e.answer and o.id is not null then 'exact' when o.actual = upper(e.answer) and e.id like '%12' then 'known-divergence' else 'FAIL' end as verdict from eval_suite e left join {_ACTUAL} o using (id)")
+def v2_parity_verdicts(spark, sf):
+    """V2: items without a right answer pass by not failing; others by the answer, or by the output that is on record for them."""
+    e = table(spark, sf, "eval_suite").select("id", "answer")
+    id_ = F.col("id")
+    actual = e.where(~id_.like("%9")).select("id", F.when(id_.like("%2"), F.upper("answer")).when(~id_.like("%4"), F.col("answer")).alias("actual"), F.lit(True).alias("ran"))
+    known = e.where(id_.like("%12")).select("id", F.upper("answer").alias("on_record"))
+    x = e.join(actual, "id", "left").join(known, "id", "left")
+    exact = F.col("ran").isNotNull() & F.col("actual").eqNullSafe(F.col("answer"))
+    return x.select("id", F.when(F.col("answer").isNull(), "safety-pass").when(exact, "exact").when(F.col("actual") == F.col("on_record"), "known-divergence").otherwise("FAIL").alias("verdict"))
+
+
+@query("v3_suite_coverage", "select id, scoring from (select id, scoring, answer, accept from auto_dev_40 union all select id, scoring, answer, accept from eval_suite) where scoring in ('regex', 'python-ast') and len(list_filter(accept, lambda a: regexp_matches(answer, a, 'i'))) = 0")
+def v3_suite_coverage(spark, sf):
+    """V3: items whose own answer doesn't pass them."""
+    cols = ["id", "scoring", "answer", "accept"]
+    x = table(spark, sf, "auto_dev_40").select(*cols).unionByName(table(spark, sf, "eval_suite").select(*cols)).where("scoring in ('regex', 'python-ast')")
+    ok = scoring.matches(F.col("answer"), F.col("accept"), F.col("answer"), F.col("scoring"))
+    return x.where(~F.coalesce(ok, F.lit(False))).select("id", "scoring")
+
+
+_REPORT = scoring._SCORED + "select split as run, category, count_if(coalesce(correct, false)) as ok, count(*) as n from scored group by 1, 2"
+
+
+@query("v5_run_summaries", f"select run, max(case when category = 'python' then ok || '/' || n end) as python, max(case when category = 'bugfix' then ok || '/' || n end) as bugfix, sum(ok)::bigint || '/' || sum(n)::bigint as overall from ({_REPORT}) group by 1")
+def v5_run_summaries(spark, sf):
+    """V5: report lines of each run (category, right/all) read back by a pattern, one summary row a run."""
+    s = scoring.scored(spark, sf).groupBy(F.col("split").alias("run"), "category").agg(F.count_if(F.coalesce("correct", F.lit(False))).alias("ok"), F.count("*").alias("n"))
+    lines = s.select("run", F.format_string("%-10s %d/%d", "category", "ok", "n").alias("line"))
+    x = lines.select("run", F.regexp_extract("line", r"^(\w+)\s", 1).alias("category"), F.regexp_extract("line", r"(\d+/\d+)$", 1).alias("rate"))
+    x = x.withColumn("ok", F.split_part("rate", F.lit("/"), F.lit(1)).cast("long")).withColumn("n", F.split_part("rate", F.lit("/"), F.lit(2)).cast("long"))
+    of = lambda c: F.max(F.when(F.col("category") == c, F.col("rate"))).alias(c)
+    return x.groupBy("run").agg(of("python"), of("bugfix"), F.concat(F.sum("ok").cast("string"), F.lit("/"), F.sum("n").cast("string")).alias("overall"))
+
+
+def spans(tags):
+    """M7: (begin, end) of a text's tags, from 1 on, behind its last: one B, then I in a row; null if they are broken, or there are none."""
+    first, last = F.array_position(tags, "B"), F.size(tags) - F.coalesce(F.nullif(F.array_position(F.reverse(tags), "I"), F.lit(0)), F.size(tags) - F.array_position(tags, "B") + 1) + 1
+    inside = F.slice(tags, F.greatest(F.lit(1), (first + 1).cast("int")), F.greatest(F.lit(0), (last - first).cast("int")))
+    whole = (first > 0) & (F.size(F.filter(tags, lambda t: t == "B")) == 1) & F.forall(inside, lambda t: t == "I") & (F.size(F.filter(tags, lambda t: t == "I")) == F.size(inside))
+    return F.when(whole, F.struct(first.cast("int").alias("begin"), (last + 1).cast("int").alias("end")))
+
+
+_TAGS = "list_transform(w, lambda x, i: case when i = 3 then 'B' when i > 3 and (i < 6 or x <> 'and') then 'I' else 'O' end)"
+
+
+@query("m7_tag_spans", f"""with t as (select pair_id, {_TAGS} as tags from (select pair_id, {S.words('prompt')} as w from pairs where category = 'transform' and prompt is not null)),
+  p as (select pair_id, tags, list_position(tags, 'B') as b, len(list_filter(tags, lambda x: x = 'I')) as n from t)
+  select pair_id, b::int as begin, (b + n + 1)::int as "end" from p where b > 0 and len(list_filter(tags[b + 1:b + n], lambda x: x <> 'I')) = 0""")
+def m7_tag_spans(spark, sf):
+    """M7: spans of tag sequences (here by place and word, an and breaks them); broken ones give none."""
+    x = table(spark, sf, "pairs").where("category = 'transform' and prompt is not null").select("pair_id", T.word_list(F.col("prompt")).alias("w"))
+    tags = F.transform("w", lambda v, i: F.when(i == 2, "B").when((i > 2) & ((i < 5) | (v != "and")), "I").otherwise("O"))
+    return x.select("pair_id", spans(tags).alias("s")).where("s is not null").select("pair_id", "s.begin", "s.end")

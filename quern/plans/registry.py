@@ -1,8 +1,8 @@
 """All queries and their SQL."""
 
-from quern.plans import corpus, files, knowledge, more, scoring, shaping
+from quern.plans import corpus, files, generators, knowledge, more, scoring, shaping
 
-MODULES = [corpus, scoring, shaping, knowledge, files, more]
+MODULES = [corpus, scoring, shaping, knowledge, files, more, generators]
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL: dict = {k: v for m in MODULES for k, v in m.SQL.items()}
 
@@ -19,6 +19,7 @@ _KINDS = {
     "a21_window_counts": {"unpadded": "bigint", "padded": "bigint"},
     "a12_flag_sums": {"no_prompt": "bigint", "no_answer": "bigint", "no_tier": "bigint", "with_context": "bigint"},
     "m5_hashed_features": {"dim": "bigint", "v": "bigint"},
+    "k2_shards": {"shard": "bigint"},
     "late_loads": {"late": "bigint", "never": "bigint"},
 }
 for _name, _cols in _KINDS.items():

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.functions.pycode import any_pattern, line_parses, parse_label, verdicts
+from quern.functions.pycode import any_pattern, compile_all, line_parses, parse_label, verdicts
 from quern.plans import sqltext as S
 from quern.session import table
 
@@ -117,16 +117,32 @@ def pred18_subset(spark, sf):
     return table(spark, sf, "eval_suite").where(F.regexp_extract("id", r"(\d+)$", 1).cast("int") % 5 == 1).select("id")
 
 
-@query("s3_suite_violations", """select id, reason from (
+_FAULTY = "(select id, prompt, answer, accept, scoring, max_new_tokens from eval_suite union all select id, prompt, answer, accept, scoring, max_new_tokens from auto_dev_40 union all select 'faulty-' || id, case when id like '%1' then '' else prompt end, case when id like '%2' then null else answer end, case when id like '%3' then [] when id like '%4' then ['(unclosed'] else accept end, case when id like '%5' then 'guess' when id like '%4' then 'regex' else scoring end, case when id like '%6' then 0 else max_new_tokens end from eval_suite)"
+
+
+@query("s3_suite_violations", f"""select id, reason from (
   select id, unnest(list_filter([case when prompt is null or prompt = '' then 'no_prompt' end, case when answer is null then 'no_answer' end, case when accept is null or len(accept) = 0 then 'no_accept' end,
-    case when scoring not in ('exact', 'contains', 'regex', 'python-ast', 'numeric', 'judge') then 'bad_scoring' end, case when max_new_tokens is null or max_new_tokens <= 0 then 'bad_limit' end,
-    case when count(*) over (partition by id) > 1 then 'duplicate_id' end], lambda x: x is not null)) as reason from (select id, prompt, answer, accept, scoring, max_new_tokens from eval_suite union all select id, prompt, answer, accept, scoring, max_new_tokens from auto_dev_40))""")
+    case when scoring not in ('exact', 'contains', 'regex', 'python-ast', 'numeric', 'judge') then 'bad_scoring' end, case when scoring in ('regex', 'python-ast') and len(list_filter(accept, lambda a: a = '(unclosed')) > 0 then 'bad_pattern' end,
+    case when max_new_tokens is null or max_new_tokens <= 0 then 'bad_limit' end, case when count(*) over (partition by id) > 1 then 'duplicate_id' end], lambda x: x is not null)) as reason from {_FAULTY})""")
 def s3_suite_violations(spark, sf):
+    """S3: all faults of both suites, and of a copy of one with planted faults, at once."""
     cols = ["id", "prompt", "answer", "accept", "scoring", "max_new_tokens"]
-    x = table(spark, sf, "eval_suite").select(*cols).unionByName(table(spark, sf, "auto_dev_40").select(*cols)).withColumn("n", F.count("*").over(Window.partitionBy("id")))
+    suite, id_ = table(spark, sf, "eval_suite").select(*cols), F.col("id")
+    bad = suite.select(
+        F.concat(F.lit("faulty-"), id_).alias("id"), F.when(id_.like("%1"), "").otherwise(F.col("prompt")).alias("prompt"), F.when(~id_.like("%2"), F.col("answer")).alias("answer"),
+        F.when(id_.like("%3"), F.array().cast("array<string>")).when(id_.like("%4"), F.array(F.lit("(unclosed"))).otherwise(F.col("accept")).alias("accept"), F.when(id_.like("%5"), "guess").when(id_.like("%4"), "regex").otherwise(F.col("scoring")).alias("scoring"),
+        F.when(id_.like("%6"), 0).otherwise(F.col("max_new_tokens")).alias("max_new_tokens"),
+    )
+    return suite_faults(suite.unionByName(table(spark, sf, "auto_dev_40").select(*cols)).unionByName(bad))
+
+
+def suite_faults(items: DataFrame) -> DataFrame:
+    """(id, reason) of every fault of items (id, prompt, answer, accept, scoring, max_new_tokens)."""
+    x = items.withColumn("n", F.count("*").over(Window.partitionBy("id")))
+    patterns = F.col("scoring").isin("regex", "python-ast") & ~compile_all("accept")
     rules = [
         F.when(F.col("prompt").isNull() | (F.col("prompt") == ""), "no_prompt"), F.when(F.col("answer").isNull(), "no_answer"), F.when(F.col("accept").isNull() | (F.size("accept") == 0), "no_accept"),
-        F.when(~F.col("scoring").isin("exact", "contains", "regex", "python-ast", "numeric", "judge"), "bad_scoring"), F.when(F.col("max_new_tokens").isNull() | (F.col("max_new_tokens") <= 0), "bad_limit"), F.when(F.col("n") > 1, "duplicate_id"),
+        F.when(~F.col("scoring").isin("exact", "contains", "regex", "python-ast", "numeric", "judge"), "bad_scoring"), F.when(patterns, "bad_pattern"), F.when(F.col("max_new_tokens").isNull() | (F.col("max_new_tokens") <= 0), "bad_limit"), F.when(F.col("n") > 1, "duplicate_id"),
     ]
     return x.select("id", F.explode(F.array_compact(F.array(*rules))).alias("reason"))
 

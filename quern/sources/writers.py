@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.numbering import numbered
+from quern.session import cut
+
 
 def jsonl(df: DataFrame, path: str, stats: str | None = None, by: str | None = None) -> None:
     """K1: fields in alphabetical order; with stats also counts by a column. A path that exists is an error (K7)."""
@@ -14,8 +17,9 @@ def jsonl(df: DataFrame, path: str, stats: str | None = None, by: str | None = N
 
 
 def shards(df: DataFrame, path: str, order: str, size: int) -> None:
-    """K2: files of at most size rows, ordered by range, so the order holds across files."""
-    df.repartitionByRange(order).sortWithinPartitions(order).write.mode("overwrite").option("maxRecordsPerFile", size).parquet(path)
+    """K2: a folder for each shard of size rows in order; rows are numbered in ranges, so any number of shards is written at once."""
+    x = numbered(df, [], [order], "_n").withColumn("shard", F.floor((F.col("_n") - 1) / size)).drop("_n")
+    x.repartition("shard").sortWithinPartitions("shard", order).write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
 def tsv(df: DataFrame, path: str) -> None:
@@ -26,13 +30,12 @@ def tsv(df: DataFrame, path: str) -> None:
 
 
 def append_missing(df: DataFrame, path: str, key: str) -> DataFrame:
-    """Appends the rows whose key isn't there yet, and returns them."""
+    """Appends the rows whose key isn't there yet, and returns them as they were appended."""
     spark = df.sparkSession
-    try:
-        done = spark.read.parquet(path).select(key).distinct()
-    except Exception:  # noqa: BLE001
-        done = None
-    todo = df if done is None else df.join(done, key, "left_anti")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    todo = df.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti") if there else df
+    todo = cut(todo, "todo")  # settled before the table changes
     todo.write.mode("append").parquet(path)
     return todo
 
@@ -42,7 +45,9 @@ def keyed(df: DataFrame, path: str, key: str, buckets: int = 64) -> None:
     df.repartition(buckets, key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
 
 
-def manifest(df: DataFrame, by: str) -> DataFrame:
-    """K9: one JSON object of counts and distincts by a column."""
-    g = df.groupBy(by).agg(F.count("*").alias("rows"), F.countDistinct("prompt").alias("prompts"), F.countDistinct("answer").alias("answers"))
-    return g.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce(by, F.lit("")).alias("k"), F.struct("rows", "prompts", "answers").alias("v")))))).alias("manifest"))
+def manifest(df: DataFrame, by: str, nested: str) -> DataFrame:
+    """K9: one JSON list: counts and distincts by a column, within it counts by another. Both columns have few values."""
+    k, t = F.coalesce(F.col(by), F.lit("")).alias("k"), F.coalesce(F.col(nested).cast("string"), F.lit("")).alias("tier")
+    g = df.groupBy(k).agg(F.count("*").alias("rows"), F.countDistinct("prompt").alias("prompts"), F.countDistinct("answer").alias("answers"))
+    s = df.groupBy(k, t).agg(F.count("*").alias("n")).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("tier", "n"))).alias("tiers"))
+    return g.join(s, "k").agg(F.to_json(F.array_sort(F.collect_list(F.struct("k", "rows", "prompts", "answers", "tiers")))).alias("manifest"))
