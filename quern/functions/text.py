@@ -136,10 +136,11 @@ def tool_form(c) -> Column:
 
 
 def gram_keys(words: Column, n: int) -> Column:
-    """F3 as pairs of 64-bit hashes: as distinct runs of n words, without their text."""
+    """F3 as pairs of 64-bit hashes, a run that stands twice given twice: a column of long arrays can be made distinct quickly, one of
+    pairs can't, so hits are made distinct where they are few."""
     none = F.array().cast("array<struct<a:bigint,b:bigint>>")
     pair = lambda w, i: F.struct(F.xxhash64(F.slice(w, i, n)).alias("a"), F.xxhash64(F.lit(n), F.slice(w, i, n)).alias("b"))
-    return once(words, lambda w: F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: pair(w, i)))).otherwise(none))
+    return once(words, lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: pair(w, i))).otherwise(none))
 
 
 # one expression for each text operation; vowels and letters are ASCII.

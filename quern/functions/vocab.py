@@ -5,6 +5,9 @@ from __future__ import annotations
 import heapq
 import struct
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
 #: The space of pieces, what stands for broken bytes, and the id of the first byte piece (after unknown, begin and end).
 SPACE, BROKEN, FIRST_BYTE, BOS = "▁", "�", 3, 1
 
@@ -77,3 +80,35 @@ def unpacked(blob: bytes) -> list[tuple[int, str, float]]:
         out.append((len(out), blob[at + 8 : at + 8 + n].decode("utf-8", "replace"), score))
         at += 8 + n
     return out
+
+
+def model_path(name: str = "piece_bpe_32k.model") -> str:
+    """Where a public tokenizer's file lies."""
+    try:
+        import public_tokenizers
+
+        return public_tokenizers.path(name)
+    except ImportError:
+        return f"/opt/tokenizers/{name}"
+
+
+def from_model(path: str | None = None) -> Vocabulary:
+    """Pieces and scores of a sentencepiece model file."""
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=path or model_path())
+    n = m.get_piece_size()
+    return Vocabulary([m.id_to_piece(i) for i in range(n)], [m.get_score(i) for i in range(n)])
+
+
+def encoded(df: DataFrame, id_col: str, text_col: str, vocabulary: Vocabulary) -> DataFrame:
+    """(id, ids, decoded) of every row, null texts included (no ids). The vocabulary, a file's worth, is broadcast; words are cached."""
+    known = df.sparkSession.sparkContext.broadcast((vocabulary.pieces, vocabulary.scores))
+
+    def run(batches):
+        v = Vocabulary(*known.value)
+        for b in batches:
+            ids = [v.encode(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([v.decode(x) for x in ids], pa.string())], names=[id_col, "ids", "decoded"])
+
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, ids array<int>, decoded string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import ngrams, normalize_key, word_list, word_set
+from quern.functions.text import gram_keys, ngrams, normalize_key, word_list, word_set
 
 NGRAM, LONG_ANSWER, OVERLAP = 8, 12, 0.8
 #: Evaluation tables up to this many bytes, as estimated from a count and the mean row, are broadcast; more are joined by shuffle.
@@ -48,12 +48,15 @@ def suite_hits(rows: DataFrame, id_col: str, items: DataFrame) -> DataFrame:
     J4, J5, J6 in one pass: each row's keys are exploded as hashes and meet the suite's keys, which
     are broadcast; only hits are shuffled.
     """
-    kinds = F.create_map(*[F.lit(x) for kv in (("prompt", 1), ("answer", 2), ("gram", 3)) for x in kv])
-    keys = eval_keys(items).select(kinds[F.col("kind")].alias("hit"), F.xxhash64("key").alias("a"), F.xxhash64(F.lit(1), "key").alias("b"))
-    whole = lambda c, k: F.transform(F.array(normalize_key(F.coalesce(c, F.lit("")))), lambda x: F.struct(F.lit(k).alias("hit"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
-    runs = lambda c: F.transform(ngrams(word_list(F.coalesce(c, F.lit(""))), NGRAM), lambda x: F.struct(F.lit(3).alias("hit"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
-    own = rows.select(id_col, F.explode(F.concat(whole("prompt", 1), whole("answer", 2), runs("prompt"), runs("answer"))).alias("k")).select(id_col, "k.hit", "k.a", "k.b")
-    return own.join(small(keys), ["hit", "a", "b"]).groupBy(id_col).agg(F.min("hit").alias("hit"))
+    def own_keys(df: DataFrame, *cols: str) -> DataFrame:
+        p, a = F.coalesce("prompt", F.lit("")), F.coalesce("answer", F.lit(""))
+        whole = lambda c, k, least: F.transform(F.filter(F.array(normalize_key(c)), lambda x: F.length(x) > least), lambda x: F.struct(F.lit(k).alias("hit"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(k), x).alias("b")))
+        runs = F.transform(F.concat(gram_keys(word_list(p), NGRAM), gram_keys(word_list(a), NGRAM)), lambda x: F.struct(F.lit(3).alias("hit"), x["a"].alias("a"), x["b"].alias("b")))
+        keys = F.concat(whole(p, 1, -1), whole(a, 2, LONG_ANSWER), runs)
+        return df.select(*cols, F.explode(keys).alias("k")).select(*cols, "k.hit", "k.a", "k.b")
+
+    keys = own_keys(items.where("prompt is not null")).distinct()
+    return own_keys(rows, id_col).join(small(keys), ["hit", "a", "b"]).groupBy(id_col).agg(F.min("hit").alias("hit"))
 
 
 def jaccard_join(left: DataFrame, right: DataFrame, threshold: float = OVERLAP, limit: int = BROADCAST_BYTES) -> DataFrame:

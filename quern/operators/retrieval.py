@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import questions as Q
@@ -103,7 +103,8 @@ def retrieved(questions: DataFrame, candidates: DataFrame, fields: DataFrame, ro
         hits = hits.unionByName(more.unionByName(cue).join(base, "key").select(*cols))
     best = decided(merged(hits), q, aliases)
     x = q.select("qid", "gate", "relation").join(best, "qid", "left").join(fields.withColumnRenamed("rel", "relation"), ["t", "relation"], "left")
-    context = rendered(F.col("t"), F.col("relation"), F.col("value"))
+    x = with_sentence(x, "relation")
+    context = F.col("sentence")
     status = (
         F.when(F.col("gate").isNotNull(), "gated").when(F.col("t").isNull(), "no_match").when(F.col("decision") == "ambiguous", "ambiguous")
         .when(F.col("value").isNull() | F.col("missing"), "field_missing").when(context.isNull(), "corrupt_kb").otherwise("answer_present")
@@ -113,20 +114,21 @@ def retrieved(questions: DataFrame, candidates: DataFrame, fields: DataFrame, ro
     return x.select("qid", status.alias("status"), reason.alias("reason"), "relation", F.col("t").alias("title"), "key", F.when(answered, F.col("value")).alias("value"), F.when(answered, context).alias("context"))
 
 
-def rendered(title: Column, rel: Column, value: Column) -> Column:
-    """a sentence for the value of each of the relations; null for a date that can't be one."""
-    t = F.regexp_replace(title, r" \([^()]*\)$", "")
-    date = F.when(value.rlike(r"^-?\d{1,4}(-(0[1-9]|1[0-2])(-(0[1-9]|[12]\d|3[01]))?)?$"), T.date_said(value))
-    bare = lambda d: F.regexp_replace(T.date_said(d), "^(?:on|in) ", "")
-    first, last = F.split_part(value, F.lit("/"), F.lit(1)), F.split_part(value, F.lit("/"), F.lit(2))
-    span = F.when(first == "", F.concat(t, F.lit(" ended "), T.date_said(last), F.lit("."))).otherwise(F.concat(t, F.lit(" was from "), bare(first), F.lit(" to "), bare(last), F.lit(".")))
-    say = lambda before, v, after=".": F.concat(t, F.lit(before), v, F.lit(after))
+def with_sentence(df: DataFrame, rel: str) -> DataFrame:
+    """df (t, rel, value) with a sentence for the value of each of the relations; null for a date that can't be one."""
+    value, r = F.col("value"), F.col(rel)
+    good = lambda d: F.when(d.rlike(r"^-?\d{1,4}(-(0[1-9]|1[0-2])(-(0[1-9]|[12]\d|3[01]))?)?$"), T.date_said(d))
+    dated = r.isin("birth_date", "death_date", "date_range")
+    first, last = F.split_part(value, F.lit("/"), F.lit(1)), F.when(F.contains(value, F.lit("/")), F.split_part(value, F.lit("/"), F.lit(2)))
+    df = df.withColumns({"_t": F.regexp_replace("t", r" \([^()]*\)$", ""), "_from": F.when(dated, good(first)), "_to": F.when(dated, good(last))})
+    t, say = F.col("_t"), lambda before, v, after=".": F.concat("_t", F.lit(before), v, F.lit(after))
+    bare = lambda c: F.regexp_replace(c, "^(?:on|in) ", "")
+    span = F.when(first == "", say(" ended ", F.col("_to"))).when(last.isNull(), say(" was ", F.col("_from"))).otherwise(F.concat(t, F.lit(" was from "), bare("_from"), F.lit(" to "), bare("_to"), F.lit(".")))
     article = F.when(F.lower(F.substring(value, 1, 1)).isin(*"aeiou"), " was an ").otherwise(" was a ")
     # The sentences.
     forms = {
-        "definition": value, "birth_date": say(" was born ", date), "death_date": say(" died ", date), "birth_place": say(" was born in ", value), "death_place": say(" died in ", value), "location": say(" is in ", value),
+        "definition": value, "birth_date": say(" was born ", F.col("_from")), "death_date": say(" died ", F.col("_from")), "birth_place": say(" was born in ", value), "death_place": say(" died in ", value), "location": say(" is in ", value),
         "surname": F.concat(F.lit("The last name of "), t, F.lit(" is "), value, F.lit(".")), "capital": F.concat(F.lit("The capital of "), t, F.lit(" is "), value, F.lit(".")), "occupation": F.concat(t, article, value, F.lit(".")),
-        "creator": say(" was created by ", value), "height": say(" is ", value, " tall."), "length": say(" is ", value, " long."), "quantity": say(" has a population of ", value),
-        "date_range": F.when(F.contains(value, F.lit("/")), span).otherwise(say(" was ", date)),
+        "creator": say(" was created by ", value), "height": say(" is ", value, " tall."), "length": say(" is ", value, " long."), "quantity": say(" has a population of ", value), "date_range": span,
     }
-    return F.coalesce(*[F.when(rel == r, c) for r, c in forms.items()])
+    return df.withColumn("sentence", F.coalesce(*[F.when(r == k, c) for k, c in forms.items()])).drop("_t", "_from", "_to")

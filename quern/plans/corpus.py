@@ -174,7 +174,7 @@ def j6_ngram8_contamination(spark, sf):
     suite = table(spark, sf, "eval_suite")
     keys = suite.select(F.explode(F.concat(*[T.gram_keys(T.word_list(F.coalesce(c, F.lit(""))), 8) for c in ("prompt", "answer")])).alias("k")).select("k.*").distinct()
     grams = table(spark, sf, "documents").where("text is not null").select("doc_id", F.explode(T.gram_keys(T.word_list(F.col("text")), 8)).alias("k")).select("doc_id", "k.*")
-    return grams.join(C.small(keys), ["a", "b"], "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared"))
+    return grams.join(C.small(keys), ["a", "b"], "left_semi").groupBy("doc_id").agg(F.countDistinct("a", "b").alias("shared"))
 
 
 @query(

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quern.functions import text as T
+from quern.functions import vocab
+from quern.operators import packing as P
+from quern.plans import sqltext as S
 from quern.session import scratch, table
-from quern.sources import readers, writers
+from quern.sources import readers, shards, writers
 from quern.streaming import dialogue
 
 QUERIES, SQL = {}, {}
@@ -76,6 +80,56 @@ def s5_xml_pages(spark, sf):
     return readers.xml_pages(spark, path).select("page_id", "t", "r")
 
 
+def _windows(spark, sf):
+    """Windows of the pairs' words as stand-in ids, with targets behind the prompt."""
+    ids = lambda c: F.transform(T.word_list(F.col(c)), lambda w: F.length(w) * 31 + F.ascii(w))
+    x = table(spark, sf, "pairs").where("prompt is not null and answer is not null").select("pair_id", ids("prompt").alias("p"), ids("answer").alias("a"))
+    x = x.select("pair_id", F.size("p").alias("n"), F.concat("p", "a").alias("seq"))
+    return x.select("pair_id", P.padded(F.col("seq"), 24).alias("ids"), P.padded(P.shifted_targets(F.col("seq"), F.col("n")), 24, -1).alias("tgt"))
+
+
+_WORDS = lambda c: f"list_transform({S.words(c)}, lambda w: length(w) * 31 + ascii(w))"
+
+
+@query("k3_window_faults", f"""with t as (select {_WORDS('prompt')} as p, list_concat({_WORDS('prompt')}, {_WORDS('answer')}) as ids from pairs where prompt is not null and answer is not null),
+  w as (select list_resize(list_transform(ids, lambda x, k: case when k >= len(p) and k < len(ids) then ids[k + 1] else -1 end)[1:24], 24, -1) as tgt, list_resize(ids[1:24], 24, 0) as ids from t)
+  select * from (select unnest(['all_masked', 'ids_range', 'targets_range']) as fault, unnest([count_if(list_max(tgt) < 0), count_if(list_max(ids) >= 500), count_if(list_max(tgt) >= 500)]) as n from w) where n > 0""")
+def k3_window_faults(spark, sf):
+    """Windows written as a split and checked."""
+    path = scratch(spark, "windows")
+    shards.write_windows(_windows(spark, sf), path, "train", 24, 500)
+    return shards.window_faults(spark, path, "train", 24, 500)
+
+
+@query("s10_random_windows")
+def s10_random_windows(spark, sf):
+    """Five hundred windows with replacement, cut behind their last target."""
+    return shards.random_windows(_windows(spark, sf), "pair_id", 500, 10, trim=True)
+
+
+@query("s11_keyed_lookup", "select page_id, t from wiki_pages where t in (select t from wiki_pages where page_id % 20 = 0)")
+def s11_keyed_lookup(spark, sf):
+    """A keyed table and what it has for some keys."""
+    path, pages = scratch(spark, "keyed"), table(spark, sf, "wiki_pages")
+    writers.keyed(pages.select("page_id", "t"), path, "t", 16)
+    return shards.lookup(spark, path, pages.where("page_id % 20 = 0").select("t"), "t")
+
+
+@query("k6_published_states", "select event_type, count(*) as n from events group by 1")
+def k6_published_states(spark, sf):
+    """K6: two states published one behind the other; readers see the last."""
+    path, e = scratch(spark, "published"), table(spark, sf, "events")
+    for df in (e.limit(0), e):
+        shards.publish(df.groupBy("event_type").agg(F.count("*").alias("n")), path, "done")
+    return shards.published(spark, path)
+
+
+@query("f40_scored_pieces")
+def f40_scored_pieces(spark, sf):
+    """every document's ids by a public vocabulary of scored pieces, and the text they give back."""
+    return vocab.encoded(table(spark, sf, "documents"), "doc_id", "text", vocab.from_model())
+
+
 def _messages(spark, sf):
     p = table(spark, sf, "pairs").where("prompt is not null and custom_id is not null")
     return p.select(F.col("custom_id").alias("session"), F.col("pair_id").cast("long").alias("seq"), F.col("prompt").alias("text"))
@@ -92,7 +146,7 @@ def st4_incremental_counts(spark, sf):
     e = table(spark, sf, "events")
     e.write.parquet(src)
     dialogue.incremental_counts(spark, src, e.schema, target, mark)
-    return spark.read.parquet(target)
+    return dialogue.latest(spark, target, ["event_type", "day"])
 
 
 @query("st5_event_windows", "select cast(floor(epoch_us(ts) / 600000000) * 600000000 as bigint) as start_us, event_type, count(*) as n from events group by 1, 2")

@@ -209,21 +209,20 @@ def r7_first_hit(spark, sf):
 # The words by which a question is routed.
 SHELL_WORDS = ["rm", "chmod", "folder", "files", "file", "copy", "rename", "job", "log"]
 PYTHON_WORDS = ["list", "dict", "tuple", "function", "items", "sort", "append", "python", "values", "strings"]
-FACT_WORDS = ["who", "where", "when", "capital", "founded", "built", "river", "known", "born", "location"]
 CUES = ["what", "who", "where", "when", "which", "why", "how"]
 
 
 @query("r1_route", f"""with t as (select pair_id, {S.words('prompt')} as w, lower(prompt) as p from pairs where prompt is not null)
-  select pair_id, case when len(w) = 0 then 'unknown' when regexp_matches(p, '[0-9] *(?:[-+*/]|plus|times|minus|percent of) *[0-9]') then 'calc'
+  select pair_id, case when len(w) = 0 or not regexp_matches(p, '[aeiouy0-9]') then 'unknown' when regexp_matches(p, '[0-9] *(?:[-+*/]|plus|times|minus|percent of) *[0-9]') then 'calc'
     when list_has_any(w, {SHELL_WORDS}) then 'shell' when list_has_any(w, {PYTHON_WORDS}) or regexp_matches(p, '[a-z]+_[a-z]+') then 'python'
-    when regexp_matches(p, '^(?:uppercase|spell|repeat|echo|say|first word|last word)') then 'text' when list_has_any(w, {FACT_WORDS}) then 'facts' else 'clarify' end as handler from t""")
+    when regexp_matches(p, '^(?:uppercase|spell|repeat|echo|say|first word|last word)') then 'text' when list_has_any(w, ['and', 'then', 'also']) and len(w) <= 3 then 'clarify' else 'facts' end as handler from t""")
 def r1_route(spark, sf):
     w, p = F.col("w"), F.col("p")
     x = table(spark, sf, "pairs").where("prompt is not null").select("pair_id", T.word_list(F.col("prompt")).alias("w"), F.lower("prompt").alias("p"))
     handler = (
-        F.when(F.size(w) == 0, "unknown").when(p.rlike("[0-9] *(?:[-+*/]|plus|times|minus|percent of) *[0-9]"), "calc").when(T.any_of(w, SHELL_WORDS), "shell")
+        F.when((F.size(w) == 0) | ~p.rlike("[aeiouy0-9]"), "unknown").when(p.rlike("[0-9] *(?:[-+*/]|plus|times|minus|percent of) *[0-9]"), "calc").when(T.any_of(w, SHELL_WORDS), "shell")
         .when(T.any_of(w, PYTHON_WORDS) | p.rlike("[a-z]+_[a-z]+"), "python").when(p.rlike("^(?:uppercase|spell|repeat|echo|say|first word|last word)"), "text")
-        .when(T.any_of(w, FACT_WORDS), "facts").otherwise("clarify")
+        .when(T.any_of(w, ["and", "then", "also"]) & (F.size(w) <= 3), "clarify").otherwise("facts")
     )
     return x.select("pair_id", handler.alias("handler"))
 

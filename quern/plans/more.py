@@ -12,7 +12,7 @@ from pyspark.sql.types import IntegerType
 from quern.functions import features
 from quern.functions import text as T
 from quern.operators.contamination import small
-from quern.operators.retrieval import rendered
+from quern.operators.retrieval import with_sentence
 from quern.plans import knowledge, scoring
 from quern.plans import sqltext as S
 from quern.session import table
@@ -290,7 +290,7 @@ def d6_date_text(spark, sf):
 def f37_rendered_facts(spark, sf):
     """A sentence for each field of each entity, by relation."""
     f = knowledge.entity_fields(knowledge.entities(table(spark, sf, "wiki_pages"))).where("not missing")
-    return f.select("t", "rel", rendered(F.col("t"), F.col("rel"), F.col("value")).alias("sentence"))
+    return with_sentence(f, "rel").select("t", "rel", "sentence")
 
 
 @query("v6_latency_rows", "select custom_id, epoch_us(received_at) - epoch_us(submitted_at) as wait_us from batch_results join request_shards using (custom_id)")

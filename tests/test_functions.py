@@ -55,7 +55,7 @@ def test_wiki():
     assert dates.iso(5, 13) is None and dates.iso(44, bc=True) == "-0044" and dates.iso(5, 0, 3) is None and dates.iso(0) is None
     assert [dates.said(x) for x in ("1920-01-03", "1950-06", "-0300", "1950-13", "x")] == ["3 January 1920", "June 1950", "300 BC", None, None] and dates.on_in("-0044-03-15") == "on" and dates.on_in("1950-06") == "in"
     assert wiki.fold("Él Niño – 3") == "el nino 3"
-    assert wiki.keys_for("The Foo Bar II (x)")[0] == "0the foo bar ii x"
+    assert wiki.keys_for("The Foo Bar II (x)")[0] == ("the foo bar ii x", 0)
     assert wiki.strip_markup("a{{b{{c}}d}}e") == "ae"
     assert len(wiki.context_sentence("word " * 60)) <= 100
 

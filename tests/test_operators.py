@@ -99,3 +99,31 @@ def test_style_ends():
         assert state["style"] == "echo"
         state = dialogue.turn(state, "hello")
     assert state["style"] is None
+
+
+def test_counts_of_several_runs(spark, tmp_path):
+    """Each input row counts once, over several runs; unchanged keys aren't written again."""
+    import datetime as dt
+
+    src, out, mark = (str(tmp_path / x) for x in ("src", "out", "mark"))
+    day = lambda d: dt.datetime(2024, 1, d)
+    schema = "event_type string, ts timestamp"
+    for rows in ([("a", day(1)), ("a", day(1)), ("b", day(2))], [("a", day(1)), ("c", day(3))], []):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+        dialogue.incremental_counts(spark, src, spark.createDataFrame([], schema).schema, out, mark)
+    assert sorted((r.event_type, r.n) for r in dialogue.latest(spark, out, ["event_type", "day"]).collect()) == [("a", 3), ("b", 1), ("c", 1)]
+    assert spark.read.parquet(out).where("event_type = 'b'").count() == 1
+
+
+def test_late_events_are_dropped_in_a_stream(spark, tmp_path):
+    """Windows of event time close an hour behind the latest event; what comes later isn't counted."""
+    import datetime as dt
+
+    src, out, mark = (str(tmp_path / x) for x in ("src", "out", "mark"))
+    at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    schema = "event_type string, ts timestamp_ntz"
+    for rows in ([("a", at(8)), ("a", at(8, 5)), ("b", at(12))], [("a", at(8, 9)), ("b", at(12, 1))], [("c", at(20))]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        q = dialogue.windowed(spark.readStream.schema(schema).parquet(src)).writeStream.outputMode("append").option("checkpointLocation", mark).trigger(availableNow=True).format("parquet").option("path", out).start()
+        q.awaitTermination()
+    assert sorted((r.event_type, r.n) for r in spark.read.parquet(out).collect()) == [("a", 2), ("b", 2)]

@@ -93,3 +93,19 @@ def test_publishing_and_order(spark, tmp_path):
         (tmp_path / name).write_text("\n".join(json.dumps({"k": "x", "n": r}) for r in rows) + "\n\n")
     x = K.ordered_lines(spark, str(tmp_path / "*.jsonl"), "k string, n int")
     assert [r.n for r in x.orderBy("place").collect()] == [1, 2, 3, 4] and x.groupBy("k").agg(F.min_by("n", "place")).first()[1] == 1
+
+
+def test_public_model_like_its_library(spark, sf):
+    import sentencepiece
+
+    from quern.functions import vocab
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=vocab.model_path())
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "text", "1 as ids")
+    got = {r.doc_id: (r.ids, r.decoded) for r in vocab.encoded(docs, "doc_id", "text", vocab.from_model()).collect()}
+    same = back = 0
+    for r in docs.collect():
+        ids, decoded = got[r.doc_id]
+        same += ids == (lib.encode(r.text) if r.text else [])
+        back += decoded == (r.text or "").replace("\u2581", " ")
+    assert len(got) == docs.count() and same >= 0.97 * len(got) and back >= 0.99 * len(got), (same, back, len(got))
