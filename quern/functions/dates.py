@@ -23,21 +23,25 @@ def iso(year: int, month: int = 0, day: int = 0, bc: bool = False) -> str | None
     return "-" * bc + "-".join([f"{year:04d}", *(f"{x:02d}" for x in (month, day) if x)])
 
 
-def scan(text: str) -> list[str]:
-    """Dates in order; those of expanded templates as they are; impossible ones left out."""
+def found(text: str) -> list[tuple[str, int, int]]:
+    """(date, begin, end) of each date in order; those of expanded templates as they are; impossible ones left out."""
     out = []
     for m in _PATTERN.finditer(text):
         values = list(m.groups())
-        if values[0]:
-            out.append(values[0])
-            continue
-        at = 1
-        for parts, _ in _WAYS:
+        date, at = values[0], 1
+        for parts, _ in _WAYS if not date else ():
             own = dict(zip(parts, values[at : at + len(parts)]))
             at += len(parts)
             if own["y"]:
-                out.append(iso(int(own["y"]), MONTHS[own["m"].lower()] if own.get("m") else 0, int(own.get("d") or 0), bool(own.get("e"))))
-    return [d for d in out if d]
+                date = iso(int(own["y"]), MONTHS[own["m"].lower()] if own.get("m") else 0, int(own.get("d") or 0), bool(own.get("e")))
+        if date:
+            out.append((date, m.start(), m.end()))
+    return out
+
+
+def scan(text: str) -> list[str]:
+    """The dates alone."""
+    return [d for d, _, _ in found(text)]
 
 
 def parts_of(date: str) -> tuple[int, int, int, bool] | None:
