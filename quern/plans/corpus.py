@@ -217,10 +217,20 @@ def j13_train_minus_dev_pairs(spark, sf):
 
 @query("j3_context_work_list", "select pair_id from pairs p where context is not null and not exists (from pairs q where q.prompt = p.prompt and q.context = p.context and q.answer is not null and q.pair_id <> p.pair_id)")
 def j3_context_work_list(spark, sf):
-    p = table(spark, sf, "pairs")
-    have = p.where("answer is not null and context is not null").select(F.col("prompt").alias("qp"), F.col("context").alias("qc"), F.col("pair_id").alias("qi"))
-    rows = p.where("context is not null").select("pair_id", "prompt", "context")
-    return rows.join(have, (rows["prompt"] == have["qp"]) & (rows["context"] == have["qc"]) & (rows["pair_id"] != have["qi"]), "left_anti").select("pair_id")
+    """Rows that no other row with the same prompt and context answers: the least and the greatest answered id of each such pair tell it."""
+    p = table(spark, sf, "pairs").where("context is not null")
+    have = p.where("answer is not null and prompt is not null").groupBy("prompt", "context").agg(F.min("pair_id").alias("low"), F.max("pair_id").alias("high"))
+    x = p.select("pair_id", "prompt", "context").join(have, ["prompt", "context"], "left")
+    other = (F.col("low") != F.col("pair_id")) | (F.col("high") != F.col("pair_id"))
+    return x.where(~F.coalesce(other, F.lit(False))).select("pair_id")
+
+
+@query("j3_short_answers", "select pair_id, first_value(answer) over (partition by prompt, context order by length(answer), answer rows between unbounded preceding and unbounded following) as short from pairs where context is not null and prompt is not null and answer is not null")
+def j3_short_answers(spark, sf):
+    """The other side: each row's shortest answer among those with its prompt and context, found by an aggregate and joined back."""
+    p = table(spark, sf, "pairs").where("context is not null and prompt is not null and answer is not null")
+    best = p.groupBy("prompt", "context").agg(F.min(F.struct(F.length("answer").alias("n"), "answer")).alias("m"))
+    return p.select("pair_id", "prompt", "context").join(best, ["prompt", "context"]).select("pair_id", F.col("m.answer").alias("short"))
 
 
 @query("pred10_answer_in_context", f"select pair_id, contains(concat(' ', {S.key('context')}, ' '), concat(' ', {S.key('answer')}, ' ')) as supported from pairs where context is not null and answer is not null")

@@ -15,7 +15,7 @@ from quern.operators.contamination import small
 from quern.operators.retrieval import with_sentence
 from quern.plans import knowledge, scoring
 from quern.plans import sqltext as S
-from quern.session import table
+from quern.session import cut, table
 
 QUERIES, SQL = {}, {}
 
@@ -214,7 +214,15 @@ def r3_relation(spark, sf):
 
 @query("l4_first_unique", f"select prompt from pairs where prompt is not null group by prompt order by {_H('4', 'prompt')}, prompt limit 200")
 def l4_first_unique(spark, sf):
-    return table(spark, sf, "pairs").where("prompt is not null").select("prompt").distinct().orderBy(T.hash_order("4", "prompt"), "prompt").limit(200)
+    return first_unique(table(spark, sf, "pairs").where("prompt is not null"), "prompt", "4", 200)
+
+
+def first_unique(df, col: str, seed: str, n: int):
+    """L4: the first n distinct values in the order of a hash; too few are an error."""
+    out = cut(df.select(col).distinct().orderBy(T.hash_order(seed, col), col).limit(n), "unique")
+    if out.count() < n:
+        raise ValueError(f"fewer than {n} values of {col}")
+    return out
 
 
 @query("l5_even_cycles", "select subject, unnest(range(case when row_number() over (order by subject) <= 37 % count(*) over () then 37 // count(*) over () + 1 else 37 // count(*) over () end)) as k from subjects")
@@ -270,10 +278,19 @@ def f26_noise(spark, sf):
     return table(spark, sf, "pairs").where("prompt is not null").select("pair_id", F.array_join(keep, " ").alias("noisy"))
 
 
-@query("pred13_wrapper_strip", f"select pair_id, case when ('0x' || substr({_H('w', 'pair_id')}, 1, 8))::bigint % 100 < 40 then regexp_replace(prompt, '^(?:please|hey|ok so|just wondering|next up)[,:]? +', '', 'i') else prompt end as prompt from pairs where prompt is not null")
+# What may stand before a question, with a colon behind it; and the tables' own.
+_WRAPS = [
+    "Answer briefly", "One more question", "Real quick", "Short answer please", "Simple question", "Just curious", "Mind answering this", "Tell me", "Quick question", "Here's a question", "Please answer", "Fact check", "Answer this", "For my homework", "Here's a quick one",
+    "Trivia question", "For the record", "Give me a one-word answer", "Just the answer", "Help me out here", "Briefly", "No explanation needed", "Can you tell me", "I need to know", "In one word", "Pop quiz",
+]
+_WRAP = "(?i)^(?:Q: )?(?:(?:I was wondering|I'm curious),? )?(?:(?:" + "|".join(_WRAPS) + "): )?(?:(?:please|hey|ok so|just wondering|next up)[,:]? +)?"
+
+
+@query("pred13_wrapper_strip", f"select pair_id, case when ('0x' || substr({_H('w', 'pair_id')}, 1, 8))::bigint % 100 < 40 then regexp_replace(prompt, {S.q(_WRAP)}, '') else prompt end as prompt from pairs where prompt is not null")
 def pred13_wrapper_strip(spark, sf):
+    """Two in five prompts, by hash, lose what stands before the question."""
     some = F.conv(F.substring(T.hash_order("w", "pair_id"), 1, 8), 16, 10).cast("long") % 100 < 40
-    return table(spark, sf, "pairs").where("prompt is not null").select("pair_id", F.when(some, F.regexp_replace("prompt", "(?i)^(?:please|hey|ok so|just wondering|next up)[,:]? +", "")).otherwise(F.col("prompt")).alias("prompt"))
+    return table(spark, sf, "pairs").where("prompt is not null").select("pair_id", F.when(some, F.regexp_replace("prompt", _WRAP, "")).otherwise(F.col("prompt")).alias("prompt"))
 
 
 _ISO = "case when n_chars is null then strftime(fetched_at, '%Y') when n_chars % 2 = 0 then strftime(fetched_at, '%Y-%m') else strftime(fetched_at, '%Y-%m-%d') end"

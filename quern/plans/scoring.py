@@ -117,6 +117,25 @@ def pred18_subset(spark, sf):
     return table(spark, sf, "eval_suite").where(F.regexp_extract("id", r"(\d+)$", 1).cast("int") % 5 == 1).select("id")
 
 
+_Q = lambda x: f"list_transform({x}, lambda v: greatest(-127, least(127, cast(floor(v * 100 + 0.5) as int))))"
+
+
+@query("m6_int8_head", f"""with m as (select label, list(mean order by pos) as w from (select label, pos, round(avg(v), 5) as mean from (select label, unnest(embedding)::double as v, generate_subscripts(embedding, 1) - 1 as pos from embeddings) group by 1, 2) group by 1),
+  h as (select label, {_Q("w")} as w from m), s as (select vec_id, h.label, list_sum(list_transform({_Q('embedding::double[]')}, lambda v, i: v * w[i]))::bigint as s from embeddings, h),
+  r as (select vec_id, label, s, row_number() over (partition by vec_id order by s desc, label) as k from s)
+  select a.vec_id, a.label as predicted, (a.s - b.s) * 256 // 10000 as margin from r a join r b on a.vec_id = b.vec_id and a.k = 1 and b.k = 2""")
+def m6_int8_head(spark, sf):
+    """M6: weights and vectors as hundredths in 8 bits, whole scores, the first of equal classes, the margin to the next in 256ths."""
+    q = lambda c: F.transform(c, lambda v: F.greatest(F.lit(-127), F.least(F.lit(127), F.floor(v.cast("double") * 100 + 0.5).cast("int"))))
+    mean = QUERIES["a18_mean_vector"](spark, sf).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "mean"))).alias("w"))
+    head = mean.select("label", q(F.transform("w", lambda x: x["mean"])).alias("w")).agg(F.array_sort(F.collect_list(F.struct("label", "w"))).alias("head"))
+    dot = lambda w: F.aggregate(F.zip_with(F.col("v"), w, lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x)
+    x = table(spark, sf, "embeddings").select("vec_id", q(F.col("embedding")).alias("v")).crossJoin(F.broadcast(head))  # one row: the classes' weights
+    ranked = F.sort_array(F.transform("head", lambda h: F.struct(dot(h["w"]).alias("s"), (-h["label"]).alias("l"))), asc=False)
+    x = x.select("vec_id", ranked.alias("r"))
+    return x.select("vec_id", (-F.col("r")[0]["l"]).alias("predicted"), F.floor((F.col("r")[0]["s"] - F.col("r")[1]["s"]) * 256 / 10000).alias("margin"))
+
+
 _FAULTY = "(select id, prompt, answer, accept, scoring, max_new_tokens from eval_suite union all select id, prompt, answer, accept, scoring, max_new_tokens from auto_dev_40 union all select 'faulty-' || id, case when id like '%1' then '' else prompt end, case when id like '%2' then null else answer end, case when id like '%3' then [] when id like '%4' then ['(unclosed'] else accept end, case when id like '%5' then 'guess' when id like '%4' then 'regex' else scoring end, case when id like '%6' then 0 else max_new_tokens end from eval_suite)"
 
 

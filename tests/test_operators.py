@@ -127,3 +127,16 @@ def test_late_events_are_dropped_in_a_stream(spark, tmp_path):
         q = dialogue.windowed(spark.readStream.schema(schema).parquet(src)).writeStream.outputMode("append").option("checkpointLocation", mark).trigger(availableNow=True).format("parquet").option("path", out).start()
         q.awaitTermination()
     assert sorted((r.event_type, r.n) for r in spark.read.parquet(out).collect()) == [("a", 2), ("b", 2)]
+
+
+def test_shares_and_first_values(spark):
+    import pytest
+
+    from quern.plans.more import first_unique
+    from quern.plans.shaping import share_totals
+
+    plan = spark.createDataFrame([("m", "a", 0.5), ("m", "b", 0.5), ("n", "a", 1.0)], "mix string, source string, target_share double")
+    assert {(r.mix, r.total, r.ok) for r in share_totals(plan, {("m", "a"): 0.25}).collect()} == {("m", 0.75, False), ("n", 1.0, True)} and all(r.ok for r in share_totals(plan).collect())
+    assert first_unique(plan, "source", "s", 2).count() == 2
+    with pytest.raises(ValueError):
+        first_unique(plan, "source", "s", 3)
