@@ -337,11 +337,13 @@ def v2_parity_verdicts(spark, sf):
     return x.select("id", F.when(F.col("answer").isNull(), "safety-pass").when(exact, "exact").when(F.col("actual") == F.col("on_record"), "known-divergence").otherwise("FAIL").alias("verdict"))
 
 
-@query("v3_suite_coverage", "select id, scoring from (select id, scoring, answer, accept from auto_dev_40 union all select id, scoring, answer, accept from eval_suite) where scoring in ('regex', 'python-ast') and len(list_filter(accept, lambda a: regexp_matches(answer, a, 'i'))) = 0")
+@query("v3_suite_coverage", "select id, scoring from (select id, scoring, answer, accept from auto_dev_40 union all select id, scoring, answer, accept from eval_suite union all select 'broken-' || id, scoring, 'x' || substr(answer, 3), accept from auto_dev_40) where scoring in ('regex', 'python-ast') and len(list_filter(accept, lambda a: regexp_matches(answer, a, 'i'))) = 0")
 def v3_suite_coverage(spark, sf):
-    """V3: items whose own answer doesn't pass them."""
+    """V3: items whose own answer doesn't pass them (here also copies with broken answers)."""
     cols = ["id", "scoring", "answer", "accept"]
-    x = table(spark, sf, "auto_dev_40").select(*cols).unionByName(table(spark, sf, "eval_suite").select(*cols)).where("scoring in ('regex', 'python-ast')")
+    dev = table(spark, sf, "auto_dev_40").select(*cols)
+    broken = dev.select(F.concat(F.lit("broken-"), "id").alias("id"), "scoring", F.concat(F.lit("x"), F.substring("answer", F.lit(3), F.length("answer"))).alias("answer"), "accept")
+    x = broken.unionByName(dev).unionByName(table(spark, sf, "eval_suite").select(*cols)).where("scoring in ('regex', 'python-ast')")
     ok = scoring.matches(F.col("answer"), F.col("accept"), F.col("answer"), F.col("scoring"))
     return x.where(~F.coalesce(ok, F.lit(False))).select("id", "scoring")
 

@@ -188,10 +188,11 @@ def a4_p95_floor_index(spark, sf):
     return _at_rank(n, "lang", "n", lambda total: F.floor(F.lit(0.95) * total) + 1, "p95")
 
 
-@query("a6_conflicting_results", "select custom_id, count(*) as deliveries, count(distinct result::varchar) as results from batch_results group by 1 having count(distinct result::varchar) > 1")
+@query("a6_conflicting_results", "select custom_id, count(*) as deliveries, count(distinct r) as results from (select custom_id, result::varchar as r from batch_results union all select custom_id, 'changed' from batch_results where custom_id like '%7') group by 1 having count(distinct r) > 1")
 def a6_conflicting_results(spark, sf):
-    """What should be the same in all deliveries of a request and isn't."""
+    """What should be the same in all deliveries of a request and isn't (here also changed copies of every tenth)."""
     r = table(spark, sf, "batch_results").select("custom_id", F.sha2(F.to_json("result"), 256).alias("h"))
+    r = r.unionByName(r.where("custom_id like '%7'").withColumn("h", F.lit("changed")))
     return r.groupBy("custom_id").agg(F.count("*").alias("deliveries"), F.countDistinct("h").alias("results")).where("results > 1")
 
 
