@@ -32,7 +32,7 @@ AUX = frozenset("did has have had will would old long many".split())
 FILL = frozenset("hi hello hey thanks thank now good morning afternoon evening ok okay yo".split())
 CUE_TYPO = "born died birth death birthday capital population surname occupation profession last name family where birthplace started founded established".split()
 CONVERSATION = frozenset(
-    "hi hello hey heyy hii hello chatds thanks thank thx thankyou ok okay cool fine good great nice yep yup yeah yes no nah lol lmao haha hehe sup wassup yo bye goodbye cya see ya later for now you too morning evening afternoon well doing im i am alright awesome sure dude bro mate much not nm nothing bored tired sad happy hiya howdy greetings friend k understood then laters tomorrow".split()
+    "hi hello hey heyy hii hello thanks thank thx thankyou ok okay cool fine good great nice yep yup yeah yes no nah lol lmao haha hehe sup wassup yo bye goodbye cya see ya later for now you too morning evening afternoon well doing im i am alright awesome sure dude bro mate much not nm nothing bored tired sad happy hiya howdy greetings friend k understood then laters tomorrow".split()
 )
 WHERE = frozenset("where place birthplace city town country state".split())
 CODE_OPS = frozenset("print return sort reverse loop function variable command dict".split())

@@ -222,7 +222,7 @@ def pred16_distinct_names(spark, sf):
     return a.join(F.broadcast(b), "n_regionkey").where(F.size(F.array_distinct(F.array("a", "b"))) == 2).select("a", "b")
 
 
-_BRAND = r"(?i)\b(?:chatgpt|openai|gpt-?\d|anthropic|claude|gemini|language model)\b"
+_BRAND = r"(?i)\b(?:chatgpt|openai|gpt-?\d|gemini|language model)\b"
 
 
 @query("pred12_identity_answers", f"select pair_id, case when regexp_matches(answer, {S.q(_BRAND)}) then 'i''m a tiny assistant that answers from its notes.' else answer end as answer from pairs where answer is not null")

@@ -53,7 +53,7 @@ _OUT = "out as (select i.id, arg_min(p.answer, p.pair_id) as output from auto_de
 _NORM = lambda x: f"regexp_replace(regexp_replace(lower({x}), '^[`\"'' \t]+|[`\"'' \t]+$', '', 'g'), '[.!?,;:]+$', '')"
 _ECHO = f"case when prompt <> '' and starts_with(lower(regexp_replace(output, {S.q(f'^[{S.SPACE}]+')}, '')), lower(prompt)) then substr(regexp_replace(output, {S.q(f'^[{S.SPACE}]+')}, ''), length(prompt) + 1) else output end"
 _LINE = f"coalesce(list_filter(list_transform(string_split_regex({_ECHO}, '\r\n|\r|\n'), lambda l: trim(regexp_replace(l, {S.q(f'[{S.SPACE}]+')}, ' ', 'g'))), lambda l: l <> '')[1], '')"
-_SCORED = f"""with {_OUT}, s0 as (select i.*, o.output, {_LINE} as line from auto_dev_40 i left join out o using (id)), s1 as (
+_SCORED = rf"""with {_OUT}, s0 as (select i.*, o.output, {_LINE} as line from auto_dev_40 i left join out o using (id)), s1 as (
   select *, {_NORM('line')} as norm from s0
 ), scored as (
   select id, split, category, tier, scoring, output is null as missing, length(line) > greatest(64, 8 * max_new_tokens) as over,
