@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from quern.functions import questions as Q
 from quern.functions import text as T
 from quern.operators.contamination import small
+from quern.session import cut
 
 # Weights of coverage, kind of key, prominence, corrected words and the field asked for; bounds and the gap of close candidates.
 W_COVER, W_KIND, W_PROM, W_TYPO, W_PRESENT, W_MISSING = 6, (8, 6, 4, -20), 1, 40, 60, 20
 POOL, TOP, GAP, FIXES, ALIAS_FLOOR = 8, 3, 12, 4, 500
+#: Keys and words of up to this many bytes each are broadcast; the driver holds both of them at once, some times over.
+BROADCAST_BYTES = 16 << 20
 
 
 def kb_words(keys: DataFrame) -> DataFrame:
@@ -35,7 +38,7 @@ def merged(hits: DataFrame) -> DataFrame:
 
 
 def decided(pool: DataFrame, questions: DataFrame, aliases: bool = False) -> DataFrame:
-    """(qid, t, key, cover, s1, s2, status): the best of the TOP by entity score, once the field asked for counts too.
+    """(qid, t, relation, key, cover, typo, s1, s2, decision): the best of the TOP by entity score, once the field asked for counts too.
 
     ambiguous: the next one covers as much and is within GAP; with aliases also what is below the confidence floor.
     """
@@ -49,7 +52,7 @@ def decided(pool: DataFrame, questions: DataFrame, aliases: bool = False) -> Dat
     close = (F.lead("cover").over(w) == F.col("cover")) & (F.col("s2") - F.lead("s2").over(w) <= GAP)
     x = x.withColumn("close", F.coalesce(close, F.lit(False))).withColumn("r", F.row_number().over(w)).where("r = 1")
     floor = ((F.col("cover") < F.col("total")) | (F.col("s1") < ALIAS_FLOOR)) if aliases else F.lit(False)
-    return x.select("qid", "t", "key", "cover", "typo", "s1", "s2", F.when(F.col("close") | floor, "ambiguous").otherwise("ok").alias("decision"))
+    return x.select("qid", "t", "relation", "key", "cover", "typo", "s1", "s2", F.when(F.col("close") | floor, "ambiguous").otherwise("ok").alias("decision"))
 
 
 def alias_keys(candidates: DataFrame) -> DataFrame:
@@ -71,13 +74,14 @@ def retrieved(questions: DataFrame, candidates: DataFrame, fields: DataFrame, ro
     """
     if aliases:
         candidates = candidates.unionByName(alias_keys(candidates))
-    words = kb_words(candidates)
+    words = cut(kb_words(candidates), "words")
     known = like_cues(words)
-    q = questions.select("qid", "question", Q.asked_udf(known, routed, aliases)("question").alias("a")).select("qid", "a.*")
+    # Written, since each of the many uses below would run Python over all questions and put its plan into this one again.
+    q = cut(questions.select("qid", Q.asked_udf(known, routed, aliases)("question").alias("a")).select("qid", "a.*"), "asked")
     has = fields.groupBy("t").agg(F.collect_set(F.when(~F.col("missing"), F.col("rel"))).alias("has"), F.collect_set(F.when(F.col("missing"), F.col("rel"))).alias("lacks"))
     base = candidates.join(has, "t", "left")
     none = F.array().cast("array<string>")
-    base = small(base.withColumn("has", F.coalesce("has", none)).withColumn("lacks", F.coalesce("lacks", none)))
+    base = small(cut(base.withColumn("has", F.coalesce("has", none)).withColumn("lacks", F.coalesce("lacks", none)), "base"), BROADCAST_BYTES)
     tried = q.where("gate is null").select("qid", "total", F.explode("keys").alias("k")).select("qid", "total", "k.*", F.lit(0).alias("typo"))
     hits = tried.join(base, "key")
     full = Window.partitionBy("qid")
@@ -89,11 +93,12 @@ def retrieved(questions: DataFrame, candidates: DataFrame, fields: DataFrame, ro
     cols = ["qid", "key", "cover", "typo", "ord", "rank", "t", "kind", "prom", "has", "lacks"]
     hits = hits.select(*cols)
     if expand:
+        hits = cut(hits, "hits")
         solved = hits.join(q.select("qid", "total"), "qid").where("cover = total").select("qid").distinct()
         open_ = q.where("gate is null and total > 0").join(solved, "qid", "left_anti")
         word = open_.select("qid", F.explode(F.filter(F.transform(F.arrays_zip("words", "flags"), lambda x: F.when((x["flags"] == 1) & (F.length(x["words"]) >= Q.CONTENT_MIN), x["words"])), lambda x: x.isNotNull())).alias("w")).distinct()
         asked_words = word.select("w").distinct().join(words.select("w"), "w", "left_anti")  # words that no key has
-        near = asked_words.select("w", F.explode(T.variants(F.col("w"))).alias("v")).join(small(words.where("length(w) >= 3").select(F.col("w").alias("to"), "df", F.explode(T.variants(F.col("w"))).alias("v"))), "v")
+        near = asked_words.select("w", F.explode(T.variants(F.col("w"))).alias("v")).join(small(words.where("length(w) >= 3").select(F.col("w").alias("to"), "df", F.explode(T.variants(F.col("w"))).alias("v")), BROADCAST_BYTES), "v")
         near = near.select("w", "to", "df").distinct().where(T.edit1(F.col("w"), F.col("to")))
         best = near.withColumn("r", F.row_number().over(Window.partitionBy("w").orderBy(F.col("df").desc(), "to"))).where(F.col("r") <= FIXES)
         fixes = best.groupBy("w").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "to"))), lambda x: x["to"]).alias("to"))
@@ -101,9 +106,9 @@ def retrieved(questions: DataFrame, candidates: DataFrame, fields: DataFrame, ro
         more = open_.join(of, "qid").select("qid", F.explode(Q.fixed_keys_udf("words", "flags", "fixes")).alias("k")).select("qid", "k.*")
         cue = open_.where("cue_entity").select("qid", F.explode("keys").alias("k")).select("qid", "k.key", "k.cover", F.lit(0).alias("typo"), "k.ord")
         hits = hits.unionByName(more.unionByName(cue).join(base, "key").select(*cols))
-    best = decided(merged(hits), q, aliases)
-    x = q.select("qid", "gate", "relation").join(best, "qid", "left").join(fields.withColumnRenamed("rel", "relation"), ["t", "relation"], "left")
-    x = with_sentence(x, "relation")
+    best = decided(merged(hits), q, aliases).join(fields.withColumnRenamed("rel", "relation"), ["t", "relation"], "left")
+    best = with_sentence(best, "relation").drop("relation")
+    x = q.select("qid", "gate", "relation").join(best, "qid", "left")
     context = F.col("sentence")
     status = (
         F.when(F.col("gate").isNotNull(), "gated").when(F.col("t").isNull(), "no_match").when(F.col("decision") == "ambiguous", "ambiguous")

@@ -377,12 +377,14 @@ def r9_dispatch(spark, sf):
     pages = table(spark, sf, "wiki_pages")
     x = knowledge.entities(pages)
     p = table(spark, sf, "pairs").where("prompt is not null").select(F.col("pair_id").alias("qid"), F.col("prompt").alias("question"))
-    kb = retrieval.retrieved(p, cut(knowledge.key_candidates(pages, x), "keys"), knowledge.entity_fields(x).drop("prov")).where("status in ('answer_present', 'ambiguous')").select("qid", "status", "context")
-    op = R.struct_udf(R.text_request, ["op", "output"])("question")
     value = F.split_part(calc.calc_udf()(F.concat(F.lit("calc("), calc.spoken_udf()("question"), F.lit(")"))), F.lit(" = "), F.lit(2))
-    y = p.select("qid", op["output"].alias("text"), F.nullif(value, F.lit("")).alias("calc")).join(kb, "qid", "left")
-    stage = F.when(F.col("text").isNotNull(), "text").when(F.col("calc").isNotNull(), "calc").when(F.col("status") == "answer_present", "facts").otherwise("clarify")
-    return y.select(F.col("qid").alias("pair_id"), stage.alias("stage"), F.coalesce("text", "calc", "context").alias("answer"))
+    text = R.struct_udf(R.text_request, ["op", "output"])("question")["output"]
+    y = cut(p.select("qid", "question", text.alias("text"), F.nullif(value, F.lit("")).alias("calc")), "stages")  # Python reads each prompt once
+    done = y.where("text is not null or calc is not null").select("qid", F.when(F.col("text").isNotNull(), "text").otherwise("calc").alias("stage"), F.coalesce("text", "calc").alias("answer"))
+    rest = y.where("text is null and calc is null").select("qid", "question")
+    kb = retrieval.retrieved(rest, cut(knowledge.key_candidates(pages, x), "keys"), cut(knowledge.entity_fields(x).drop("prov"), "fields"))
+    asked = kb.select("qid", F.when(F.col("status") == "answer_present", "facts").otherwise("clarify").alias("stage"), F.col("context").alias("answer"))
+    return done.unionByName(asked).withColumnRenamed("qid", "pair_id")
 
 
 @query("j19_unrelated_contexts", """with p as (select t, w, row_number() over (order by page_id) - 1 as pos, count(*) over () as n from wiki_pages where r is null and w is not null and t is not null)

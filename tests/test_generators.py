@@ -39,3 +39,17 @@ def test_requests_parse_and_look_alikes_do_not(spark, sf):
 
 def test_longest_run():
     assert longest_run("a b c d", "x b c, d") == 3 and longest_run("a", "") == 0 and longest_run("a a a", "a a") == 2
+
+
+def test_dispatch_asks_each_prompt_once(spark, tmp_path):
+    """Every prompt gets its first stage; the plan keeps to one reading of the questions, whose copies filled the driver."""
+    pages = [(1, "Norland", None, 50_000, "{{Infobox country\n| name = Norland\n| capital = [[Velga]]\n}}\n'''Norland''' is a country in the north of the old continent, with many rivers."), (2, "Mercury (planet)", None, 30_000, "'''Mercury''' is the smallest planet and is the closest one to the sun of them all."), (3, "Mercury (element)", None, 30_100, "'''Mercury''' is a chemical element that is liquid at room temperature, unlike others.")]
+    want = {
+        "uppercase kettle": ("text", "KETTLE"), "what is five plus six": ("calc", "11"), "what is 5 divided by 0": ("calc", "error"), "what is the capital of Norland": ("facts", "The capital of Norland is Velga."), "what is the captial of norlnad": ("facts", "The capital of Norland is Velga."),
+        "what is mercury": ("clarify", None), "who is Zed Quux": ("clarify", None), "hello you": ("clarify", None), "print(x)": ("clarify", None), "": ("clarify", None),
+    }
+    spark.createDataFrame(pages, "page_id long, t string, r string, n long, w string").write.parquet(f"{tmp_path}/wiki_pages.parquet")
+    spark.createDataFrame([*enumerate(want), (99, None)], "pair_id long, prompt string").write.parquet(f"{tmp_path}/pairs.parquet")
+    df = G.QUERIES["r9_dispatch"](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == sorted((i, *x) for i, x in enumerate(want.values()))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") <= 2
