@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from itertools import batched, chain
+from operator import add
 from zlib import crc32
 
 import numpy as np
@@ -51,10 +54,13 @@ def skeleton(col):
     c = F.coalesce(col, F.lit(""))
     c = F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(c, "’‘“”«»–—…  ​﻿", "''\"\"\"\"--.  ")).otherwise(c)
     c = F.regexp_replace(c, r"\s{2,}|[^\S ]", " ")
-    c = F.regexp_replace(c, r"\b\w*_\w*\b|\b[a-z]+(?:[A-Z][a-z0-9]+)+\b", "I")
-    c = F.regexp_replace(c, r"\b[A-Z][a-z]+\b", "N")
+    c = F.regexp_replace(c, r"\b(?:[a-zA-Z0-9]*+_\w*+|[a-z]++(?:[A-Z][a-z0-9]++)++)\b", "I")
+    c = F.regexp_replace(c, r"[A-Z](?<=\b[A-Z])[a-z]++\b", "N")
     c = F.regexp_replace(c, r"\d+", "0")
-    return F.regexp_replace(c, r"^[\s\"'`*]+|(?:[\s.!?\"'`*]|\s[,;:-])+$", "")
+    cut_ = F.rtrim(c, F.lit(" .!?\"'`*"))
+    # Only behind these marks (or line ends beyond ASCII, which $ skips) the pattern would find more; it tries each position, so it is slow.
+    more = F.right(cut_, F.lit(1)).isin(*",;:-\u0085\u2028\u2029")
+    return F.when(more, F.regexp_replace(c, r"^[\s\"'`*]+|(?:[\s.!?\"'`*]|\s[,;:-])+$", "")).otherwise(F.ltrim(cut_, F.lit(" \"'`*")))
 
 
 def case_lost(col):
@@ -90,6 +96,7 @@ def cased_skeleton(answer: str, known) -> str:
 
 _WORD = re.compile(r"[^\W\d_]+")
 _PURE = re.compile(r"(?<![\w./(\[])[^\W\d_]+(?![\w(\[]|[./]\w)")
+_PURE_ASCII = re.compile(r"(?<![A-Za-z0-9_./(\[])[A-Za-z]++(?![A-Za-z0-9_(\[]|[./][A-Za-z0-9_])")  # the same; plain classes are faster
 
 
 def language_words(text: str) -> list[str]:
@@ -97,8 +104,8 @@ def language_words(text: str) -> list[str]:
     text = visible(text)
     if text.isupper():
         text = text.lower()
-    ws = _PURE.findall(text)
-    low = [w for w in ws if w.islower()]
+    ws = (_PURE_ASCII if text.isascii() else _PURE).findall(text)
+    low = list(filter(str.islower, ws))
     if len(low) * 2 < len(ws):
         return [w.lower() for w in ws]
     if len(low) < len(ws) and not ws[0].islower() and not (len(ws) > 1 and ws[1][0].isupper()):
@@ -109,6 +116,9 @@ def language_words(text: str) -> list[str]:
 def _grams(w: str) -> list[int]:
     w = f" {w} "
     n = len(w)
+    if w.isascii():
+        b = w.encode()
+        return [crc32(b[i : i + k]) & (BUCKETS - 1) for k in (1, 2, 3, 4) for i in range(n - k + 1)]
     return [crc32(w[i : i + k].encode("utf-8", "replace")) & (BUCKETS - 1) for k in (1, 2, 3, 4) for i in range(n - k + 1)]
 
 
@@ -134,40 +144,63 @@ class Languages:
 
     def posteriors(self, texts: list[list[str]], weights: np.ndarray | None = None) -> np.ndarray:
         """Of each list of words, its evidence weighted: texts x languages."""
+        s = self.evidence(texts)
+        return self.shares(s if weights is None else s * weights[:, None])
+
+    def evidence(self, texts: list[list[str]]) -> np.ndarray:
+        """Sums of the words' log likelihoods: texts x languages."""
         if len(self.at) > 60_000:
             self.at, self.rows = {}, np.zeros((1000, len(LANGS)), np.float32)
         at = self.at
-        new = list(dict.fromkeys(w for ws in texts for w in ws if w not in at))
+        words = list(chain.from_iterable(texts))
+        new = [w for w in dict.fromkeys(words) if w not in at]
         if new:
             n = len(at)
             if n + len(new) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros((n + len(new), len(LANGS)), np.float32)])
-            for w in new:
-                self.rows[len(at)] = self.logp[_grams(w)].sum(axis=0) * POWER
-                at[w] = len(at)
+            for some in batched(new, 2_000):
+                grams = list(map(_grams, some))
+                size = np.fromiter(map(len, grams), np.int64, len(grams))
+                rows = self.logp[np.fromiter(chain.from_iterable(grams), np.int64, int(size.sum()))]
+                self.rows[len(at) : len(at) + len(some)] = np.add.reduceat(rows, np.cumsum(size) - size) * POWER
+                at.update(zip(some, range(len(at), len(at) + len(some))))
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         s = np.zeros((len(texts), len(LANGS)))
         if size.any():
-            flat = np.fromiter((at[w] for ws in texts for w in ws), np.int64, int(size.sum()))
+            flat = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
             some = np.nonzero(size)[0]
             s[some] = np.add.reduceat(self.rows[flat], (np.cumsum(size) - size)[some], axis=0)
-        if weights is not None:
-            s *= weights[:, None]
-        s += self.prior
+        return s
+
+    def shares(self, evidence: np.ndarray) -> np.ndarray:
+        s = evidence + self.prior
         s = np.exp(s - s.max(axis=1, keepdims=True))
         return s / s.sum(axis=1, keepdims=True)
 
 
+def spread(by_word: list[dict[str, float]], total: np.ndarray) -> None:
+    """Add the n-grams of each language's counted words to total (BUCKETS x languages), and forget the words."""
+    for k, own in enumerate(by_word):
+        for some in batched(own.items(), 10_000):
+            grams = [_grams(w) for w, _ in some]
+            n = np.repeat([float(n) for _, n in some], list(map(len, grams)))
+            total[:, k] += np.bincount(np.fromiter(chain.from_iterable(grams), np.int64, len(n)), n, BUCKETS)
+        own.clear()
+
+
 def labelled(docs: DataFrame, size: int = LABELLED) -> np.ndarray:
     """N-gram counts of a bounded sample of documents whose lang is known (about size rows, by hash of the id)."""
     known = docs.select("doc_id", F.lower(F.trim("lang")).alias("lang"), "text").where(F.col("lang").isin(LANGS) & F.col("text").isNotNull())
     share = max(1, docs.count() // size)
 
     def run(batches):
-        total = np.zeros((BUCKETS, len(LANGS)))
+        total, by_word = np.zeros((BUCKETS, len(LANGS))), [Counter() for _ in LANGS]
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                np.add.at(total[:, LANGS.index(lang)], [g for w in language_words(text) for g in _grams(w)], 1)
+                by_word[LANGS.index(lang)].update(language_words(text))
+            if sum(map(len, by_word)) > 200_000:
+                spread(by_word, total)
+        spread(by_word, total)
         r, c = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(r * len(LANGS) + c), pa.array(total[r, c])], names=["cell", "n"])
 
@@ -195,17 +228,11 @@ def refined(asked: DataFrame, base: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         by_word: list[dict[str, float]] = [{} for _ in LANGS]
         done: set[str] = set()
 
-        def spread():
-            for k, own in enumerate(by_word):
-                for w, n in own.items():
-                    np.add.at(total[:, k], _grams(w), n)
-                own.clear()
-
         for b in batches:
             if len(done) > 200_000:
                 done.clear()
             if sum(map(len, by_word)) > 200_000:
-                spread()
+                spread(by_word, total)
             asked_ = []
             for p, a, n in zip(*(c.to_pylist() for c in b.columns)):
                 if a not in done:  # each answer once, whatever its prompts
@@ -221,10 +248,11 @@ def refined(asked: DataFrame, base: np.ndarray) -> tuple[np.ndarray, np.ndarray,
                     asked_.append((*halves, n))
             if not asked_:
                 continue
-            both = model.posteriors([p + a for p, a, _ in asked_])
+            each = [model.evidence([x[i] for x in asked_]) for i in (0, 1)]
+            both = model.shares(each[0] + each[1])
             best = both.argmax(axis=1)
             sure = both[np.arange(len(best)), best] >= 0.95
-            alone = [model.posteriors([x[i] for x in asked_])[np.arange(len(best)), best] > 0.9 for i in (0, 1)]
+            alone = [model.shares(x)[np.arange(len(best)), best] > 0.9 for x in each]
             for r, (*halves, n) in enumerate(asked_):
                 if sure[r]:
                     k = best[r]
@@ -234,7 +262,7 @@ def refined(asked: DataFrame, base: np.ndarray) -> tuple[np.ndarray, np.ndarray,
                             for w in halves[i]:
                                 own[w] = own.get(w, 0.0) + root
                     sums[k] += n
-        spread()
+        spread(by_word, total)
         r, c = np.nonzero(total)
         y, z = np.nonzero(refusing)
         at = (BUCKETS + 1) * len(LANGS)
@@ -316,17 +344,23 @@ _INTRO = re.compile(
     r"^(?:(?:again|hey|hi|hello|ok so|okay so|so|please help|please|if you have a second|just wondering|next up|one thing|for my notes|small one|you asked|you wrote|you said|the question is|the question was|question|your question|prompt|q|here is your question|you want to know|to repeat|repeat)\s+)+"
 )
 _OUTRO = re.compile(r"(?:\s+(?:please|thanks|thank you|today|soon|quick answer|short answer|quickly))+$")
+_OUTRO_ENDS = ("please", "thanks", "you", "today", "soon", "answer", "quickly")
 
 
 _PLAIN = re.compile(r"[^\W_]+")
+_PLAIN_ASCII = bytes(ord(chr(i).lower()) if i < 128 and chr(i).isalnum() else 32 for i in range(256))
 
 
 def plain(s: str) -> str:
+    if s.isascii():
+        return " ".join(s.encode().translate(_PLAIN_ASCII).decode().split())
     return " ".join(_PLAIN.findall(visible(s).lower()))
 
 
 def core(s: str) -> str:
-    return _OUTRO.sub("", _INTRO.sub("", s))
+    if m := _INTRO.match(s):
+        s = s[m.end() :]
+    return _OUTRO.sub("", s) if s.endswith(_OUTRO_ENDS) else s
 
 
 def is_copy(p: str, a: str) -> bool:
@@ -334,7 +368,7 @@ def is_copy(p: str, a: str) -> bool:
     if len(a) < len(p) * 0.6 or not p:
         return False
     ws = p.split()
-    if a.count(" ") > 2 and sum(w in a for w in ws) * 2 < len(ws):
+    if a.count(" ") > 2 and sum(map(a.__contains__, ws)) * 2 < len(ws):
         return False
     c = core(p)
     if not c or len(c.split()) < 2:
@@ -356,13 +390,14 @@ def _alike(a: str, b: str) -> bool:
 
 
 _ABOUT = r"(?:answer|discuss|respond|reply|comment|talk|help|assist|fulfil|fulfill|process|comply|go into|do that|do this|say anything|engage|provide|share|continue|give)\b"
+# Each alternative begins with a word boundary, which re so looks for once, not once for each.
 _REFUSAL = re.compile(
     r"\bas an? (?:ai|artificial intelligence|language model|assistant|ai assistant|ai language model|chatbot)\b"
     rf"|\bi(?: ?['`]?m| am| was)? (?:sorry but i )?(?:can ?not|can ?['`]?t|could not|couldn ?['`]?t|will not|won ?['`]?t|shall not|do not want to|don ?['`]?t want to|must refuse to|have to refuse to|must decline to|decline to|refuse to|unable to|not able to|not allowed to|not permitted to|not willing to|prefer not to) {_ABOUT}"
     rf"|\bunable to {_ABOUT}|\bi ?['`]?(?:d| would) rather not\b|\bi (?:must|have to) decline\b|\bi have no way to do that\b|\bam not meant for\b"
     r"|\bgoes against (?:the |my |our )?(?:policy|policies|rules|guidelines|what is permitted)|\b(?:my|our) (?:guidelines|instructions|policy|rules|policies|principles|training|settings|developers|makers) (?:forbid|forbids|keep|keeps|prevent|prevents|stop|stops|prohibit|prohibits|do not|does not|don ?['`]?t|doesn ?['`]?t|won ?['`]?t|tell me not)\b|\b(?:against|outside|beyond) my (?:rules|instructions|guidelines|policy|policies|scope|remit|principles)\b"
     r"|\b(?:this|that|such a thing|it) is (?:not something i do|something i (?:have to|must) decline|outside of what i|outside what i|beyond what i)\b"
-    r"|\bi ?['`]?(?:d| would) prefer (?:to not|not to)\b|\bnot comfortable (?:enough )?(?:to|with|about|answering|discussing|talking)\b|\b(?:would|will|might) be \w+ (?:for|of) me to\b|\b(?:would|will|might) be (?:wrong|irresponsible|improper|inappropriate|unsafe|unwise|unethical) to (?:answer|reply|respond|give|discuss|comment|go into|talk|help|say)\b|^(?:sorry |hmm |thanks for asking )?no can do\b|\binappropriate for me\b|^(?:sorry |hmm |thanks for asking )?no comment\b|\blet ?['`]?(?:s| us) (?:talk about|discuss|move on to|try) something else\b|\bi(?: ?['`]?ll| will| would| have to| must) (?:have to )?pass on (?:this|that)\b|\bi have been (?:told|instructed) not to\b|\bnot in a position to\b|\bnope not doing (?:that|this)\b|\bnot possible for me to\b|\bnothing i (?:may|can) say\b|\b(?:must|has to) stay unanswered\b|\bi have to leave open\b|\bstays unanswered\b|\bno answer from me\b|\bi (?:do not|don ?['`]?t) have opinions\b"
+    r"|\bi ?['`]?(?:d| would) prefer (?:to not|not to)\b|\bnot comfortable (?:enough )?(?:to|with|about|answering|discussing|talking)\b|\b(?:would|will|might) be \w+ (?:for|of) me to\b|\b(?:would|will|might) be (?:wrong|irresponsible|improper|inappropriate|unsafe|unwise|unethical) to (?:answer|reply|respond|give|discuss|comment|go into|talk|help|say)\b|\b^(?:sorry |hmm |thanks for asking )?no can do\b|\binappropriate for me\b|\b^(?:sorry |hmm |thanks for asking )?no comment\b|\blet ?['`]?(?:s| us) (?:talk about|discuss|move on to|try) something else\b|\bi(?: ?['`]?ll| will| would| have to| must) (?:have to )?pass on (?:this|that)\b|\bi have been (?:told|instructed) not to\b|\bnot in a position to\b|\bnope not doing (?:that|this)\b|\bnot possible for me to\b|\bnothing i (?:may|can) say\b|\b(?:must|has to) stay unanswered\b|\bi have to leave open\b|\bstays unanswered\b|\bno answer from me\b|\bi (?:do not|don ?['`]?t) have opinions\b"
 )
 # Fixed value: the assistant's standing reply when its notes have no answer; no defect.
 STANDING = "that one is not in my notes"
@@ -389,23 +424,33 @@ def seed_refusal(a: str, t: str) -> bool:
     return not _SIGNS.isdisjoint(a.split()) and bool(_REFUSAL.search(t))
 
 
+_A, _B = 0x9E3779B1, 0x85EBCA6B
+
+
+def _products(h: int) -> tuple[int, int, int]:
+    """A word's hash and two multiples of it, of which no more than 28 bits are used."""
+    return h & (REFUSAL_BUCKETS - 1), h * _A & 0xFFFFFFF, h * _B & 0xFFFFFFF
+
+
 class _Hashes(dict):
-    def __missing__(self, w: str) -> int:
+    def __missing__(self, w: str) -> tuple[int, int, int]:
         if len(self) > 100_000:
             self.clear()
-        v = self[w] = crc32(w.encode("utf-8", "replace"))
+        v = self[w] = _products(crc32(w.encode("utf-8", "replace")))
         return v
 
 
-_HASH = _Hashes()
-_A, _B = 0x9E3779B1, 0x85EBCA6B
+_HASH, _BEGINNING = _Hashes(), _products(17)
 
 
 def refusal_grams(ws: list[str]) -> list[int]:
     """Hashed words, pairs and triples, each once; the text's beginning counts as a word in pairs and triples."""
-    h, m = [17, *map(_HASH.__getitem__, ws)], REFUSAL_BUCKETS - 1
-    pairs = [x * _A + y * _B for x, y in zip(h, h[1:])]
-    return list({*(x & m for x in h[1:]), *(x >> 9 & m for x in pairs), *((x * 5 + z * _A) >> 11 & m for x, z in zip(pairs, h[2:]))})
+    if not ws:
+        return []
+    (_, *h), a, b = zip(_BEGINNING, *map(_HASH.__getitem__, ws))
+    m = REFUSAL_BUCKETS - 1
+    pairs = list(map(add, a, b[1:]))
+    return list({*h, *[x >> 9 & m for x in pairs], *[(x * 5 + z) >> 11 & m for x, z in zip(pairs, a[2:])]})
 
 
 class Refusals:
@@ -451,9 +496,9 @@ def is_open(answer: str) -> bool:
 
 def ruled(prompt: str, answer: str | None, refusals: Refusals | None) -> str | None:
     """Defects that the text itself shows, in their order; "" for the standing reply, null if none is seen."""
-    if is_empty(prompt, answer):
+    p, a = plain(prompt), plain(answer or "")
+    if (len(a) < 40 or "<" in answer) and is_empty(prompt, answer):  # no placeholder has as many letters
         return "empty"
-    p, a = plain(prompt), plain(answer)
     if a.startswith(STANDING):
         return ""
     if is_copy(p, a):

@@ -1,3 +1,6 @@
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -105,3 +108,23 @@ def test_case_lost(spark):
     assert [r[0] for r in df.orderBy("i").select(D.case_lost(df["a"])).collect()] == [True, True, True, False, False, False, False]
     known = {"town", "lies", "in"}.__contains__
     assert D.cased_skeleton("THE TOWN LIES  IN FOO_BAR, KADO 12.", known) == "N town lies in I, N 0"
+
+
+def test_refusal_phrases_share_their_boundary():
+    """One look for a word boundary at each character, not one for each phrase; the words' n-grams are counted once a word."""
+    first = re._parser.parse(D._REFUSAL.pattern, D._REFUSAL.flags)[0]
+    assert str(first[1]) == "AT_BOUNDARY"
+    total, words = np.zeros((D.BUCKETS, len(D.LANGS))), [Counter({"niño": 3, "the": 2}), *[Counter() for _ in D.LANGS[1:]]]
+    want = np.zeros(D.BUCKETS)
+    np.add.at(want, D._grams("niño") * 3 + D._grams("the") * 2, 1)
+    D.spread(words, total)
+    assert np.array_equal(total[:, 0], want) and not total[:, 1:].any() and not any(words)
+
+
+def test_skeleton_ends(spark):
+    want = {
+        " 'Take it.\" ": "N it", "\"' ,": ",", "it , ;": "it", "take it -. ": "take it", "take it,": "take it,", "it .\u2028": "it\u2028", "?!": "", "\"'": "", "": "", None: "",
+        "call getName and a_b2_c of Foo Bar 12 times": "call I and I of N N 0 times", "_é aBé Fooé": "_é aBé Fooé", "a\t b\n": "a b",
+    }
+    df = spark.createDataFrame(list(enumerate(want)), "i int, a string")
+    assert [r[0] for r in df.orderBy("i").select(D.skeleton(df["a"])).collect()] == list(want.values())
