@@ -158,12 +158,9 @@ class Languages:
             n = len(at)
             if n + len(new) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros((n + len(new), len(LANGS)), np.float32)])
-            for some in batched(new, 2_000):
-                grams = list(map(_grams, some))
-                size = np.fromiter(map(len, grams), np.int64, len(grams))
-                rows = self.logp[np.fromiter(chain.from_iterable(grams), np.int64, int(size.sum()))]
-                self.rows[len(at) : len(at) + len(some)] = np.add.reduceat(rows, np.cumsum(size) - size) * POWER
-                at.update(zip(some, range(len(at), len(at) + len(some))))
+            for w in new:
+                self.rows[len(at)] = self.logp[_grams(w)].sum(axis=0) * POWER
+                at[w] = len(at)
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         s = np.zeros((len(texts), len(LANGS)))
         if size.any():
